@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import decontaminate
+from .html_text import extract_text
 from .media import media_digest
 from .pii import pii_digest
+from .token_counts import token_counts
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
@@ -24,6 +30,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
