@@ -47,7 +47,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_BYTE_CODE = np.array([_splitmix(1000 + b) for b in range(256)], _U)[_LOWER]
+EXACT = np.array([_splitmix(1000 + b) for b in range(256)], _U)
+_BYTE_CODE = EXACT[_LOWER]
 _BASE = _splitmix(7) | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _GRAM = np.array([_splitmix(2000 + i) | 1 for i in range(64)], _U)
@@ -104,8 +105,8 @@ def words(data: np.ndarray, offs: np.ndarray, delimiters: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, equal for words that differ in the case of A-Z only."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = _BYTE_CODE) -> np.ndarray:
+    """64-bit hashes of words. By default equal for words that differ in the case of A-Z only; with EXACT for equal bytes."""
     out = np.empty(len(starts), _U)
     i = 0
     while i < len(starts):
@@ -113,7 +114,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         low, high = int(starts[i]), int(ends[j - 1])
         power, inverse = _power_tables(high - low)
         sums = np.zeros(high - low + 1, _U)
-        np.cumsum(_BYTE_CODE[data[low:high]] * power[: high - low], out=sums[1:])
+        np.cumsum(codes[data[low:high]] * power[: high - low], out=sums[1:])
         a, b = starts[i:j] - low, ends[i:j] - low
         out[i:j] = mix((sums[b] - sums[a]) * inverse[a])
         i = j

@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .html_text import extract_text
 from .media import media_digest
 from .pii import pii_digest
+from .sentencepiece import encode
 from .token_counts import token_counts
 
 
@@ -30,6 +31,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
