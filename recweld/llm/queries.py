@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from . import language
+from .common import crc_bucket, table
 from .decontaminate import decontaminate
 from .html_text import extract_text
 from .media import media_digest
@@ -15,6 +16,13 @@ from .sentencepiece import encode
 from .token_counts import token_counts
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 3) == 1
+    model = language.train(docs.where(~held_out))
+    return language.predict(docs, model, extra={"held_out": held_out})
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
