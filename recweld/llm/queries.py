@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality
+from . import language, lm_score, quality
 from .common import crc_bucket, table
 from .decontaminate import decontaminate
 from .html_text import extract_text
@@ -23,6 +23,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, extra={"held_out": held_out})
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_bucket("doc_id", 7) == 2
+    return lm_score.score(table(spark, sf_dir, "documents"), ~held_out, extra={"held_out": held_out})
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
