@@ -128,7 +128,7 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     total = hashes[: len(hashes) - n + 1] * _GRAM[0]
     for i in range(1, n):
         total += hashes[i : len(hashes) - n + 1 + i] * _GRAM[i]
-    return mix(total + _U(_splitmix(3000 + n)))
+    return mix(total + _U(_splitmix(3000 + int(n))))
 
 
 def grams_at(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -136,7 +136,7 @@ def grams_at(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     total = hashes[at] * _GRAM[0]
     for i in range(1, n):
         total += hashes[at + i] * _GRAM[i]
-    return mix(total + _U(_splitmix(3000 + n)))
+    return mix(total + _U(_splitmix(3000 + int(n))))
 
 
 def text_of(first: np.ndarray) -> np.ndarray:
