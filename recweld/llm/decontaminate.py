@@ -163,6 +163,26 @@ def decontaminate(
     return parts.groupBy("row").applyInArrow(_merge, f"doc_id {id_type}, {_COLUMNS}")
 
 
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without a hit word, all columns as they are. Blocks of the benchmark filter one after the other."""
+    items = benchmark.select(F.lit(None).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    for b in range(blocks):
+        _, index = _block(documents.sparkSession, items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, j, data, offs in K.slices(batch.column(batch.schema.get_field_index(text_col))):
+                    starts, ends, first = K.words(data, offs, K.NON_ALNUM)
+                    mask, _, _ = index.value.hits(K.word_hashes(data, starts, ends), first)
+                    total = np.concatenate([[0], np.cumsum(mask)])
+                    yield batch.slice(i, j - i).filter(pa.array(total[first[1:]] == total[first[:-1]]))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
+
+
 _COLUMNS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 

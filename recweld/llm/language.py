@@ -136,3 +136,23 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
     docs = documents.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in extra.items()), F.col(text_col).cast("string").alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+
+
+def keep_known(documents: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents whose language is not UNKNOWN, all columns as they are but for a null label, which is filled in."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            for i, j, data, offs in K.slices(texts):
+                if known.net is None:
+                    continue
+                part, letters = batch.slice(i, j - i), _letters(data, offs, texts.slice(i, j - i))
+                top = pooled(known.net, data, offs).argmax(axis=1)
+                at = part.schema.get_field_index(lang_col)
+                filled = pa.array([known.langs[t] if x is None else x for x, t in zip(part.column(at).to_pylist(), top.tolist(), strict=True)], part.schema.field(at).type)
+                yield part.set_column(at, part.schema.field(at), filled).filter(pa.array(letters))
+
+    return documents.mapInArrow(run, documents.schema)
