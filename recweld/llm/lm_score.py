@@ -21,7 +21,7 @@ are 0. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,9 @@ from .common import stored
 KAPPA = 2.0
 BROADCAST_BYTES = 1 << 30
 #: Text per bucket; a bucket holds the distinct pairs of about so many bytes of text.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 BITS, PROBES = 12, 4
-_SLICE = 12 << 20
+_SLICE = 6 << 20
 _END = np.uint64(0x5DEECE66D1234567)
 _U = np.uint64
 
@@ -95,24 +95,31 @@ def build_filter(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
 class Tables:
     """What is broadcast: sorted token hashes with counts, and the buckets' filters one after the other."""
 
-    def __init__(self, rows: list):
-        rows = sorted(rows, key=lambda r: r["bucket"])
-        read = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
-        self.words = np.concatenate([np.zeros(0, _U), *read("words", _U)])
-        self.counts = np.concatenate([np.zeros(0, np.int64), *read("counts", np.int64)])
-        filters = read("filter", _U)
-        self.filter = np.concatenate([np.zeros(0, _U), *filters])
-        self.buckets = np.array([r["bucket"] for r in rows], np.int64)
-        self.sizes = np.array([len(f) for f in filters], _U)
+    def __init__(self, rows: Iterable, sizes: list):
+        """rows: the buckets; sizes: of each in order, (bucket, tokens, filter words), so that each row is copied once."""
+        sizes = sorted(sizes)
+        self.buckets = np.array([x[0] for x in sizes], np.int64)
+        self.sizes = np.array([x[2] for x in sizes], _U)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        self.n_buckets = rows[0]["n_buckets"] if rows else 1
-        self.total, self.distinct = int(self.counts.sum()), len(self.words)
+        begins = np.concatenate([[0], np.cumsum([x[1] for x in sizes])]).astype(np.int64)
+        self.distinct, self.n_buckets = int(begins[-1]), 1
+        self.words, self.counts = np.empty(self.distinct, _U), np.empty(self.distinct, np.int64)
+        self.filter = np.empty(self.starts[-1], _U)
+        for r in rows:
+            i = int(np.searchsorted(self.buckets, r["bucket"]))
+            self.words[begins[i] : begins[i + 1]] = np.frombuffer(r["words"], _U)
+            self.counts[begins[i] : begins[i + 1]] = np.frombuffer(r["counts"], np.int64)
+            self.filter[self.starts[i] : self.starts[i + 1]] = np.frombuffer(r["filter"], _U)
+            self.n_buckets = r["n_buckets"]
+        self.total = int(self.counts.sum())
+        if self.counts.max(initial=0) < 1 << 32:
+            self.counts = self.counts.astype(np.uint32)
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         if not self.distinct:
             return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.words, keys), self.distinct - 1)
-        return np.where(self.words[at] == keys, self.counts[at], 0)
+        return np.where(self.words[at] == keys, self.counts[at], 0).astype(np.int64)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Repeated membership probes: the last level of each key that is in the filter."""
@@ -207,10 +214,11 @@ def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bucket_bytes))
     counted = _counted(texts, n_buckets)
     tables = stored(_reduced(counted, n_buckets), "ngrams")
-    held = tables.agg(F.sum(F.length("words") + F.length("counts") + F.length("filter")).alias("bytes"), F.sum(F.length("words") / 8).cast("long").alias("distinct")).first()
-    if (held["bytes"] or 0) > broadcast_bytes:
+    held = tables.agg(F.sum(F.length("words") + F.length("counts") + F.length("filter"))).first()[0] or 0
+    if held > broadcast_bytes:
         return _joined(docs, counted)
-    shared = spark.sparkContext.broadcast(Tables(tables.collect()))
+    sizes = [(r["bucket"], r["n"] // 8, r["f"] // 8) for r in tables.select("bucket", F.length("words").alias("n"), F.length("filter").alias("f")).collect()]
+    shared = spark.sparkContext.broadcast(Tables(tables.toLocalIterator(), sizes))
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

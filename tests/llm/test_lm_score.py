@@ -75,7 +75,8 @@ def test_beyond_the_broadcast_bound(spark):
 def test_filter_levels():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 20000).astype(np.uint64)
     counts = np.random.default_rng(2).integers(1, 200, 20000)
-    held = L.Tables([{"bucket": 0, "n_buckets": 1, "words": b"", "counts": b"", "filter": L.build_filter(keys[:10000], L.levels_of(counts[:10000])).tobytes()}])
+    made = L.build_filter(keys[:10000], L.levels_of(counts[:10000]))
+    held = L.Tables([{"bucket": 0, "n_buckets": 1, "words": b"", "counts": b"", "filter": made.tobytes()}], [(0, 0, len(made))])
     found = held.level(keys)
     assert (found[:10000] >= L.levels_of(counts[:10000])).all()
     assert (found[:10000] > L.levels_of(counts[:10000])).mean() < 0.03 and (found[10000:] > 0).mean() < 0.03
