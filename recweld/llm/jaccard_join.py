@@ -10,8 +10,9 @@ linked with nothing. n-grams are compared by 64-bit hashes, sets by 64 bits of a
 2. postings: each class sends the n-grams of its prefix, n - ceil(t n) + 1 of them, with its size and their positions,
    packed, to the buckets of their hashes. Linked classes share one at least. An n-gram of a very full cell is dealt in
    blocks: classes are split into blocks, and each pair of blocks meets in a bucket of its own.
-3. candidates: classes that share an n-gram and pass the length filter and the positional filter. Where many share one,
-   each is first paired with its nearest in size only.
+3. candidates: classes that share an n-gram, pass the length filter, and share so many n-grams of their prefixes, at such
+   positions, that they can be linked (the positional filter). Where many share one n-gram, each is first paired with its
+   nearest in size only.
 4. verification: the candidates' sets are made once more (a Bloom filter of bounded size picks the texts), and each
    distinct pair is checked once: the suffix filter compares the numbers of n-grams in fixed ranges of hashes, and what
    passes is counted exactly. Partners of a class with many are dealt to several tasks.
@@ -45,7 +46,7 @@ SKETCH_BITS = 20
 _SEGMENTS = 16
 _TREE = 256
 #: Classes of one n-gram up to which all pairs are candidates at once; beyond it, NEAR neighbours in size at first.
-SMALL, NEAR = 64, 6
+SMALL, NEAR = 48, 6
 #: Classes of one n-gram (beyond twice the mean of a cell) from which it is dealt in blocks.
 HOT = 20_000
 BUCKET_BYTES, PART_BYTES = 24 << 20, 48 << 20
@@ -208,8 +209,12 @@ def _passing(i: np.ndarray, j: np.ndarray, n: np.ndarray, position: np.ndarray,
     return (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)) & (longest >= _set_sizes_needed(ni, nj, percent))
 
 
+_PAIR = {"a": np.int64, "b": np.int64, "shared": np.int32, "na": np.int32, "nb": np.int32, "ia": np.int32, "ib": np.int32}
+
+
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of a bucket, packed; and the postings of the n-grams that more than SMALL classes share."""
+    """Pairs of a bucket (a < b) with the number of n-grams that they share in it, their sizes and the last shared positions,
+    packed; and the postings of the n-grams that more than SMALL classes have."""
 
     def run(group: pa.Table) -> pa.Table:
         read = lambda name, kind: np.frombuffer(b"".join(group[name].to_pylist()), kind)
@@ -222,7 +227,7 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         size = np.diff(np.append(first, len(gram)))
         large = np.repeat(size > SMALL, size)
-        pairs = [np.zeros((0, 2), np.int64)]
+        found = []
         left = np.flatnonzero(np.repeat(size > 1, size))
         for k in range(1, int(size.max(initial=1))):
             i = left[left + k < len(gram)]
@@ -232,14 +237,38 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
             if not len(i):
                 break
             left = i
-            i = i[_passing(i, i + k, n, position, percent)]
-            pairs.append(np.sort(np.stack([name[i], name[i + k]], axis=1), axis=1))
-        both = np.unique(np.concatenate(pairs), axis=0)
-        out = {"bucket": group["bucket"][:1], "a": [both[:, 0].tobytes()], "b": [both[:, 1].tobytes()]}
+            i = i[100 * n[i].astype(np.int64) >= percent * n[i + k].astype(np.int64)]  # sizes ascend
+            i = i[~large[i] | _passing(i, i + k, n, position, percent)]
+            found.append(np.stack([i, i + k]))
+        both = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        both = np.where(name[both[0]] < name[both[1]], both, both[::-1])
+        i, j = both[:, np.lexsort((name[both[1]], name[both[0]]))]
+        head = np.flatnonzero(np.concatenate([[True], (name[i][1:] != name[i][:-1]) | (name[j][1:] != name[j][:-1])])) if len(i) else np.zeros(0, np.int64)
+        over = lambda f, values: f.reduceat(values, head) if len(head) else values[:0]
+        pairs = {"a": name[i][head], "b": name[j][head], "shared": over(np.add, (~large[i]).astype(np.int32)), "na": n[i][head], "nb": n[j][head], "ia": over(np.maximum, np.where(large[i], -1, position[i]).astype(np.int32)), "ib": over(np.maximum, np.where(large[j], -1, position[j]).astype(np.int32))}
+        out = {"bucket": group["bucket"][:1]} | {c: [pairs[c].astype(k).tobytes()] for c, k in _PAIR.items()}
         out |= {"gram": [gram[large].tobytes()], "class": [name[large].tobytes()], "n": [n[large].tobytes()], "position": [position[large].tobytes()]}
         return pa.table(out)
 
-    return postings.groupBy("bucket").applyInArrow(run, "bucket long, a binary, b binary, gram binary, class binary, n binary, position binary")
+    kinds = ", ".join(f"{c} binary" for c in [*_PAIR, "gram", "class", "n", "position"])
+    return postings.groupBy("bucket").applyInArrow(run, f"bucket long, {kinds}")
+
+
+def _possible(pairs: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that can still be linked, given how many n-grams of their prefixes they share.
+
+    What a pair shares beyond its prefixes is at most what the longer rest holds, and at most what follows the last shared
+    positions. n-grams of many classes were not counted: each is taken as shared if both have as many.
+    """
+    total = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    many = large.groupBy("class").agg(F.count("*").alias("k"))
+    total = total.join(many.select(F.col("class").alias("a"), F.col("k").alias("ka")), "a", "left").join(many.select(F.col("class").alias("b"), F.col("k").alias("kb")), "b", "left")
+    more = F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
+    rest = lambda n: F.ceil(percent * F.col(n) / 100 - 1e-9) - 1
+    after = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    by_rest = F.col("shared") + more + F.greatest(rest("na"), rest("nb")) >= need
+    return total.where(by_rest & ((more > 0) | (F.col("shared") + after >= need))).select("a", "b")
 
 
 def _unpacked(packed: DataFrame, kinds: dict[str, type], bucket: bool = False) -> DataFrame:
@@ -277,7 +306,7 @@ def _bloom(ids: DataFrame, n: int):
 
 
 def _sets_of(docs: DataFrame, bloom, ngram: int) -> DataFrame:
-    """(class, n, grams) of the rows whose id is in the filter; once per task and class."""
+    """(class, ranges, grams) of the rows whose id is in the filter; once per task and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, table = bloom.value
@@ -294,15 +323,15 @@ def _sets_of(docs: DataFrame, bloom, ngram: int) -> DataFrame:
                         names.append(name)
                         sets.append(grams)
                 if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "n", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([_ranges(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "ranges", "grams"])
 
-    return docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "class long, n long, grams binary")
+    return docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "class long, ranges binary, grams binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int, ranges_x: np.ndarray, ranges_y: np.ndarray) -> bool:
     """The suffix filter (no more can be shared than both have in each range of hashes), then the exact count."""
     need = int(_set_sizes_needed(np.int64(len(x)), np.int64(len(y)), percent))
-    if int(np.minimum(ranges_x, ranges_y).sum()) < need:
+    if max(len(x), len(y)) < 1 << 16 and int(np.minimum(ranges_x, ranges_y).sum()) < need:
         return False
     if len(x) > len(y):
         x, y = y, x
@@ -311,7 +340,8 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int, ranges_x: np.ndarray, ran
 
 
 def _ranges(grams: np.ndarray) -> np.ndarray:
-    return np.bincount((grams >> _U(58)).astype(np.int64), minlength=_RANGES)
+    """How many n-grams lie in each of the ranges of hashes; meaningful for sets of fewer than 65,536."""
+    return np.bincount((grams >> _U(58)).astype(np.int64), minlength=_RANGES).astype(np.uint16)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -338,21 +368,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different roots among the postings of one n-gram that pass the filters."""
+    """Pairs (a, b) of different roots among the postings of one n-gram that pass the length, positional and suffix filters."""
 
     def run(group: pa.Table) -> pa.Table:
         name, n, position, root = (group[c].to_numpy() for c in ("class", "n", "position", "root"))
-        order = np.lexsort((name, n))
-        name, n, position, root = name[order], n[order], position[order], root[order]
         roots, inverse, counts = np.unique(root, return_inverse=True, return_counts=True)
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if len(roots) == 1:
+            return none
+        order = np.lexsort((name, n))
+        name, n, position, inverse = name[order], n[order], position[order], inverse[order]
+        ranges = np.frombuffer(b"".join(group["ranges"].to_pylist()), np.uint16).reshape(-1, _RANGES)[order]
+        major = counts.argmax()
         pairs = [np.zeros((0, 2), np.int64)]
-        minor = np.flatnonzero(inverse != counts.argmax())
-        for i in minor if len(roots) > 1 else ():
-            low, high = np.searchsorted(n, [-(-n[i] * percent // 100), n[i] * 100 // percent + 1])
-            j = np.arange(low, high)
+        for i in np.flatnonzero(inverse != major):
+            j = np.arange(*np.searchsorted(n, [-(-n[i] * percent // 100), n[i] * 100 // percent + 1]))
             # pairs of two minor ones are met twice, and made once
-            j = j[(inverse[j] != inverse[i]) & ((inverse[j] == counts.argmax()) | (j > i))]
+            j = j[(inverse[j] != inverse[i]) & ((inverse[j] == major) | (j > i))]
             j = j[_passing(np.full(len(j), i), j, n, position, percent)]
+            both = np.minimum(ranges[j], ranges[i]).sum(axis=1, dtype=np.int64)
+            j = j[(both >= _set_sizes_needed(n[i], n[j], percent)) | (np.maximum(n[i], n[j]) >= 1 << 16)]
             if len(j):
                 pairs.append(np.sort(np.stack([np.full(len(j), name[i]), name[j]], axis=1), axis=1))
         both = np.concatenate(pairs)
@@ -378,14 +413,15 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size["grams"] * per_gram + 20 * size["n"]) / bucket_bytes))
     postings = _postings(docs.select("text"), order, hot, n_buckets, ngram, percent)
     found = stored(_candidates(postings, percent), "candidates")
-    pairs = stored(_unpacked(found, {"a": np.int64, "b": np.int64}).distinct(), "pairs")
     large = _unpacked(found, {"gram": np.uint32, "class": np.int64, "n": np.int32, "position": np.int32}, bucket=True)
+    pairs = stored(_possible(_unpacked(found, _PAIR), large, percent), "pairs")
     wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).unionAll(large.select("class")).distinct()
     ids = stored(wanted.join(classes, "class").select(F.xxhash64("first").alias("h")), "ids")
     sets = stored(_sets_of(docs, _bloom(ids, ids.count()), ngram).dropDuplicates(["class"]), "sets")
     links = stored(_verified(pairs, sets, percent), "links")
     roots = stored(components(links), "roots")
     named = large.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    named = named.join(sets.select("class", "ranges"), "class")
     more = stored(_across(named, percent).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
         links = links.unionAll(_verified(more, sets, percent))
