@@ -54,7 +54,7 @@ BUCKET_BYTES, PART_BYTES = 24 << 20, 48 << 20
 PARTNERS = 512
 BLOOM_BITS = (16, 28)
 _SLICE = 12 << 20
-_RANGES = 64
+_RANGES = 256
 _U = np.uint64
 
 
@@ -341,7 +341,7 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int, ranges_x: np.ndarray, ran
 
 def _ranges(grams: np.ndarray) -> np.ndarray:
     """How many n-grams lie in each of the ranges of hashes; meaningful for sets of fewer than 65,536."""
-    return np.bincount((grams >> _U(58)).astype(np.int64), minlength=_RANGES).astype(np.uint16)
+    return np.bincount((grams >> _U(56)).astype(np.int64), minlength=_RANGES).astype(np.uint16)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
