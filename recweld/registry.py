@@ -1,15 +1,14 @@
-"""Registry of the linkage queries: name -> callable, name -> DuckDB SQL."""
+"""All linkage queries: name -> callable, name -> DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import blocking_queries, decision_queries, feature_queries, learning_queries, relational_queries  # noqa: F401
+from .plans.base import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries():
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
