@@ -95,13 +95,14 @@ def nearest_both_ways(left: DataFrame, right: DataFrame, forward: int = FORWARD,
                     order = np.argsort(-matrix, axis=1, kind="stable")[:, :k]
                     np.put_along_axis(mask, order, True, axis=1)
                 i, j = np.nonzero(keep & (cosine > min_cosine))
-                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in i]), pa.array([b[k] for k in j]), pa.array(cosine[i, j])], ["s1", "s23", "cos"])
+                kinds = [batch.schema.field(f"{n}_ids").type.value_type for n in "ab"]
+                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in i], kinds[0]), pa.array([b[k] for k in j], kinds[1]), pa.array(cosine[i, j], pa.float64())], ["s1", "s23", "cos"])
 
     near = pairs.mapInArrow(best, f"s1 {id_type}, s23 {id_type}, cos double")
     fwd = F.row_number().over(Window.partitionBy("s1").orderBy(F.desc("cos"), "s23"))
     rev = F.row_number().over(Window.partitionBy("s23").orderBy(F.desc("cos"), "s1"))
     ranked = near.withColumn("f", fwd).withColumn("r", rev).where((F.col("f") <= forward) | (F.col("r") <= reverse))
-    return ranked.select("s1", "s23", "cos", F.when(F.col("f") <= forward, F.col("f")).alias("rank_fwd"), F.when(F.col("r") <= reverse, F.col("r")).alias("rank_rev"))
+    return ranked.select("s1", "s23", "cos", F.when(F.col("f") <= forward, F.col("f")).cast("long").alias("rank_fwd"), F.when(F.col("r") <= reverse, F.col("r")).cast("long").alias("rank_rev"))
 
 
 def merge_directions(found: DataFrame) -> DataFrame:

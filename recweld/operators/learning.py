@@ -129,7 +129,7 @@ def group_context(p: DataFrame, score: str = "p1", confident: float = ANCHOR_SCO
         part = Window.partitionBy(by)
         order = part.orderBy(F.desc(score), tie)
         out = out.withColumns({
-            f"{prefix}_p_rank": F.rank().over(part.orderBy(F.desc(score))),
+            f"{prefix}_p_rank": F.rank().over(part.orderBy(F.desc(score))).cast("long"),
             f"{prefix}_p_n": F.count("*").over(part),
             f"{prefix}_sure_others": sum_of_others("_sure", by),
             f"{prefix}_p_other": F.when(F.row_number().over(order) == 1, F.lead(score).over(order)).otherwise(F.max(score).over(part)),

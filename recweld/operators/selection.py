@@ -26,7 +26,7 @@ def with_rank_margin(df: DataFrame, by: str, x: str, tie: str, prefix: str = "")
     """Adds rank, n and margin: the lead over the second of the group for its best, else the lag behind the best."""
     part = Window.partitionBy(by)
     order = part.orderBy(F.desc(x), tie)
-    df = df.withColumns({f"{prefix}rank": F.rank().over(part.orderBy(F.desc(x))), "_place": F.row_number().over(order)})
+    df = df.withColumns({f"{prefix}rank": F.rank().over(part.orderBy(F.desc(x))).cast("long"), "_place": F.row_number().over(order)})
     df = df.withColumns({f"{prefix}n": F.count("*").over(part), "_first": F.max(x).over(part), "_second": F.max(F.when(F.col("_place") == 2, F.col(x))).over(part)})
     margin = F.when(F.col(x) >= F.col("_first"), F.col(x) - F.when(F.col(f"{prefix}n") > 1, F.col("_second")).otherwise(F.lit(0.0))).otherwise(F.col(x) - F.col("_first"))
     return df.withColumn(f"{prefix}margin", margin).drop("_place", "_first", "_second")

@@ -85,8 +85,8 @@ def vector_topk_bidirectional(spark, sf):
     return _near(spark, sf).select(F.col("s1").alias("q"), F.col("s23").alias("b"), F.col("rank_fwd").alias("rank_f"), F.col("rank_rev").alias("rank_r"))
 
 
-_UNION = _VECTORS + """, keyed AS (SELECT a.vec_id AS s1, b.vec_id AS s23, 1 AS n_keys FROM v a JOIN v b ON a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0 AND a.vec_id // 7 = b.vec_id // 7),
-cand AS (SELECT coalesce(k.s1, n.s1) AS s1, coalesce(k.s23, n.s23) AS s23, coalesce(n_keys, 0) AS n_keys, coalesce(cos, 0.0) AS cos, rank_fwd, rank_rev FROM keyed k FULL JOIN near n ON k.s1 = n.s1 AND k.s23 = n.s23)"""
+_UNION = _VECTORS + """, keyed AS (SELECT a.vec_id AS s1, b.vec_id AS s23, 1::BIGINT AS n_keys FROM v a JOIN v b ON a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0 AND a.vec_id // 7 = b.vec_id // 7),
+cand AS (SELECT coalesce(k.s1, n.s1) AS s1, coalesce(k.s23, n.s23) AS s23, coalesce(n_keys, 0)::BIGINT AS n_keys, coalesce(cos, 0.0) AS cos, rank_fwd, rank_rev FROM keyed k FULL JOIN near n ON k.s1 = n.s1 AND k.s23 = n.s23)"""
 
 
 def _candidates(spark, sf):

@@ -170,4 +170,4 @@ def pair_features(spark, sf):
 @query("WITH " + PAIRS_SQL + ", f AS (SELECT *, count(*) OVER (PARTITION BY name1) AS n FROM pairs) SELECT name1, max(n) AS n, rank() OVER (ORDER BY max(n) DESC, name1) AS place FROM f GROUP BY name1 QUALIFY place <= 20")
 def name_trap_ranking(spark, sf):
     n = scored_pairs(spark, sf).groupBy("name1").agg(F.count("*").alias("n"))
-    return n.orderBy(F.desc("n"), "name1").limit(20).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "name1")))
+    return n.orderBy(F.desc("n"), "name1").limit(20).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "name1")).cast("long"))

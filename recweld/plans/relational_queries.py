@@ -213,13 +213,13 @@ def win_other_counts(spark, sf):
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING), 4) AS cum, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events")
 def win_running_sum(spark, sf):
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    return load(spark, sf, "events").select("event_id", F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("cum"), F.row_number().over(w).alias("k"))
+    return load(spark, sf, "events").select("event_id", F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("cum"), F.row_number().over(w).cast("long").alias("k"))
 
 
 @query("SELECT o_custkey AS custkey, o_orderkey AS orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders QUALIFY rn <= 4")
 def topk_per_group(spark, sf):
     o = load(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), "o_totalprice")
-    return S.top_k(o, "custkey", [F.desc("o_totalprice"), "orderkey"], 4, "rn").drop("o_totalprice")
+    return S.top_k(o, "custkey", [F.desc("o_totalprice"), "orderkey"], 4, "rn").select("custkey", "orderkey", F.col("rn").cast("long").alias("rn"))
 
 
 @query("SELECT c_custkey AS custkey, c_nationkey AS nationkey FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey LIMIT 100")
