@@ -34,3 +34,18 @@ def isotonic(scored: DataFrame, score: str = "p", label: str = "y"):
 def calibrated(model, scored: DataFrame, score: str = "p") -> DataFrame:
     out = model.transform(VectorAssembler(inputCols=[score], outputCol="_x").transform(scored)).drop("_x")
     return out.withColumn("q", F.least(F.greatest("q", F.lit(0.0)), F.lit(1.0)))
+
+
+def cross_fitted_expected_f(scored: DataFrame, truth: DataFrame, ids: DataFrame, costs: list[float]):
+    """(c, f05): the expected-F rule on probabilities calibrated on the other half of the records, for each cost.
+
+    scored: (s1, s23, p, y), one claim per right-hand record.
+    """
+    from .evaluation import per_entity, summary
+    from .learning import fold_of
+
+    halves = scored.withColumn("_half", fold_of("s1", 5))
+    models = [isotonic(halves.where(F.col("_half") == k)) for k in (0, 1)]
+    q = calibrated(models[1], halves.where("_half = 0")).unionByName(calibrated(models[0], halves.where("_half = 1")))
+    out = [(float(c), summary(per_entity(expected_f_rule(q.select("s1", "s23", "q"), c), truth, ids)).first()["f05"]) for c in costs]
+    return scored.sparkSession.createDataFrame(out, "c double, f05 double")

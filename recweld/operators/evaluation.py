@@ -149,3 +149,25 @@ def feature_drift(a: DataFrame, b: DataFrame, features: list[str]) -> DataFrame:
 
     j = profile(a, "a").join(profile(b, "b"), "feature")
     return j.select("feature", "mean_a", "mean_b", "sd_a", "null_a", (F.coalesce("sd_a", F.lit(0.0)) == 0).alias("constant"), (F.col("null_a") > 0.3).alias("sparse"), (F.abs(F.col("mean_a") - F.col("mean_b")) > 0.5 * F.col("sd_a")).alias("drifted"))
+
+
+def recall_cost_grid(truth: DataFrame, candidates: DataFrame, n_left: int, depths: list[int]) -> DataFrame:
+    """(depth, with_keys, recall, per_record) of candidates cut to a forward depth, with and without the key channel."""
+    spark = candidates.sparkSession
+    grid = F.broadcast(spark.createDataFrame([(d, k) for d in depths for k in (True, False)], "depth int, with_keys boolean"))
+    kept = candidates.join(grid, (F.coalesce("rank_fwd", F.lit(10**6)) <= F.col("depth")) | F.col("rank_rev").isNotNull() | (F.col("with_keys") & (F.col("n_keys") > 0)))
+    hit = kept.join(truth.select("s1", "s23", F.lit(1).alias("_y")), ["s1", "s23"], "left")
+    n = truth.agg(F.count("*").alias("_n"))
+    return hit.groupBy("depth", "with_keys").agg(F.count("_y").alias("found"), F.count("*").alias("pairs")).join(F.broadcast(n)).select("depth", "with_keys", safe_divide("found", "_n").alias("recall"), (F.col("pairs") / n_left).alias("per_record"))
+
+
+def competitors(scored: DataFrame, val_ids: DataFrame) -> DataFrame:
+    """The pairs of held-out records and those of other records that claim one of the same right-hand records."""
+    own = scored.join(val_ids.select("s1"), "s1", "left_semi")
+    return scored.join(own.select("s23").distinct(), "s23", "left_semi")
+
+
+def agreement_rates(pairs: DataFrame, fields: dict[str, tuple[str, str]], by: str) -> DataFrame:
+    """Share of pairs whose two columns are equal and not empty, per group."""
+    rate = lambda a, b: F.avg(F.coalesce((F.col(a) == F.col(b)) & (F.col(a) != ""), F.lit(False)).cast("double"))
+    return pairs.groupBy(by).agg(F.count("*").alias("n"), *[rate(a, b).alias(k) for k, (a, b) in fields.items()])

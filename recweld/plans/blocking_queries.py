@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import blocking as B
+from ..operators import evaluation as V
 from .base import PAIRS_SQL, RECORDS_SQL, load, query, scored_pairs, sides
 
 _CAPPED = """k1 AS (SELECT s1, country || '|' || name AS key FROM s1 WHERE name <> ''), k23 AS (SELECT s23, country || '|' || name AS key FROM s23 WHERE name <> ''),
@@ -113,3 +114,13 @@ def blocking_recall(spark, sf):
     truth = B.nearest_both_ways(a, b, forward=10**6, reverse=0, min_cosine=0.3).select("s1", "s23")
     out = B.recall(truth, _candidates(spark, sf), {k: F.expr(x) for k, x in _CHANNELS.items()})
     return out.select("channel", "pairs", "found", F.round("recall", 6).alias("recall"), F.round("entity_recall", 6).alias("entity_recall"))
+
+
+@query("WITH " + _UNION + """, truth AS (SELECT s1, s23 FROM c WHERE cos > 0.3), g AS (SELECT unnest([3, 5, 10]) AS depth), w AS (SELECT depth, with_keys FROM g, (SELECT true AS with_keys UNION ALL SELECT false)),
+k AS (SELECT * FROM cand, w WHERE coalesce(rank_fwd, 1000000) <= depth OR rank_rev IS NOT NULL OR (with_keys AND n_keys > 0))
+SELECT depth, with_keys, round(sum(((s1, s23) IN (SELECT s1, s23 FROM truth))::INT) / (SELECT count(*) FROM truth), 6) AS recall, round(count(*) / 100.0, 6) AS per_record FROM k GROUP BY 1, 2""")
+def recall_cost_grid(spark, sf):
+    v = load(spark, sf, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    truth = B.nearest_both_ways(v.where("id % 3 = 0"), v.where("id % 3 <> 0"), forward=10**6, reverse=0, min_cosine=0.3).select("s1", "s23")
+    out = V.recall_cost_grid(truth, _candidates(spark, sf), 100, [3, 5, 10])
+    return out.select("depth", "with_keys", F.round("recall", 6).alias("recall"), F.round("per_record", 6).alias("per_record"))

@@ -195,3 +195,41 @@ def bootstrap_ci(spark, sf):
 @query("WITH " + RECORDS_SQL + " SELECT length(name) AS length, count(*) AS n FROM rec GROUP BY 1")
 def record_lengths(spark, sf):
     return records(spark, sf).groupBy(F.length("name").cast("long").alias("length")).agg(F.count("*").alias("n"))
+
+
+@query("WITH " + PAIRS_SQL + ", x AS (SELECT p.*, s1.country FROM pairs p JOIN s1 USING (s1)) SELECT country, count(*) AS n, round(avg((name1 = name2)::INT), 6) AS name, round(avg((split_part(name1, ' ', 2) = split_part(name2, ' ', 2) AND split_part(name1, ' ', 2) <> '')::INT), 6) AS second FROM x GROUP BY country")
+def agreement_rates(spark, sf):
+    s1, _ = sides(spark, sf)
+    word = lambda c: F.split_part(c, F.lit(" "), F.lit(2))
+    p = scored_pairs(spark, sf).join(s1.select("s1", "country"), "s1").withColumns({"w1": word("name1"), "w2": word("name2")})
+    out = V.agreement_rates(p, {"name": ("name1", "name2"), "second": ("w1", "w2")}, "country")
+    return out.select("country", "n", F.round("name", 6).alias("name"), F.round("second", 6).alias("second"))
+
+
+@query("WITH " + PAIRS_SQL + ", v AS (SELECT DISTINCT s1 FROM pairs WHERE s1 % 5 = 0) SELECT s1, s23 FROM pairs WHERE s23 IN (SELECT s23 FROM pairs WHERE s1 IN (SELECT s1 FROM v))")
+def validation_competitors(spark, sf):
+    p = scored_pairs(spark, sf).select("s1", "s23")
+    return V.competitors(p, p.where("s1 % 5 = 0").select("s1").distinct())
+
+
+@query("WITH " + RECORDS_SQL + ", a AS (SELECT DISTINCT country, split_part(name, ' ', 1) AS word FROM s1), b AS (SELECT DISTINCT country, split_part(name, ' ', 1) AS word FROM s23) SELECT a.country, a.word, count(*) AS others FROM a JOIN b ON a.word = b.word AND a.country <> b.country WHERE a.word <> '' GROUP BY 1, 2")
+def country_mismatch(spark, sf):
+    """First words of names that records of other countries have."""
+    first = F.split_part("name", F.lit(" "), F.lit(1)).alias("word")
+    a, b = (df.select("country", first).where("word <> ''").distinct() for df in sides(spark, sf))
+    return a.join(b.withColumnRenamed("country", "other"), "word").where("country <> other").groupBy("country", "word").agg(F.count("*").alias("others"))
+
+
+@query("WITH c AS (SELECT lang, unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS ch FROM documents) SELECT lang, ch, count(*) AS n FROM c GROUP BY 1, 2")
+def character_profile(spark, sf):
+    """Characters outside ASCII per language."""
+    chars = F.explode(F.regexp_extract_all("text", F.lit(r"([^\x00-\x7F])"), F.lit(1))).alias("ch")
+    return load(spark, sf, "documents").select("lang", chars).groupBy("lang", "ch").agg(F.count("*").alias("n"))
+
+
+@query()
+def expected_f_costs(spark, sf):
+    """The expected-F rule on cross-fitted probabilities for several costs."""
+    s1, _, resolved, _, truth = _sets(spark, sf)
+    y = (F.substring("name1", 1, 25) == F.substring("name2", 1, 25)).cast("double")
+    return D.cross_fitted_expected_f(resolved.select("s1", "s23", F.col("score").alias("p"), y.alias("y")), truth, s1, [0.0, 0.2])

@@ -97,3 +97,27 @@ def linkage_scores(spark, sf):
     described, s23 = linkage.labelled_features_of_documents(spark, sf)
     names = s23.select(F.col("entity_id").alias("id"), F.col("name_core").alias("name"), F.col("name_skel").alias("skel"), F.col("addr_norm").alias("addr"), F.col("addr_hnum").alias("hnum"))
     return linkage.stacked_scores(described, names, 3)
+
+
+_FOUR = ["f1", "f2", "f3", "f4"]
+
+
+@query()
+def ablation(spark, sf):
+    """Average precision of models on subsets of features."""
+    d = _labelled(spark, sf)
+    return L.ablation(d.where(~F.col("is_val")), d.where("is_val"), {"all": _FOUR, "lengths": _FOUR[:2], "score": _FOUR[3:]}, rounds=2)
+
+
+@query()
+def hyper_parameters(spark, sf):
+    """Average precision of models with several settings."""
+    d = _labelled(spark, sf)
+    return L.sweep(d.where(~F.col("is_val")), d.where("is_val"), _FOUR, [{"rounds": 2, "depth": 2}, {"rounds": 2, "depth": 4}])
+
+
+@query()
+def feature_importance(spark, sf):
+    d = L.filled(_labelled(spark, sf), _FOUR)
+    model = L.gbt(_FOUR, rounds=2, depth=3).fit(L.balanced(d.withColumn("weight", F.lit(1.0)), "y"))
+    return spark.createDataFrame(L.importance(model, _FOUR), "feature string, gain double")
