@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import safe_divide
+from .selection import running_totals
 
 
 def per_entity(predicted: DataFrame, truth: DataFrame, ids: DataFrame) -> DataFrame:
@@ -76,8 +77,7 @@ def candidate_stats(candidates: DataFrame, ids: DataFrame, n_right: int | Column
 def average_precision(scored: DataFrame, score: str, label: str) -> DataFrame:
     """One row (ap): the sum over distinct scores, descending, of recall gained times precision."""
     g = scored.groupBy(score).agg(F.sum(F.col(label).cast("double")).alias("tp"), F.count("*").cast("double").alias("n"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = g.select("tp", F.sum("tp").over(down).alias("ctp"), F.sum("n").over(down).alias("cn"))
+    run = running_totals(g, [F.desc(score)], {"ctp": F.col("tp"), "cn": F.col("n")})
     return run.agg(safe_divide(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")), F.sum("tp")).alias("ap"))
 
 

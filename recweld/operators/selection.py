@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialized
+
 
 def top_k(df: DataFrame, by: str | list[str], order: list, k: int, name: str | None = None) -> DataFrame:
     """The first k rows of each group; Spark keeps k per group before it shuffles them."""
@@ -13,13 +15,22 @@ def top_k(df: DataFrame, by: str | list[str], order: list, k: int, name: str | N
     return out if name else out.drop(n)
 
 
+def running_totals(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums over all rows in a total order, without bringing the rows into one task: rows are sorted by range,
+    and each range starts from the sums of those before it (one row per range). The ranges are kept, as drawing them again
+    could give others."""
+    ranged = materialized(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    starts = totals.select("_part", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(starts), "_part")
+    return out.withColumns({k: F.sum(c).over(inside) + F.col(f"_{k}") for k, c in sums.items()}).drop("_part", *[f"_{k}" for k in sums])
+
+
 def with_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers of the rows from 0 in an order. Rows are sorted by range, and each range starts where those before it end."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*order)
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    return ranged.withColumn(name, F.row_number().over(inside) - 1).join(F.broadcast(starts.select("_part", "_start")), "_part").withColumn(name, (F.col(name) + F.coalesce("_start", F.lit(0))).cast("long")).drop("_part", "_start")
+    """Numbers of the rows from 0 in an order."""
+    return running_totals(df, order, {name: F.lit(1)}).withColumn(name, (F.col(name) - 1).cast("long"))
 
 
 def with_rank_margin(df: DataFrame, by: str, x: str, tie: str, prefix: str = "") -> DataFrame:
