@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
+#: Words are hashed in blocks of about so many bytes, which stay in the cache.
+HASH_BYTES = 1 << 18
 _U = np.uint64
 _MASK = (1 << 64) - 1
 
@@ -56,7 +58,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = SLICE_BYTES
+    size = HASH_BYTES
     while size < n:
         size *= 2
     if size not in _powers:
@@ -110,7 +112,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: n
     out = np.empty(len(starts), _U)
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASH_BYTES, side="right")))
         low, high = int(starts[i]), int(ends[j - 1])
         power, inverse = _power_tables(high - low)
         sums = np.zeros(high - low + 1, _U)

@@ -38,7 +38,9 @@ _SPACE = "▁"
 _NORMAL, _BYTE = 1, 6
 _UNIGRAM, _BPE = 1, 2
 _CELLS = 1 << 19
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
+#: Pieces decoded at once.
+DECODE_PIECES = 1 << 19
 #: Bounds of what a worker remembers between slices: segmented words (of at most 64 bytes) and pairs of pieces.
 WORD_MEMO, PAIR_MEMO = 1 << 20, 1 << 22
 _NONE = -1
@@ -102,7 +104,6 @@ class Model:
         self.unknown_score = self.scores[normal].min() - 10.0
         self._pairs, self._kept = np.array([-1], np.int64), np.array([False])
         self._forget()
-        self._text: dict[str, list[int]] = {}
         if self.kind == _BPE:
             normal = [i for i in normal if self._merged(pieces[i]) == [i]]
         self.longest = max(len(pieces[i]) for i in normal)
@@ -120,8 +121,6 @@ class Model:
 
     def _merged(self, text: str) -> list[int]:
         """The merges, step by step: the pair with the best score, the leftmost first among equals."""
-        if text in self._text:
-            return self._text[text]
         part = list(text)
         before, after = list(range(-1, len(part) - 1)), [*range(1, len(part)), -1]
         heap: list[tuple[float, int, str, int]] = []
@@ -143,12 +142,7 @@ class Model:
                 before[after[j]] = i
             offer(before[i])
             offer(i)
-        out = [self.id_of.get(p, self.unknown) for p in part if p]
-        if len(text) <= 2 * 32:
-            if len(self._text) > 1 << 20:
-                self._text.clear()
-            self._text[text] = out
-        return out
+        return [self.id_of.get(p, self.unknown) for p in part if p]
 
     def _stays(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the merges leave each pair of pieces as it is. Pairs with an unknown character always stay."""
@@ -307,15 +301,22 @@ class Model:
         ids, at, sizes = self._remembered(keys, spaced, starts[one], ends[one])
         counts = sizes[inverse]
         total = np.concatenate([[0], np.cumsum(counts)])
-        flat = ids[np.arange(total[-1]) - np.repeat(total[:-1], counts) + np.repeat(at[inverse], counts)]
+        flat = ids[np.arange(total[-1]) + np.repeat(at[inverse] - total[:-1], counts)]
         return flat, total[np.searchsorted(starts, offs + extra)]
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes and offsets of the texts of ids; the leading space is taken away."""
-        sizes = (self.piece_starts[ids + 1] - self.piece_starts[ids]).astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.piece_bytes[np.arange(total[-1]) - np.repeat(total[:-1], sizes) + np.repeat(self.piece_starts[ids], sizes)]
-        bounds = total[offs]
+        parts, bounds, base, i = [np.zeros(0, np.uint8)], np.zeros(len(offs), np.int64), 0, 0
+        while i < len(offs) - 1:
+            j = max(i + 1, int(np.searchsorted(offs, offs[i] + DECODE_PIECES, side="right")) - 1)
+            own = ids[offs[i] : offs[j]]
+            first = self.piece_starts[own]
+            sizes = self.piece_starts[own + 1] - first
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            parts.append(self.piece_bytes[np.arange(total[-1]) + np.repeat(first - total[:-1], sizes)])
+            bounds[i + 1 : j + 1] = base + total[offs[i + 1 : j + 1] - offs[i]]
+            base, i = base + int(total[-1]), j
+        flat = np.concatenate(parts)
         lead = bounds[:-1][bounds[1:] > bounds[:-1]]
         lead = lead[flat[lead] == 0x20]
         mask = np.ones(len(flat), bool)
