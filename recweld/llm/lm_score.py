@@ -32,7 +32,7 @@ from . import kernel as K
 from .common import stored
 
 KAPPA = 2.0
-BROADCAST_BYTES = 1 << 30
+BROADCAST_BYTES = 400 << 20
 #: Text per bucket; a bucket holds the distinct pairs of about so many bytes of text.
 BUCKET_BYTES = 8 << 20
 BITS, PROBES = 12, 4
