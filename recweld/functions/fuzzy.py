@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,20 +54,42 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, ratio(shared, left), ratio(shared, right)) if both else best
 
 
+def _best_window(short: str, long: str) -> float:
+    """The best ratio of the short text with a window of the long one, clipped windows at both ends included.
+
+    All windows advance together: the masks of the long text's characters, padded with empty ones, are an array, and step k
+    of every window reads a slice of it. Short texts of more than 64 characters are compared window by window.
+    """
+    n, m = len(short), len(long)
+    starts = range(1 - n, m)
+    if n > 64:
+        return max(ratio(short, long[max(0, i) : min(m, i + n)]) for i in starts)
+    where: dict[str, int] = {}
+    for i, c in enumerate(short):
+        where[c] = where.get(c, 0) | 1 << i
+    masks = np.zeros(m + 2 * (n - 1), np.uint64)
+    masks[n - 1 : n - 1 + m] = [where.get(c, 0) for c in long]
+    full = np.uint64((1 << n) - 1)
+    rows = np.full(len(starts), full)
+    for k in range(n):
+        hit = rows & masks[k : k + len(rows)]
+        rows = rows + hit | rows - hit
+    common = n - np.bitwise_count(rows & full).astype(np.int64)
+    first = np.arange(1 - n, m)
+    size = np.minimum(first + n, m) - np.maximum(first, 0)
+    return float((200.0 * common / (n + size)).max())
+
+
 def partial_ratio(a: str, b: str) -> float:
     if not a and not b:
         return 100.0
     if not a or not b:
         return 0.0
-
-    def windows(short: str, long: str) -> float:
-        n = len(short)
-        spans = {(max(0, i), min(len(long), i + n)) for i in range(1 - n, len(long))}
-        return max(ratio(short, long[i:j]) for i, j in spans)
-
+    if a in b or b in a:
+        return 100.0
     if len(a) == len(b):
-        return max(windows(a, b), windows(b, a))
-    return windows(a, b) if len(a) < len(b) else windows(b, a)
+        return max(_best_window(a, b), _best_window(b, a))
+    return _best_window(a, b) if len(a) < len(b) else _best_window(b, a)
 
 
 def jaro_winkler(a: str, b: str) -> float:

@@ -85,6 +85,8 @@ def pair_features(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFr
     }
     for k in (1, 2):
         p = p.withColumn(f"loc_words_{k}", F.replace(f"addr_locality_{k}", F.lit("|"), F.lit(" ")))
+    # by number: adaptive execution joins partitions by their bytes, and here rows cost time, not bytes
+    p = p.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s1", "s23")
     p = p.withColumn("_f", similarity_columns(similar)).select("*", *[F.col(f"_f.{c}").alias(c) for c in similar]).drop("_f")
     blank = F.col("addr_blank_1") | F.col("addr_blank_2")
     both = lambda c: (F.col(f"{c}_1") != "") & (F.col(f"{c}_2") != "")

@@ -83,3 +83,15 @@ def test_similarities():
         for b in ("heartland online", "on", "c b a"):
             for f in (fuzzy.ratio, fuzzy.token_sort_ratio, fuzzy.token_set_ratio, fuzzy.partial_ratio):
                 assert 0 <= f(a, b) <= 100 and f(a, b) == pytest.approx(f(b, a)) and f(a, a) == 100
+
+
+def test_partial_ratio_tries_every_window():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc d") for _ in range(rng.randint(1, 12))) for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        every = lambda s, t: max(fuzzy.ratio(s, t[max(0, i) : i + len(s)]) for i in range(1 - len(s), len(t)))
+        want = max(every(a, b), every(b, a)) if len(a) == len(b) else every(short, long)
+        assert fuzzy.partial_ratio(a, b) == pytest.approx(want)
