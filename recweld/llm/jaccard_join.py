@@ -49,11 +49,11 @@ _TREE = 256
 SMALL, NEAR = 48, 6
 #: Classes of one n-gram (beyond twice the mean of a cell) from which it is dealt in blocks.
 HOT = 20_000
-BUCKET_BYTES, PART_BYTES = 24 << 20, 48 << 20
+BUCKET_BYTES, PART_BYTES = 16 << 20, 24 << 20
 #: Partners of one class in one task.
 PARTNERS = 512
 BLOOM_BITS = (16, 28)
-_SLICE = 12 << 20
+_SLICE = 4 << 20
 _RANGES = 256
 _U = np.uint64
 
@@ -305,6 +305,23 @@ def _bloom(ids: DataFrame, n: int):
     return ids.sparkSession.sparkContext.broadcast((bits, np.packbits(table)))
 
 
+def _marked(hashes: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
+    place = (hashes.view(_U) >> _U(64 - bits)).astype(np.int64)
+    return ((table[place >> 3] >> (7 - (place & 7))) & 1).astype(bool)
+
+
+def _in_bloom(documents: DataFrame, bloom, id_col: str, inside: bool) -> DataFrame:
+    """The rows whose id is (or is not) in the filter, all columns as they are."""
+    names = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marked = _marked(batch.column(len(names)).to_numpy(), *bloom.value)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(marked == inside))
+
+    return documents.select("*", F.xxhash64(id_col)).mapInArrow(run, documents.schema)
+
+
 def _sets_of(docs: DataFrame, bloom, ngram: int) -> DataFrame:
     """(class, ranges, grams) of the rows whose id is in the filter; once per task and class."""
 
@@ -312,9 +329,7 @@ def _sets_of(docs: DataFrame, bloom, ngram: int) -> DataFrame:
         bits, table = bloom.value
         seen: set[int] = set()
         for batch in batches:
-            place = (batch.column("h").to_numpy().view(_U) >> _U(64 - bits)).astype(np.int64)
-            inside = (table[place >> 3] >> (7 - (place & 7))) & 1
-            texts = batch.column("text").filter(pa.array(inside.astype(bool)))
+            texts = batch.column("text").filter(pa.array(_marked(batch.column("h").to_numpy(), bits, table)))
             for _, _, data, offs in K.slices(texts):
                 names, sets = [], []
                 for grams in text_sets(data, offs, ngram):
@@ -417,11 +432,11 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     pairs = stored(_possible(_unpacked(found, _PAIR), large, percent), "pairs")
     wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).unionAll(large.select("class")).distinct()
     ids = stored(wanted.join(classes, "class").select(F.xxhash64("first").alias("h")), "ids")
-    sets = stored(_sets_of(docs, _bloom(ids, ids.count()), ngram).dropDuplicates(["class"]), "sets")
+    sets = stored(_sets_of(docs, _bloom(ids, ids.count()), ngram), "sets")  # rarely, a class has two rows
     links = stored(_verified(pairs, sets, percent), "links")
     roots = stored(components(links), "roots")
     named = large.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    named = named.join(sets.select("class", "ranges"), "class")
+    named = named.join(sets.select("class", "ranges").dropDuplicates(["class"]), "class")
     more = stored(_across(named, percent).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
         links = links.unionAll(_verified(more, sets, percent))
@@ -440,7 +455,11 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     found = stored(jaccard_components(documents, id_col, text_col, ngram, percent), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = documents.join(gone, id_col, "left_anti")
+    # most rows are told apart by a bit table of bounded size; only those that it cannot clear are shuffled
+    hashes = gone.select(F.xxhash64(id_col).alias("h"))
+    bloom = _bloom(hashes, gone.count())
+    clear, unclear = (_in_bloom(documents, bloom, id_col, inside) for inside in (False, True))
+    kept = clear.unionAll(unclear.join(gone, id_col, "left_anti").select(documents.columns))
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionAll(kept.where(F.col(id_col).isNull()))
     return kept
