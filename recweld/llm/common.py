@@ -28,6 +28,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """A broadcast hint for a stored table, if its rows are few enough; else it is joined as any other."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def crc_bucket(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text (crc 0)."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

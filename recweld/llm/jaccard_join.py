@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import stored
+from .common import broadcast_if_small, stored
 from .components import components
 
 NGRAM, PERCENT = 5, 75
@@ -50,8 +50,8 @@ SMALL, NEAR = 48, 6
 #: Classes of one n-gram (beyond twice the mean of a cell) from which it is dealt in blocks.
 HOT = 20_000
 BUCKET_BYTES, PART_BYTES = 16 << 20, 24 << 20
-#: Partners of one class in one task.
-PARTNERS = 512
+#: Pairs of one group of classes that are dealt to one part.
+PARTNERS = 4096
 BLOOM_BITS = (16, 28)
 _SLICE = 4 << 20
 _RANGES = 256
@@ -360,14 +360,18 @@ def _ranges(grams: np.ndarray) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked. Each is checked in the part of a; a class's set goes to each part once."""
+    """The pairs (a, b) that are linked. Each is checked in the part of the smallest partner of a, which the pairs of a group
+    of near copies have in common; a class's set goes to each part once. Large groups are dealt to several parts."""
     bytes_ = sets.agg(F.sum(F.length("grams") + 64)).first()[0] or 0
     parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(4 * bytes_ / PART_BYTES))
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("k"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("a", F.when(F.col("k") > 1, F.pmod(F.xxhash64("b"), F.col("k"))).otherwise(F.lit(0))), F.lit(parts)).alias("part"))
+    both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = pairs.join(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("hub")), "a")
+    size = near.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).alias("k"))
+    salt = F.when(F.col("k") > 1, F.pmod(F.xxhash64("a"), F.col("k"))).otherwise(F.lit(0))
+    dealt = near.join(size, "hub").select("a", "b", F.pmod(F.xxhash64("hub", salt), F.lit(parts)).alias("part"))
     dealt = stored(dealt, "pairs")
-    asked = dealt.select("part", F.col("a").alias("class")).unionAll(dealt.select("part", F.col("b").alias("class"))).distinct()
-    sent = asked.join(sets.select("class", "grams"), "class").select(F.col("part").alias("place"), "class", "grams")
+    asked = stored(dealt.select("part", F.col("a").alias("class")).unionAll(dealt.select("part", F.col("b").alias("class"))).distinct(), "asked")
+    sent = broadcast_if_small(asked, 64).join(sets.select("class", "grams"), "class").select(F.col("part").alias("place"), "class", "grams")
 
     def run(key, own: pa.Table, given: pa.Table) -> pa.Table:
         known = {}
@@ -455,11 +459,20 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     found = stored(jaccard_components(documents, id_col, text_col, ngram, percent), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = stored(gone, "gone")
+    small = broadcast_if_small(gone, 64)
+    if small is not gone:
+        return _once(documents.join(small, id_col, "left_anti").select(documents.columns), found, id_col)
     # most rows are told apart by a bit table of bounded size; only those that it cannot clear are shuffled
     hashes = gone.select(F.xxhash64(id_col).alias("h"))
     bloom = _bloom(hashes, gone.count())
     clear, unclear = (_in_bloom(documents, bloom, id_col, inside) for inside in (False, True))
     kept = clear.unionAll(unclear.join(gone, id_col, "left_anti").select(documents.columns))
+    return _once(kept, found, id_col)
+
+
+def _once(kept: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows, of those that repeat an id only one."""
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionAll(kept.where(F.col(id_col).isNull()))
     return kept

@@ -96,3 +96,11 @@ def test_empty(spark):
     assert J.deduplicate(df).count() == 0
     one = spark.createDataFrame([(1, None), (2, "  "), (3, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, J.jaccard_components(one).collect())) == [(1, 0, 1), (2, 0, 2), (3, 2, 3)]
+
+
+def test_many_rows_to_drop(spark, monkeypatch):
+    """Beyond what is broadcast, rows are told apart by the bit table."""
+    monkeypatch.setattr(J, "broadcast_if_small", lambda df, *a: df)
+    docs = spark.createDataFrame([(i, f"some words that two rows have {i // 2}") for i in range(60)] + [(None, "some words that two rows have 3")], "doc_id long, text string")
+    kept = J.deduplicate(docs).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == list(range(0, 60, 2))
