@@ -38,9 +38,9 @@ _SPACE = "▁"
 _NORMAL, _BYTE = 1, 6
 _UNIGRAM, _BPE = 1, 2
 _CELLS = 1 << 19
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 #: Pieces decoded at once.
-DECODE_PIECES = 1 << 19
+DECODE_PIECES = 1 << 18
 #: Bounds of what a worker remembers between slices: segmented words (of at most 64 bytes) and pairs of pieces.
 WORD_MEMO, PAIR_MEMO = 1 << 20, 1 << 22
 _NONE = -1
