@@ -9,9 +9,10 @@ small error rate). A level stands for the smallest count it holds; no estimate e
 Scoring: p(w | h) = (c(h, w) + KAPPA * p(w)) / (c(h) + KAPPA), with p(w) = (c(w) + 1) / (N + V + 1) and the end token as
 the context of a first word.
 
-Token counts and filter are broadcast if together they are within ``broadcast_bytes`` (checked before they are read).
-Beyond that, each slice's distinct keys are joined with the counts and brought back to the slice (see _joined()), with
-the same levels and no filter. Either way no task holds more than a bucket or a slice with its own keys; the number of
+Probing: by default each slice's distinct keys go to the buckets of their hashes once, held-out texts' with count 0; a
+bucket counts, builds its filter, probes it for all keys it was sent and returns counts and levels to the slices (see
+_by_bucket()). With ``broadcast_bytes``, tables within it are broadcast instead; the buckets, filters and scores are the
+same. Either way no task holds more than a bucket with the keys it was sent, or a slice with its own; the number of
 buckets follows the size of the texts, and no single key can fill one, as slices are counted before they are sent.
 
 Null and empty texts are one end token. Repeated rows count, and are scored, repeatedly. Without training texts, N and V
@@ -25,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,11 @@ from . import kernel as K
 from .common import stored
 
 KAPPA = 2.0
-BROADCAST_BYTES = 400 << 20
 #: Text per bucket; a bucket holds the distinct pairs of about so many bytes of text.
 BUCKET_BYTES = 8 << 20
 BITS, PROBES = 12, 4
 _SLICE = 6 << 20
+_SLICE_COL, _TRAIN = "_slice", "_train"
 _END = np.uint64(0x5DEECE66D1234567)
 _U = np.uint64
 
@@ -201,22 +203,25 @@ def _scored(part: pa.RecordBatch, names: list[str], first: np.ndarray, c, contex
     return pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(x)) for x in names), *columns], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, broadcast_bytes: int = BROADCAST_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, broadcast_bytes: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document row: its id, extra columns, n_tokens, n_known, train_tokens, base_score, score.
 
-    train: which rows to learn from. All rows are scored.
+    train: which rows to learn from. All rows are scored. broadcast_bytes: tables up to this size are broadcast instead of
+    probed bucket by bucket, with the same scores; by default none is, so that every size runs the same way.
     """
     spark = documents.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    docs = documents.select(F.col(id_col).alias("doc_id"), *(x.alias(k) for k, x in (extra or {}).items()), text)
+    marked = documents.select(F.col(id_col).alias("doc_id"), *(x.alias(k) for k, x in (extra or {}).items()), text, F.coalesce(train, F.lit(False)).alias(_TRAIN))
+    docs = marked.drop(_TRAIN)
     texts = documents.where(train).select(text)
-    size = texts.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bucket_bytes))
-    counted = _counted(texts, n_buckets)
-    tables = stored(_reduced(counted, n_buckets), "ngrams")
+    if not broadcast_bytes:
+        return _by_bucket(marked, n_buckets)
+    tables = stored(_reduced(_counted(texts, n_buckets), n_buckets), "ngrams")
     held = tables.agg(F.sum(F.length("words") + F.length("counts") + F.length("filter"))).first()[0] or 0
     if held > broadcast_bytes:
-        return _joined(docs, counted)
+        return _by_bucket(marked, n_buckets)
     sizes = [(r["bucket"], r["n"] // 8, r["f"] // 8) for r in tables.select("bucket", F.length("words").alias("n"), F.length("filter").alias("f")).collect()]
     shared = spark.sparkContext.broadcast(Tables(tables.toLocalIterator(), sizes))
     names = [c for c in docs.columns if c != "text"]
@@ -241,56 +246,100 @@ def _kinds(docs: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
 
 
-def _joined(docs: DataFrame, counted: DataFrame) -> DataFrame:
-    """The way for tables beyond the broadcast bound: join each slice's distinct keys with the counts.
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values byte by byte, the highest first: what is equal in sorted keys and small numbers packs well."""
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    Slices are stored with their distinct keys first, so that their numbers cannot change.
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(_U)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts the keys, where each distinct one begins in it, and the number of each key's distinct one."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    begins = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(keys)]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(begins) - 1
+    return order, np.flatnonzero(begins), number
+
+
+def _added(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of a bucket, their counts, each sent key's number among them, and where each message begins."""
+    parts = [_from_planes(k) for k in keys]
+    sent = np.concatenate(parts)
+    order, first, number = _runs(sent)
+    c = np.frombuffer(b"".join(counts), np.uint32)[order].astype(np.int64)
+    counts = np.add.reduceat(c, first) if len(first) else np.zeros(0, np.int64)
+    return sent[order[first]], counts, number, np.cumsum([0, *map(len, parts)])
+
+
+def _by_bucket(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """Each slice's distinct keys are sent once, with their counts in training texts (0 in others); each bucket builds its
+    filter, probes it for all keys it was sent, and the answers meet their slice's texts.
+
+    One plan: texts are dealt by slice once, and keys by bucket once (the exchanges are used twice).
     """
-    names = [c for c in docs.columns if c != "text"]
+    names = [c for c in docs.columns if c not in ("text", _TRAIN)]
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for row in batch.to_pylist():
-                for kind, k, c in ((0, "words", "counts"), (1, "pairs", "pair_counts")):
-                    keys, counts = np.frombuffer(row[k], np.int64), np.frombuffer(row[c], np.uint32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys, pa.int64()), pa.array(counts.astype(np.int64), pa.int64())], ["kind", "key", "n"])
-
-    counts = stored(counted.mapInArrow(unpack, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    totals = counts.where("kind = 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = totals["n"] or 0, totals["v"]
-    rows = stored(docs.withColumn("slice", F.floor(F.monotonically_increasing_id() / 256)), "slices")
-
-    def keys_of(group_text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        data, offs = K.utf8_buffer(group_text)
-        tokens, first = _tokens(data, offs)
+            for i, j, _, _ in K.slices(batch.column(batch.schema.get_field_index("text")), _SLICE):
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(j - i, number), pa.int64())], [*part.schema.names, _SLICE_COL])
+                number += 1
+
+    def keys_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        tokens, first = _tokens(*K.utf8_buffer(pa.concat_arrays(texts.chunks)))
         return tokens, _pairs(tokens), first
 
     def ask(group: pa.Table) -> pa.Table:
-        tokens, pairs, _ = keys_of(group["text"].combine_chunks())
-        keys = [np.unique(np.append(tokens, _END)), np.unique(pairs)]
-        kinds = np.repeat([0, 1], [len(k) for k in keys])
-        return pa.table({"slice": pa.array(np.full(len(kinds), group["slice"][0].as_py()), pa.int64()), "kind": pa.array(kinds, pa.int32()), "key": pa.array(np.concatenate(keys).view(np.int64), pa.int64())})
-
-    found = rows.select("slice", "text").groupBy("slice").applyInArrow(ask, "slice long, kind int, key long").join(counts, ["kind", "key"])
-
-    def answer(key, texts: pa.Table, known: pa.Table) -> pa.Table:
-        texts = texts.combine_chunks()
-        tokens, pairs, first = keys_of(texts["text"].combine_chunks() if texts.num_rows else pa.array([], pa.string()))
-        kind = known["kind"].to_numpy()
-
-        def lookup(which: int, wanted: np.ndarray) -> np.ndarray:
-            keys, n = known["key"].to_numpy()[kind == which].view(_U), known["n"].to_numpy()[kind == which]
-            if not len(keys):
-                return np.zeros(len(wanted), np.int64)
-            order = np.argsort(keys)
-            at = np.minimum(np.searchsorted(keys[order], wanted), len(keys) - 1)
-            return np.where(keys[order][at] == wanted, n[order][at], 0)
-
-        c = lookup(0, tokens)
-        context = np.concatenate([lookup(0, np.array([_END], _U)), c[:-1]])
-        pair = lookup(1, pairs)
-        pair = np.where(pair > 0, 1 << np.maximum(levels_of(np.maximum(pair, 1)) - 1, 0), 0)
-        batch = texts.to_batches()[0] if texts.num_rows else pa.RecordBatch.from_pylist([], schema=texts.schema)
-        return pa.Table.from_batches([_scored(batch, names, first, c, context, pair, total, distinct)])
-
-    return rows.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(answer, f"{_kinds(docs)}, {_OUT}")
+        tokens, pairs, first = keys_of(group["text"])
+        learnt = np.repeat(group[_TRAIN].to_numpy().astype(np.int64), np.diff(first))
+        bounds = _bucket_bounds(n_buckets)
+        columns = []
+        for keys, seen in ((np.append(tokens, _END), np.append(learnt, 0)), (pairs, learnt)):
+            order, begins, _ = _runs(keys)
+            counts, keys = np.add.reduceat(seen[order], begins).astype(np.uint32), keys[order[begins]]
+            at = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+            columns.append(pa.array([_planes(keys[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+            columns.append(pa.array([counts[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+        number = pa.array(np.full(n_buckets, group[_SLICE_COL][0].as_py()), pa.int64())
+        return pa.Table.from_arrays([number, pa.array(np.arange(n_buckets), pa.int64()), *columns], ["slice", "bucket", "words", "counts", "pairs", "pair_counts"])
+
+    def size_of(group: pa.Table) -> pa.Table:
+        _, counts, _, _ = _added(group["words"].to_pylist(), group["counts"].to_pylist())
+        return pa.table({"total": pa.array([int(counts.sum())], pa.int64()), "distinct": pa.array([int((counts > 0).sum())], pa.int64())})
+
+    def answer(group: pa.Table) -> pa.Table:
+        _, counts, number, at = _added(group["words"].to_pylist(), group["counts"].to_pylist())
+        found = [_planes(counts[number[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        pairs, counts, number, at = _added(group["pairs"].to_pylist(), group["pair_counts"].to_pylist())
+        seen, bucket = counts > 0, group["bucket"][0].as_py()
+        made = build_filter(pairs[seen], levels_of(counts[seen]))
+        held = Tables([{"bucket": bucket, "n_buckets": n_buckets, "words": b"", "counts": b"", "filter": made.tobytes()}], [(bucket, 0, len(made))])
+        level = held.level(pairs).astype(np.uint8)
+        levels = [level[number[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.table({"slice": group["slice"], "bucket": group["bucket"], "found": pa.array(found, pa.binary()), "levels": pa.array(levels, pa.binary())})
+
+    def finish(texts: pa.Table, known: pa.Table) -> pa.Table:
+        tokens, pairs, first = keys_of(texts["text"])
+        known = known.sort_by("bucket")
+        c = np.concatenate([_from_planes(x) for x in known["found"].to_pylist()]).astype(np.int64)
+        level = np.frombuffer(b"".join(known["levels"].to_pylist()), np.uint8).astype(np.int64)
+        _, _, number = _runs(np.append(tokens, _END))
+        c = c[number]
+        context = np.concatenate([c[-1:], c[:-2]])
+        level = level[_runs(pairs)[2]]
+        part = pa.RecordBatch.from_arrays([pa.concat_arrays(texts[x].chunks) for x in names], names)
+        total, distinct = known["total"][0].as_py(), known["distinct"][0].as_py()
+        return pa.Table.from_batches([_scored(part, names, first, c[:-1], context, np.where(level, 1 << np.maximum(level - 1, 0), 0), total, distinct)])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = docs.mapInArrow(cut, f"{fields}, {_SLICE_COL} long")
+    asked = rows.groupBy(_SLICE_COL).applyInArrow(ask, "slice long, bucket long, words binary, counts binary, pairs binary, pair_counts binary")
+    totals = asked.groupBy("bucket").applyInArrow(size_of, "total long, distinct long").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("total", "distinct")))
+    answers = asked.groupBy("bucket").applyInArrow(answer, "slice long, bucket long, found binary, levels binary").crossJoin(F.broadcast(totals))
+    return rows.groupBy(_SLICE_COL).cogroup(answers.groupBy("slice")).applyInArrow(finish, f"{_kinds(docs.select(names))}, {_OUT}")

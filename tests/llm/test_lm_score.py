@@ -87,3 +87,15 @@ def test_no_training_rows(spark):
     got = L.score(df, F.lit(False)).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)]
     assert L.score(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_filter_at_every_size(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = crc_bucket("doc_id", 7) == 2
+    one, other, broadcast = (sorted(map(tuple, L.score(df, ~held, **size).collect())) for size in ({}, {"broadcast_bytes": 10}, {"broadcast_bytes": 1 << 30}))
+    assert one == other == broadcast
+    exact = brute([(i, t, zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows])
+    assert any(r[-1] > exact[r[0]][5] + 1e-6 for r in other)  # the filter's errors: it did run
