@@ -161,7 +161,7 @@ def competition_features(spark, sf):
 
 @query()
 def pair_features(spark, sf):
-    """All 69 features of pairs by shared name keys of documents read as records."""
+    """All 69 features of pairs by shared keys and nearest vectors of documents read as records."""
     from .linkage import features_of_documents
 
     return features_of_documents(spark, sf)

@@ -96,7 +96,7 @@ def linkage_scores(spark, sf):
     """Both stages of scores on all features of documents read as records."""
     described, s23 = linkage.labelled_features_of_documents(spark, sf)
     names = s23.select(F.col("entity_id").alias("id"), F.col("name_core").alias("name"), F.col("name_skel").alias("skel"), F.col("addr_norm").alias("addr"), F.col("addr_hnum").alias("hnum"))
-    return linkage.stacked_scores(described, names, 3)
+    return linkage.stacked_scores(described, names, linkage.Settings().rounds)
 
 
 _FOUR = ["f1", "f2", "f3", "f4"]

@@ -112,7 +112,7 @@ def document_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 def labelled_features_of_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s1_raw, s23_raw, truth = document_records(spark, sf_dir)
     s1, s23 = materialized(normalized(s1_raw)), materialized(normalized(s23_raw))
-    pairs = materialized(candidates(s1, s23, Settings(vector_blocking=False)))
+    pairs = materialized(candidates(s1, s23, Settings()))
     out = features(pairs, s1, s23).join(truth.select("s1", "s23", F.lit(1).alias("y")), ["s1", "s23"], "left")
     return out.withColumns({"y": F.coalesce("y", F.lit(0)).cast("double"), "is_val": crc_split("s1")}), s23
 

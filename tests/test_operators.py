@@ -186,3 +186,17 @@ def test_arrivals(spark, tmp_path):
     query.awaitTermination(120)
     got = spark.read.parquet(f"{tmp_path}/out").select("s1", "s23")
     assert got.join(truth, ["s1", "s23"], "left_semi").count() > 10
+
+
+def test_registered_features_have_both_channels(spark):
+    got = linkage.features_of_documents(spark, "/root/testdata/sf0.001")
+    assert got.where("b_rank_fwd < 99").count() > 0 and got.where("b_rank_rev < 99").count() > 0
+    assert got.where("b_cos > 0").select("b_cos").distinct().count() > 10
+
+
+def test_registered_scores_use_the_default_rounds(spark, monkeypatch):
+    from recweld.plans import learning_queries
+
+    monkeypatch.setattr(linkage, "labelled_features_of_documents", lambda *_: (None, linkage.normalized(businesses(spark)[1])))
+    monkeypatch.setattr(linkage, "stacked_scores", lambda described, names, rounds: rounds)
+    assert learning_queries.linkage_scores(spark, "") == linkage.Settings().rounds == 20
