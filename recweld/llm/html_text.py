@@ -2,12 +2,16 @@
 
 A page is read once from left to right. Block-level tags end a block; inline tags, line breaks and comments do not, but
 <br> counts as white space. The content of scripts, styles and the like is skipped. Each block has its word count and
-link density, those of the blocks before and after it, and three marks of the elements around it (PLACE, HEADING, HINT).
+link density, those of the blocks before and after it, and marks of the elements around it (PLACE, HEADING, HINT). A class
+name, id or role that hints at surroundings does not decide alone: the size, link density and share of the page of the
+element that has it are features beside it, as wrappers of a whole page have such names as well.
 A decision tree, trained by Gini impurity on the labelled table below, says which blocks are main text.
 
 Text of a block: character references are decoded, white space becomes one space, ends are trimmed. Kept blocks are
 joined by a line feed. Null and empty pages, and pages without main text, give the empty text. Cut-off pages are read as
-far as they go: an unfinished tag or comment at the end is dropped. Pages of any length are read in time in proportion
+far as they go: an unfinished tag or comment at the end is dropped, and so is what follows a script, style, title or text
+field that never ends; other skipped elements without an end are read on after their start tag, options end at the next
+option or where their list does. Pages of any length are read in time in proportion
 to their length. Repeated rows give repeated results; only the id, url and html columns are read.
 """
 
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr br".split())
 #: Elements whose content is no text of the page.
 SKIPPED = frozenset("script style noscript template title textarea select option iframe object canvas svg math video audio".split())
+#: Those of them that hold no markup: without an end tag they go on to the end of the page.
+RAW = frozenset("script style title textarea".split())
 #: Elements without an end tag (a fixed value of the language).
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that hold what surrounds an article.
@@ -48,9 +54,10 @@ _LOOSE = re.compile(r"<(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>[^>]*)(?P<
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 
-#: PLACE: 1 inside an article, 0 anywhere, -1 inside what surrounds one. HINT: 1 if a class name, id or role says so.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "heading", "hint")
-#: Blocks of pages that mark no article, by hand after the usual make-up of pages: FEATURES, then 1 for main text.
+#: PLACE: 1 inside an article, 0 anywhere, -1 inside what surrounds one. HINT: 1 if a class name, id or role says so, 2 if it
+#: tells of comments; then the words, link density and share of the page's unlinked words of the element that says so.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "heading", "hint", "hint_words", "hint_links", "hint_share")
+#: Blocks of pages that mark no article, by hand after the usual make-up of pages: FEATURES up to hint, then 1 for main text.
 _UNMARKED = (
     (55, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 1), (30, 0.1, 45, 0.0, 25, 0.1, 0, 0, 0, 1), (18, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 1), (7, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1),
     (6, 0.0, 3, 1.0, 60, 0.0, 0, 1, 0, 1), (5, 0.0, 40, 0.0, 50, 0.0, 0, 1, 0, 1), (100, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1), (25, 0.0, 70, 0.0, 3, 1.0, 0, 0, 0, 1), (15, 0.05, 4, 0.0, 38, 0.0, 0, 0, 0, 1),
@@ -62,10 +69,19 @@ _UNMARKED = (
 #: Blocks in marked places: any words and links, between any neighbours, have the label of the place and hint.
 _SHAPES = ((1, 0.0, 0), (3, 0.0, 1), (12, 1.0, 0), (60, 0.05, 0), (400, 0.0, 0))
 _NEIGHBOURS = ((0, 0.0, 0, 0.0), (2, 1.0, 60, 0.0), (80, 0.0, 2, 1.0), (50, 0.0, 45, 0.1))
-_MARKED = ((1, 0, 1), (1, 1, 0), (0, 1, 0), (-1, 0, 0), (-1, 1, 0))
+_MARKED = ((1, 0, 1), (1, 1, 0), (0, 1, 0), (-1, 0, 0), (-1, 1, 0), (1, 2, 0), (0, 2, 0), (-1, 2, 0))
+#: Elements with a hint: words, link density, share of the page. What is small or of links is what the hint says; what holds
+#: the text of the page is a wrapper, and its blocks are as without the hint. Comments are as long as texts are.
+_SMALL = ((12, 0.0, 0.05), (60, 0.1, 0.3), (200, 0.7, 0.2), (100, 0.8, 0.45))
+_WRAPPERS = ((30, 0.1, 0.6), (120, 0.3, 0.8), (400, 0.1, 0.3), (900, 0.2, 0.95), (5000, 0.05, 1.0))
+_THREADS = ((12, 0.0, 0.05), (300, 0.05, 0.4), (3000, 0.1, 0.8))
+_PAGES = ((400, 0.1, 0.98), (5000, 0.2, 1.0))
+_NONE = ((0, 0.0, 0.0),)
 #: The labelled table.
-LABELLED = _UNMARKED + tuple((w, k, *near, place, heading, hint, label) for place, hint, label in _MARKED for w, k, heading in _SHAPES for near in _NEIGHBOURS)
-DEPTH = 6
+LABELLED = tuple((*row[:-2], hint, *extent, row[-1]) for row in _UNMARKED for hint, extents in ((0, _NONE), (1, _WRAPPERS), (2, _PAGES)) for extent in extents) + tuple(
+    (w, k, *near, place, heading, hint, *extent, label) for place, hint, label in _MARKED for w, k, heading in _SHAPES for near in _NEIGHBOURS for extent in (_NONE, _SMALL, _THREADS)[hint]
+) + tuple((w, k, *near, 1, heading, hint, *extent, 1) for hint, extents in ((1, _WRAPPERS), (2, _PAGES)) for w, k, heading in _SHAPES for near in _NEIGHBOURS for extent in extents)
+DEPTH = 8
 
 
 class Block(NamedTuple):
@@ -75,6 +91,7 @@ class Block(NamedTuple):
     place: int
     heading: int
     hint: int
+    extent: tuple[float, float, float]
 
 
 def train_tree(rows: np.ndarray, depth: int = DEPTH) -> tuple | float:
@@ -123,8 +140,10 @@ def _hinted(attrs: str) -> int:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, the empty ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # open elements that matter: name, place, hint
-    place, hint, heading, link, skip = 0, 0, 0, 0, ""
+    stack: list[tuple[str, int, int, int]] = []  # open elements that matter: name, place, hint, number of the hint
+    inside, regions = [0], []  # of each hint the number of the one around it; of each block its number
+    place, hint, region, heading, link, skip = 0, 0, 0, 0, 0, ""
+    endless: set[str] = set()
     parts: list[tuple[str, bool]] = []
     at, n = 0, len(page)
 
@@ -135,23 +154,28 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = sum(len(t.split()) for t, inside in parts if inside)
                 words = len(text.split(" "))
-                out.append(Block(text, words, min(words, linked), place, heading, min(1, hint)))
+                out.append(Block(text, words, min(words, linked), place, heading, hint, _NONE[0]))
+                regions.append(region)
             parts = []
 
     while at < n:
+        if skip:
+            m = _ends(skip).search(page, at)
+            if m:
+                at = m.end()
+            elif skip in RAW:
+                break
+            else:
+                endless.add(skip)
+            skip = ""
+            continue
         tag = page.find("<", at)
         if tag < 0:
             tag = n
-        if tag > at and not skip:
+        if tag > at:
             parts.append((html.unescape(page[at:tag]) if "&" in page[at:tag] else page[at:tag], link > 0))
         if tag == n:
             break
-        if skip:
-            m = _ends(skip).search(page, tag)
-            if not m:
-                break
-            at, skip = m.end(), ""
-            continue
         m = _TAG.match(page, tag)
         if not m:
             if tag + 1 < n and (page[tag + 1].isascii() and page[tag + 1].isalpha()) or page[tag + 1 : tag + 2] == "/" and page[tag + 2 : tag + 3].isalpha():
@@ -173,7 +197,7 @@ def blocks(page: str) -> list[Block]:
         if name in SKIPPED and not ending:
             if name not in INLINE:
                 flush()
-            if not m["attrs"].rstrip().endswith("/"):
+            if not m["attrs"].rstrip().endswith("/") and name not in endless:
                 skip = name
             continue
         if name == "a":
@@ -191,20 +215,38 @@ def blocks(page: str) -> list[Block]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
             if k >= 0:
                 del stack[k:]
-                place, hint = stack[-1][1:] if stack else (0, 0)
+                place, hint, region = stack[-1][1:] if stack else (0, 0, 0)
             continue
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-            place, hint = stack[-1][1:] if stack else (0, 0)
+            place, hint, region = stack[-1][1:] if stack else (0, 0, 0)
         inner = place
         if name in INSIDE and place >= 0:
-            inner, hint = 1, hint if hint == 2 else 0
+            inner = 1
+            hint, region = (hint, region) if hint == 2 else (0, 0)
         elif name in AROUND or name == "header" and place == 0:
             inner = -1
-        place, hint = inner, max(hint, hinted)
-        stack.append((name, place, hint))
+        place = inner
+        if hinted and hinted >= hint:
+            inside.append(region)
+            hint, region = hinted, len(inside) - 1
+        stack.append((name, place, hint, region))
     flush()
-    return out
+    return _with_extents(out, regions, inside) if len(inside) > 1 else out
+
+
+def _with_extents(found: list[Block], regions: list[int], inside: list[int]) -> list[Block]:
+    """The blocks below a hint with the words, link density and share of the page's unlinked words of its element."""
+    words, linked = [0] * len(inside), [0] * len(inside)
+    for b, r in zip(found, regions, strict=True):
+        words[r] += b.words
+        linked[r] += b.linked
+    for r in range(len(inside) - 1, 0, -1):
+        words[inside[r]] += words[r]
+        linked[inside[r]] += linked[r]
+    plain = max(1, words[0] - linked[0])
+    extents = [(float(w), k / max(1, w), (w - k) / plain) for w, k in zip(words, linked, strict=True)]
+    return [b._replace(extent=extents[r]) if r else b for b, r in zip(found, regions, strict=True)]
 
 
 _end_cache: dict[str, re.Pattern] = {}
@@ -212,7 +254,10 @@ _end_cache: dict[str, re.Pattern] = {}
 
 def _ends(name: str) -> re.Pattern:
     if name not in _end_cache:
-        _end_cache[name] = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
+        end = rf"</{name}(?=[\s/>])[^>]*>"
+        if name == "option":  # its end tag may be left out
+            end += r"|(?=<(?:option|/?optgroup|/select|/datalist)[\s/>])"
+        _end_cache[name] = re.compile(end, re.I)
     return _end_cache[name]
 
 
@@ -220,7 +265,7 @@ def features(found: list[Block]) -> np.ndarray:
     own = np.array([(b.words, b.linked / b.words) for b in found], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
     before, after = np.concatenate([edge, own[:-1]]), np.concatenate([own[1:], edge])
-    marks = np.array([(b.place, b.heading, b.hint) for b in found], float).reshape(-1, 3)
+    marks = np.array([(b.place, b.heading, b.hint, *b.extent) for b in found], float).reshape(-1, 6)
     return np.concatenate([own, before, after, marks], axis=1)
 
 

@@ -46,3 +46,29 @@ def test_tree_separates_the_labelled_table():
 
     rows = np.array(H.LABELLED, float)
     assert ((H.predict(H.TREE, rows[:, :-1]) >= 0.5) == (rows[:, -1] == 1)).all()
+
+
+LONG = "This is a plain paragraph of some length that tells a story about nothing in particular, at ease."
+
+
+def test_hints_on_wrappers():
+    aside = "<div class='sidebar'><a href=1>One</a> <a href=2>Two</a></div><div class='ad'>Buy one now, get two later.</div>"
+    text = f"<h1>A title</h1><p>{LONG}</p><p>{LONG} {LONG}</p><p>A short line.</p>"
+    want = f"A title\n{LONG}\n{LONG} {LONG}\nA short line."
+    for tag, name in (("article", "post category-social"), ("main", "with-sidebar")):
+        assert H.main_texts([f"<body>{aside}<{tag} class='{name}'>{text}</{tag}>{aside}</body>"]) == [want], (tag, name)
+    for name in ("has-sidebar", "page menu-open", "comments-open"):
+        got = H.main_texts([f"<body><div id=x class='{name}'>{text}{aside}</div></body>"])[0]
+        assert LONG in got and f"{LONG} {LONG}" in got and "Buy" not in got and "Two" not in got, name
+
+
+def test_missing_end_tags():
+    for bad in ("<datalist><option value=a><option value=b></datalist>", "<iframe src=x>", "<svg><path d=1>", "<video src=x>", "<select><option>One<option>Two</select>"):
+        assert H.main_texts([f"<article><p>Before it.</p>{bad}<p>After it.</p></article>"]) == ["Before it.\nAfter it."], bad
+    for bad in ("<svg>", "<option>", "<iframe>", "<div class='ad'>"):
+        took = []
+        for n in (20_000, 80_000):
+            t = time.perf_counter()
+            H.main_texts([bad * n])
+            took.append(time.perf_counter() - t)
+        assert took[1] < 12 * took[0] + 0.5, (bad, took)
