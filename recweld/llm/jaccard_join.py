@@ -415,8 +415,9 @@ def _across(postings: DataFrame, percent: int) -> DataFrame:
     return postings.groupBy("bucket", "gram").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row per document row: its id, n_shingles, component_id."""
+def _links(documents: DataFrame, id_col: str, text_col: str, ngram: int, percent: int, bucket_bytes: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """Rows (doc_id, n, class), classes (class, first, n), links (a, b) of classes and their components (node, root); the
+    last two None without words. every: all links, and no components; else as many as make the components exact."""
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -425,7 +426,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     classes = stored(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), "classes")
     size = classes.agg(F.sum("n").alias("grams"), F.count("*").alias("n")).first()
     if not size["n"]:
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return rows, classes, None, None
     order = spark.sparkContext.broadcast(_order_table(described.where("segment is not null").select("segment", "task", "cells")))
     hot = HOT + 2 * (size["grams"] >> SKETCH_BITS)
     per_gram = 20 * (100 - percent) / 100
@@ -438,13 +439,40 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     ids = stored(wanted.join(classes, "class").select(F.xxhash64("first").alias("h")), "ids")
     sets = stored(_sets_of(docs, _bloom(ids, ids.count()), ngram), "sets")  # rarely, a class has two rows
     links = stored(_verified(pairs, sets, percent), "links")
-    roots = stored(components(links), "roots")
-    named = large.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    roots = None if every else stored(components(links), "roots")
+    if every:  # each class by itself, so that _across() makes the pairs inside a component too
+        named = large.withColumn("root", F.col("class"))
+    else:
+        named = large.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = named.join(sets.select("class", "ranges").dropDuplicates(["class"]), "class")
     more = stored(_across(named, percent).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
         links = links.unionAll(_verified(more, sets, percent))
-        roots = stored(components(links), "roots")
+        roots = None if every else stored(components(links), "roots")
+    return rows, classes, links, roots
+
+
+def jaccard_links(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """One row per document row: its id, n_shingles, class (of equal sets; null without words) and n_links, the number of
+    other classes it is linked with. Every pair of classes that shares an n-gram of a prefix and passes the filters is
+    checked, inside components too: in a group of k near copies about k * k / 2 pairs."""
+    rows, classes, links, _ = _links(documents, id_col, text_col, ngram, percent, bucket_bytes, every=True)
+    none = F.lit(0).cast("long").alias("n_links")
+    n = F.col("n").alias("n_shingles")
+    if links is None:
+        return rows.select("doc_id", n, F.lit(None).cast("long").alias("class"), none)
+    links = links.distinct()
+    ends = links.select(F.col("a").alias("class")).unionAll(links.select(F.col("b").alias("class")))
+    classes = classes.select("class").join(ends.groupBy("class").agg(F.count("*").alias("n_links")), "class", "left")
+    out = rows.where("n > 0").join(classes, "class").select("doc_id", n, "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.unionAll(rows.where("n = 0").select("doc_id", n, F.lit(None).cast("long").alias("class"), none))
+
+
+def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """One row per document row: its id, n_shingles, component_id."""
+    rows, classes, _, roots = _links(documents, id_col, text_col, ngram, percent, bucket_bytes, every=False)
+    if roots is None:
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     firsts = roots.withColumnRenamed("node", "class").join(classes, "class").groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(firsts, "root").select(F.col("node").alias("class"), "component_id")
     classes = classes.join(named, "class", "left").select("class", F.coalesce("component_id", "first").alias("component_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import language, lm_score, quality
 from .common import crc_bucket, table
 from .decontaminate import decontaminate
-from .jaccard_join import jaccard_components
+from .jaccard_join import jaccard_components, jaccard_links
 from .html_text import extract_text
 from .media import media_digest
 from .pii import pii_digest
@@ -21,6 +21,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_bucket("doc_id", 3) == 1

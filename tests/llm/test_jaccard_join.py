@@ -104,3 +104,24 @@ def test_many_rows_to_drop(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"some words that two rows have {i // 2}") for i in range(60)] + [(None, "some words that two rows have 3")], "doc_id long, text string")
     kept = J.deduplicate(docs).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == list(range(0, 60, 2))
+
+
+@pytest.mark.parametrize("small,near", [(64, 6), (3, 1)])
+def test_all_links_equal_brute_force(spark, monkeypatch, small, near):
+    monkeypatch.setattr(J, "SMALL", small)
+    monkeypatch.setattr(J, "NEAR", near)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(0, None)]
+    for i in range(1, 41):  # near copies: one component, many links of each
+        words = list(base)
+        words[rng.randrange(56, 60)] = f"x{i}"
+        rows.append((i, " ".join(words[: 60 - rng.randrange(4)])))
+    rows += [(50, rows[1][1]), (51, "other words that no one else has here")]
+    sets = {i: frozenset(zip(*(t.split()[k:] for k in range(J.NGRAM)))) for i, t in rows if t}
+    distinct = set(sets.values())
+    links = {a: sum(a != b and 100 * len(a & b) >= J.PERCENT * len(a | b) for b in distinct) for a in distinct}
+    assert sum(links.values()) > 600
+    got = J.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["n_links"]) for r in got} == {i: (len(sets[i]), links[sets[i]]) if t else (0, 0) for i, t in rows}
+    assert len({r["class"] for r in got if r["class"] is not None}) == len(distinct)
