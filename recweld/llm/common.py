@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir. A local one is set only where none is (tests)."""
+    """The folder shared by driver and executors: spark.checkpoint.dir. Only in local mode, as in tests, one is made if none
+    is set; a cluster must name one, as what its machines write to folders of their own can't be read by others."""
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = context.getCheckpointDir()
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="recweld-"))
         root = context.getCheckpointDir()
     return root.rstrip("/")
@@ -28,9 +29,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores before it as make it new (letters' case does not count)."""
+    own = {c.lower() for c in taken}
+    while name.lower() in own:
+        name = f"_{name}"
+    return name
+
+
+def small_enough(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> bool:
+    """Whether a stored table may be broadcast: its rows are counted."""
+    return df.count() * row_bytes <= most
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
     """A broadcast hint for a stored table, if its rows are few enough; else it is joined as any other."""
-    return F.broadcast(df) if df.count() * row_bytes <= most else df
+    return F.broadcast(df) if small_enough(df, row_bytes, most) else df
 
 
 def crc_bucket(id_col: str, modulus: int) -> Column:

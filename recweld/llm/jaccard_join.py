@@ -4,24 +4,28 @@ Two texts are linked if the Jaccard similarity of their sets of distinct word n-
 text's set: its distinct runs of n words; with fewer words, the whole sequence; without words, the empty set, which is
 linked with nothing. n-grams are compared by 64-bit hashes, sets by 64 bits of a digest (their class).
 
-1. sets: each text's size and class. Texts of one class are copies; from here on a class takes part once. A fixed-size
-   table of counts per hash range (2 ** SKETCH_BITS cells, summed up in a tree) gives the global order: n-grams of rarer
-   cells first, then by hash. Any global order finds all links; a rare-first one finds few others.
+1. sets: each text's size and class. Texts of one class are copies; from here on a class takes part once. Every task
+   counts its classes' n-grams in a Misra-Gries summary of HEAVY counters; summaries are merged in a tree. Whatever the
+   input, every n-gram with more than 1 / HEAVY of all is in the result, and no count is too high. The global order is by
+   these counts, 0 for all others, then by hash: n-grams that are frequent somewhere come last. Any global order finds all
+   links; a rare-first one finds few others.
 2. postings: each class sends the n-grams of its prefix, n - ceil(t n) + 1 of them, with its size and their positions,
-   packed, to the buckets of their hashes. Linked classes share one at least. An n-gram of a very full cell is dealt in
-   blocks: classes are split into blocks, and each pair of blocks meets in a bucket of its own.
+   packed, to the buckets of their hashes. Linked classes share one at least. An n-gram that would fill a bucket by itself
+   (DEAL classes) is dealt in blocks: classes are split into blocks, and each pair of blocks meets in a bucket of its own.
 3. candidates: classes that share an n-gram, pass the length filter, and share so many n-grams of their prefixes, at such
    positions, that they can be linked (the positional filter). Where many share one n-gram, each is first paired with its
    nearest in size only.
 4. verification: the candidates' sets are made once more (a Bloom filter of bounded size picks the texts), and each
    distinct pair is checked once: the suffix filter compares the numbers of n-grams in fixed ranges of hashes, and what
-   passes is counted exactly. Partners of a class with many are dealt to several tasks.
+   passes is counted exactly. Groups of near copies with many pairs, and classes with many partners, are dealt to
+   several parts, of PARTNERS pairs or so each.
 5. components of the links found so far. In the n-grams that many share, pairs of different components that pass the
-   filters are then checked as well, so that no link between components is left out; pairs inside one need no check.
+   filters are then checked as well, so that no link between components is left out; pairs inside one need no check. An
+   n-gram of more than HOT classes is split into blocks by its exact count, and each pair of blocks is a group.
 
 Nulls and empty texts: size 0, their own component. A component's id is the smallest doc_id in it; rows with a null id
-take part, and have a null component only if all of it has. Rows that repeat an id and text are in one component. Only
-the id and text columns are read. Sizes of buckets and parts follow the input; nothing that grows with it is broadcast or
+take part, and have a null component only if all of it has. Rows that repeat an id and text are in one component; rows of
+one id with other texts are rows of their own. Only the id and text columns are read; others may have any names. Sizes of buckets and parts follow the input; nothing that grows with it is broadcast or
 collected.
 """
 
@@ -38,20 +42,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import broadcast_if_small, stored
+from .common import broadcast_if_small, fresh_name, small_enough, stored
 from .components import components
 
 NGRAM, PERCENT = 5, 75
-SKETCH_BITS = 20
-_SEGMENTS = 16
-_TREE = 256
+#: Counters of a summary of n-gram counts, and summaries that are merged at once.
+HEAVY, _TREE = 1 << 18, 32
 #: Classes of one n-gram up to which all pairs are candidates at once; beyond it, NEAR neighbours in size at first.
 SMALL, NEAR = 48, 6
-#: Classes of one n-gram (beyond twice the mean of a cell) from which it is dealt in blocks.
-HOT = 20_000
+#: Classes of one n-gram from which its postings are dealt in blocks, and from which pairs of its components are.
+DEAL, HOT = 1 << 20, 20_000
 BUCKET_BYTES, PART_BYTES = 16 << 20, 24 << 20
 #: Pairs of one group of classes that are dealt to one part.
-PARTNERS = 4096
+PARTNERS = 1024
 BLOOM_BITS = (16, 28)
 _SLICE = 4 << 20
 _RANGES = 256
@@ -85,15 +88,52 @@ def _class_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _cells(grams: np.ndarray) -> np.ndarray:
-    return (grams >> _U(64 - SKETCH_BITS)).astype(np.int64)
+def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and their total counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if counts is None:
+        return keys[first], np.diff(np.append(first, len(keys)))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+
+
+def heaviest(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Misra-Gries: the greatest of the counts, at most ``most`` of them, less the greatest one left out. Summaries made so
+    and merged by adding up and cutting again miss no key with more than 1 / most of all, and count none too high."""
+    if len(keys) <= most:
+        return keys, counts
+    cut = np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
+    kept = counts > cut
+    return keys[kept], counts[kept] - cut
+
+
+class _Heavy:
+    """The merged summary, for lookup: sorted keys with counts, behind a bit table of their low bits."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+        self.seen = np.zeros(1 << 21, bool)
+        self.seen[self._low(keys)] = True
+
+    @staticmethod
+    def _low(keys: np.ndarray) -> np.ndarray:
+        return (keys & _U((1 << 21) - 1)).astype(np.int64)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(grams), np.int64)
+        at = np.flatnonzero(self.seen[self._low(grams)])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
+            out[at] = np.where(self.keys[place] == grams[at], self.counts[place], 0)
+        return out
 
 
 def _described(docs: DataFrame, ngram: int, id_type: str) -> DataFrame:
-    """(doc_id, n, class) for each row; and the task's table of counts, in segments (segment, task, cells)."""
+    """(doc_id, n, class) for each row; and the task's summary of counts (task, grams, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        grams, counts = np.zeros(0, _U), np.zeros(0, np.int64)
         seen: set[int] = set()
         kind = None
         for batch in batches:
@@ -101,45 +141,47 @@ def _described(docs: DataFrame, ngram: int, id_type: str) -> DataFrame:
             sizes, classes = [], []
             for _, _, data, offs in K.slices(batch.column("text"), _SLICE):
                 fresh = []
-                for grams in text_sets(data, offs, ngram):
-                    sizes.append(len(grams))
-                    classes.append(_class_of(grams))
-                    if len(grams) and classes[-1] not in seen:
+                for own in text_sets(data, offs, ngram):
+                    sizes.append(len(own))
+                    classes.append(_class_of(own))
+                    if len(own) and classes[-1] not in seen:
                         seen.add(classes[-1])
-                        fresh.append(grams)
+                        fresh.append(own)
                 if fresh:
-                    counts += np.bincount(_cells(np.concatenate(fresh)), minlength=len(counts)).astype(np.uint32)
+                    more = heaviest(*_summed(np.concatenate(fresh)), HEAVY)
+                    grams, counts = heaviest(*_summed(np.concatenate([grams, more[0]]), np.concatenate([counts, more[1]])), HEAVY)
             n = len(sizes)
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), none, none, pa.nulls(n, pa.binary())], ["doc_id", "n", "class", "segment", "task", "cells"])
-        if kind is not None and seen:
-            none, task = pa.nulls(_SEGMENTS, pa.int64()), TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.nulls(_SEGMENTS, kind), none, none, pa.array(range(_SEGMENTS), pa.int64()), pa.array([task] * _SEGMENTS, pa.int64()), pa.array([x.tobytes() for x in counts.reshape(_SEGMENTS, -1)], pa.binary())], ["doc_id", "n", "class", "segment", "task", "cells"])
+            none = pa.nulls(n, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int64()), none, none], ["doc_id", "n", "class", "task", "grams", "counts"])
+        if len(grams):
+            none, task = pa.nulls(1, pa.int64()), TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), none, none, pa.array([task], pa.int64()), pa.array([grams.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["doc_id", "n", "class", "task", "grams", "counts"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, n long, class long, segment long, task long, cells binary")
+    return docs.mapInArrow(run, f"doc_id {id_type}, n long, class long, task long, grams binary, counts binary")
 
 
-def _order_table(cells: DataFrame) -> np.ndarray:
-    """The sum of the tasks' tables of counts: 2 ** SKETCH_BITS numbers, whatever the input. Sums _TREE tables at a time."""
+def _heavy_grams(summaries: DataFrame) -> _Heavy:
+    """The tasks' summaries merged, _TREE at a time: HEAVY counters, whatever the input."""
 
     def run(group: pa.Table) -> pa.Table:
-        total = np.zeros((1 << SKETCH_BITS) // _SEGMENTS, np.uint32)
-        for x in group["cells"]:
-            part = np.frombuffer(x.as_py(), np.uint32)
-            total = np.minimum(total.astype(np.uint64) + part, np.uint64(2**32 - 1)).astype(np.uint32)
-        return pa.table({"segment": group["segment"][:1], "task": pa.array([group["task"][0].as_py() // _TREE], pa.int64()), "cells": pa.array([total.tobytes()], pa.binary())})
-
-    top = cells.agg(F.max("task")).first()[0]
+        grams, counts = np.zeros(0, _U), np.zeros(0, np.int64)
+        for x, n in zip(group["grams"], group["counts"], strict=True):
+            grams = np.concatenate([grams, np.frombuffer(x.as_py(), _U)])
+            counts = np.concatenate([counts, np.frombuffer(n.as_py(), np.int64)])
+            grams, counts = heaviest(*_summed(grams, counts), HEAVY)
+        return pa.table({"task": pa.array([group["task"][0].as_py() // _TREE], pa.int64()), "grams": pa.array([grams.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    top = summaries.agg(F.max("task")).first()[0]
     if top is None:
-        return np.zeros(1 << SKETCH_BITS, np.uint32)
+        return _Heavy(np.zeros(0, _U), np.zeros(0, np.int64))
     while True:
-        cells = cells.groupBy("segment", F.floor(F.col("task") / _TREE)).applyInArrow(run, "segment long, task long, cells binary")
+        summaries = summaries.groupBy(F.floor(F.col("task") / _TREE)).applyInArrow(run, "task long, grams binary, counts binary")
         top //= _TREE
         if top == 0:
             break
-        cells = stored(cells, "cells")
-    rows = sorted(cells.collect(), key=lambda r: r["segment"])
-    return np.concatenate([np.frombuffer(r["cells"], np.uint32) for r in rows])
+        summaries = stored(summaries, "summaries")
+    row = summaries.first()
+    return _Heavy(np.frombuffer(row["grams"], _U), np.frombuffer(row["counts"], np.int64))
 
 
 def _packed(columns: dict[str, np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
@@ -151,11 +193,12 @@ def _packed(columns: dict[str, np.ndarray], bucket: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *arrays], ["bucket", *columns])
 
 
-def _postings(texts: DataFrame, order, hot: int, n_buckets: int, ngram: int, percent: int) -> DataFrame:
-    """(bucket, gram, class, n, position), packed. Buckets are ranges of hashes; grams are the next 32 bits of the hash."""
+def _postings(texts: DataFrame, order, n_buckets: int, ngram: int, percent: int) -> DataFrame:
+    """(bucket, gram, class, n, position), packed. Buckets are ranges of hashes."""
+    deal = DEAL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = order.value
+        weight_of = order.value
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, offs in K.slices(batch.column(0), _SLICE):
@@ -167,7 +210,7 @@ def _postings(texts: DataFrame, order, hot: int, n_buckets: int, ngram: int, per
                     if not len(grams) or (name := _class_of(grams)) in seen:
                         continue
                     seen.add(name)
-                    weight = counts[_cells(grams)]
+                    weight = weight_of(grams)
                     first = np.lexsort((grams, weight))[: _prefix_size(len(grams), percent)]
                     found.append(grams[first])
                     weights.append(weight[first])
@@ -179,20 +222,19 @@ def _postings(texts: DataFrame, order, hot: int, n_buckets: int, ngram: int, per
                 gram, weight = np.concatenate(found), np.concatenate(weights)
                 own = np.repeat(np.arange(len(found)), lengths)
                 position = np.arange(len(gram)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                gram, own, position = _dealt(gram, own, position, weight, np.array(names, np.int64).view(_U), hot)
+                gram, own, position = _dealt(gram, own, position, weight, np.array(names, np.int64).view(_U), deal)
                 bucket = ((gram >> _U(32)) * _U(n_buckets) >> _U(32)).astype(np.int64)
-                rest = (gram * _U(n_buckets) >> _U(32)).astype(np.uint32)
-                yield _packed({"gram": rest, "class": np.array(names, np.int64)[own], "n": np.array(sizes, np.int32)[own], "position": position.astype(np.int32)}, bucket)
+                yield _packed({"gram": gram, "class": np.array(names, np.int64)[own], "n": np.array(sizes, np.int32)[own], "position": position.astype(np.int32)}, bucket)
 
     return texts.mapInArrow(run, "bucket long, gram binary, class binary, n binary, position binary")
 
 
-def _dealt(gram, own, position, weight, names, hot: int):
-    """An n-gram of a cell with many classes gets a hash for each pair of blocks that its class's block is in."""
-    full = weight > hot
+def _dealt(gram, own, position, weight, names, deal: int):
+    """An n-gram of very many classes gets a hash for each pair of blocks that its class's block is in."""
+    full = weight > deal
     if not full.any():
         return gram, own, position
-    blocks = -(-weight[full].astype(np.int64) // hot)
+    blocks = -(-weight[full] // deal)
     block = (K.mix(names[own[full]] + _U(77)) % blocks.astype(_U)).astype(np.int64)
     copies = np.repeat(np.flatnonzero(full), blocks)
     other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -218,7 +260,7 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         read = lambda name, kind: np.frombuffer(b"".join(group[name].to_pylist()), kind)
-        gram, name, n, position = read("gram", np.uint32), read("class", np.int64), read("n", np.int32), read("position", np.int32)
+        gram, name, n, position = read("gram", _U), read("class", np.int64), read("n", np.int32), read("position", np.int32)
         order = np.lexsort((name, n, gram))
         gram, name, n, position = gram[order], name[order], n[order], position[order]
         once = np.ones(len(gram), bool)
@@ -271,19 +313,15 @@ def _possible(pairs: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     return total.where(by_rest & ((more > 0) | (F.col("shared") + after >= need))).select("a", "b")
 
 
-def _unpacked(packed: DataFrame, kinds: dict[str, type], bucket: bool = False) -> DataFrame:
+def _unpacked(packed: DataFrame, kinds: dict[str, type]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 values = {c: np.frombuffer(batch.column(batch.schema.get_field_index(c))[row].as_py(), k).astype(np.int64) for c, k in kinds.items()}
-                count = len(next(iter(values.values())))
-                for i in range(0, count, 100_000):
-                    columns = [pa.array(v[i : i + 100_000], pa.int64()) for v in values.values()]
-                    if bucket:
-                        columns.append(pa.array(np.full(len(columns[0]), batch.column(0)[row].as_py()), pa.int64()))
-                    yield pa.RecordBatch.from_arrays(columns, [*values, *["bucket"] * bucket])
+                for i in range(0, len(next(iter(values.values()))), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 100_000], pa.int64()) for v in values.values()], list(values))
 
-    return packed.select("bucket", *kinds).mapInArrow(run, ", ".join(f"{c} long" for c in [*kinds, *["bucket"] * bucket]))
+    return packed.select(*kinds).mapInArrow(run, ", ".join(f"{c} long" for c in kinds))
 
 
 def _bloom(ids: DataFrame, n: int):
@@ -361,14 +399,15 @@ def _ranges(grams: np.ndarray) -> np.ndarray:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked. Each is checked in the part of the smallest partner of a, which the pairs of a group
-    of near copies have in common; a class's set goes to each part once. Large groups are dealt to several parts."""
+    of near copies have in common; a class's set goes to each part once. Large groups are dealt by a to several parts, and
+    the pairs of an a with many partners by b."""
     bytes_ = sets.agg(F.sum(F.length("grams") + 64)).first()[0] or 0
     parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(4 * bytes_ / PART_BYTES))
     both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = pairs.join(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("hub")), "a")
-    size = near.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).alias("k"))
-    salt = F.when(F.col("k") > 1, F.pmod(F.xxhash64("a"), F.col("k"))).otherwise(F.lit(0))
-    dealt = near.join(size, "hub").select("a", "b", F.pmod(F.xxhash64("hub", salt), F.lit(parts)).alias("part"))
+    many = lambda by, name: near.groupBy(by).agg(F.ceil(F.count("*") / PARTNERS).alias(name)).where(F.col(name) > 1)
+    salt = lambda c, k: F.pmod(F.xxhash64(c), F.coalesce(k, F.lit(1)))
+    dealt = near.join(many("hub", "k"), "hub", "left").join(many("a", "ka"), "a", "left").select("a", "b", F.pmod(F.xxhash64("hub", salt("a", "k"), salt("b", "ka")), F.lit(parts)).alias("part"))
     dealt = stored(dealt, "pairs")
     asked = stored(dealt.select("part", F.col("a").alias("class")).unionAll(dealt.select("part", F.col("b").alias("class"))).distinct(), "asked")
     sent = broadcast_if_small(asked, 64).join(sets.select("class", "grams"), "class").select(F.col("part").alias("place"), "class", "grams")
@@ -386,24 +425,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("part").cogroup(sent.groupBy("place")).applyInArrow(run, "a long, b long")
 
 
-def _across(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different roots among the postings of one n-gram that pass the length, positional and suffix filters."""
+def _across(large: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different roots among the postings of one n-gram that pass the length, positional and suffix filters.
+
+    large: (gram, class, n, position, root). n-grams of one root only are left out before anything is sent. Those of more
+    than HOT classes are split: classes fall into blocks, and each pair of blocks is a group of its own.
+    """
+    sizes = large.groupBy("gram").agg(F.ceil(F.count("*") / HOT).alias("k"), F.min("root").alias("least"), F.max("root").alias("most"))
+    own = large.join(sizes.where("least <> most").select("gram", "k"), "gram").withColumn("block", F.pmod(F.xxhash64("class"), F.col("k")))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    own = own.select("gram", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "n", "position", "root").join(ranges, "class")
 
     def run(group: pa.Table) -> pa.Table:
-        name, n, position, root = (group[c].to_numpy() for c in ("class", "n", "position", "root"))
+        name, n, position, root, block = (group[c].to_numpy() for c in ("class", "n", "position", "root", "block"))
         roots, inverse, counts = np.unique(root, return_inverse=True, return_counts=True)
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if len(roots) == 1:
+        split = group["low"][0].as_py() != group["high"][0].as_py()  # pairs of one block are made by its own group
+        if len(roots) == 1 or split and (block == block[0]).all():
             return none
         order = np.lexsort((name, n))
-        name, n, position, inverse = name[order], n[order], position[order], inverse[order]
+        name, n, position, inverse, block = name[order], n[order], position[order], inverse[order], block[order]
         ranges = np.frombuffer(b"".join(group["ranges"].to_pylist()), np.uint16).reshape(-1, _RANGES)[order]
         major = counts.argmax()
         pairs = [np.zeros((0, 2), np.int64)]
         for i in np.flatnonzero(inverse != major):
             j = np.arange(*np.searchsorted(n, [-(-n[i] * percent // 100), n[i] * 100 // percent + 1]))
             # pairs of two minor ones are met twice, and made once
-            j = j[(inverse[j] != inverse[i]) & ((inverse[j] == major) | (j > i))]
+            j = j[(inverse[j] != inverse[i]) & ((inverse[j] == major) | (j > i)) & ((block[j] != block[i]) | (not split))]
             j = j[_passing(np.full(len(j), i), j, n, position, percent)]
             both = np.minimum(ranges[j], ranges[i]).sum(axis=1, dtype=np.int64)
             j = j[(both >= _set_sizes_needed(n[i], n[j], percent)) | (np.maximum(n[i], n[j]) >= 1 << 16)]
@@ -412,7 +460,7 @@ def _across(postings: DataFrame, percent: int) -> DataFrame:
         both = np.concatenate(pairs)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
-    return postings.groupBy("bucket", "gram").applyInArrow(run, "a long, b long")
+    return own.groupBy("gram", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def _links(documents: DataFrame, id_col: str, text_col: str, ngram: int, percent: int, bucket_bytes: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
@@ -422,18 +470,17 @@ def _links(documents: DataFrame, id_col: str, text_col: str, ngram: int, percent
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     described = stored(_described(docs, ngram, id_type), "described")
-    rows = described.where("segment is null").select("doc_id", "n", "class")
+    rows = described.where("task is null").select("doc_id", "n", "class")
     classes = stored(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), "classes")
     size = classes.agg(F.sum("n").alias("grams"), F.count("*").alias("n")).first()
     if not size["n"]:
         return rows, classes, None, None
-    order = spark.sparkContext.broadcast(_order_table(described.where("segment is not null").select("segment", "task", "cells")))
-    hot = HOT + 2 * (size["grams"] >> SKETCH_BITS)
-    per_gram = 20 * (100 - percent) / 100
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size["grams"] * per_gram + 20 * size["n"]) / bucket_bytes))
-    postings = _postings(docs.select("text"), order, hot, n_buckets, ngram, percent)
+    order = spark.sparkContext.broadcast(_heavy_grams(described.where("task is not null").select("task", "grams", "counts")))
+    per_gram = 24 * (100 - percent) / 100
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size["grams"] * per_gram + 24 * size["n"]) / bucket_bytes))
+    postings = _postings(docs.select("text"), order, n_buckets, ngram, percent)
     found = stored(_candidates(postings, percent), "candidates")
-    large = _unpacked(found, {"gram": np.uint32, "class": np.int64, "n": np.int32, "position": np.int32}, bucket=True)
+    large = _unpacked(found, {"gram": np.int64, "class": np.int64, "n": np.int32, "position": np.int32})
     pairs = stored(_possible(_unpacked(found, _PAIR), large, percent), "pairs")
     wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).unionAll(large.select("class")).distinct()
     ids = stored(wanted.join(classes, "class").select(F.xxhash64("first").alias("h")), "ids")
@@ -444,8 +491,8 @@ def _links(documents: DataFrame, id_col: str, text_col: str, ngram: int, percent
         named = large.withColumn("root", F.col("class"))
     else:
         named = large.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    named = named.join(sets.select("class", "ranges").dropDuplicates(["class"]), "class")
-    more = stored(_across(named, percent).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    ranges = sets.select("class", "ranges").dropDuplicates(["class"])
+    more = stored(_across(named, ranges, percent).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
         links = links.unionAll(_verified(more, sets, percent))
         roots = None if every else stored(components(links), "roots")
@@ -468,39 +515,71 @@ def jaccard_links(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.unionAll(rows.where("n = 0").select("doc_id", n, F.lit(None).cast("long").alias("class"), none))
 
 
-def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row per document row: its id, n_shingles, component_id."""
+def _with_roots(documents: DataFrame, id_col: str, text_col: str, ngram: int, percent: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, class), and classes (class, first, root): the smallest id of a class, and its component."""
     rows, classes, _, roots = _links(documents, id_col, text_col, ngram, percent, bucket_bytes, every=False)
     if roots is None:
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    firsts = roots.withColumnRenamed("node", "class").join(classes, "class").groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(firsts, "root").select(F.col("node").alias("class"), "component_id")
-    classes = classes.join(named, "class", "left").select("class", F.coalesce("component_id", "first").alias("component_id"))
-    out = rows.where("n > 0").join(classes, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        return rows, classes.select("class", "first", F.col("class").alias("root"))
+    return rows, classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
+
+
+def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """One row per document row: its id, n_shingles, component_id."""
+    rows, classes = _with_roots(documents, id_col, text_col, ngram, percent, bucket_bytes)
+    firsts = classes.where("class <> root").select("root").distinct().join(classes, "root").groupBy("root").agg(F.min("first").alias("least"))
+    named = classes.join(firsts, "root", "left").select("class", F.coalesce("least", "first").alias("component_id"))
+    out = rows.where("n > 0").join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionAll(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """The documents without those that are linked to one of a smaller id, directly or through others.
+def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """One row of each component, and all rows without words; all columns as they are.
 
-    Rows that repeat an id stay or go together, but for one of them: of rows of one id and one component, one stays.
+    It is a row of the smallest id, null ids last. Rows are told apart by id and class, never by the id alone: of rows that
+    repeat an id, those with texts of other components are looked at by themselves. Of several rows of the smallest id, the
+    one of the smallest class stays, and of rows that repeat that as well the one with the smallest text and columns.
     """
-    found = stored(jaccard_components(documents, id_col, text_col, ngram, percent), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    gone = stored(gone, "gone")
-    small = broadcast_if_small(gone, 64)
-    if small is not gone:
-        return _once(documents.join(small, id_col, "left_anti").select(documents.columns), found, id_col)
-    # most rows are told apart by a bit table of bounded size; only those that it cannot clear are shuffled
-    hashes = gone.select(F.xxhash64(id_col).alias("h"))
-    bloom = _bloom(hashes, gone.count())
-    clear, unclear = (_in_bloom(documents, bloom, id_col, inside) for inside in (False, True))
-    kept = clear.unionAll(unclear.join(gone, id_col, "left_anti").select(documents.columns))
-    return _once(kept, found, id_col)
-
-
-def _once(kept: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows, of those that repeat an id only one."""
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionAll(kept.where(F.col(id_col).isNull()))
-    return kept
+    rows, classes = _with_roots(documents, id_col, text_col, ngram, percent, bucket_bytes)
+    best = classes.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "class")).alias("best"))
+    best = best.select(F.col("best.class").alias("class"), F.lit(True).alias("stays"))
+    marked = classes.select("class", "first").join(best, "class", "left")
+    told = stored(rows.where("n > 0").groupBy("doc_id", "class").agg(F.count("*").alias("n")).join(marked, "class").select("doc_id", "class", "n", (F.col("stays").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first"))).alias("stays")), "told")
+    gone = told.where("not stays").select("doc_id", "class")
+    again = told.where("stays and n > 1").select("doc_id", "class")
+    asked = gone.unionAll(again).select("doc_id").distinct()
+    # most rows are cleared by id: by a small table, or else by a bit table of bounded size; classes are made of the others
+    asked = stored(asked, "asked")
+    ids, mark = fresh_name("_id", documents.columns), fresh_name("_class", documents.columns)
+    if small_enough(asked, 64):
+        known, same = F.broadcast(asked.select(F.col("doc_id").alias(ids))), F.col(id_col).eqNullSafe(F.col(ids))
+        clear, unclear = documents.join(known, same, "left_anti"), documents.join(known, same, "left_semi")
+    else:
+        bloom = _bloom(asked.select(F.xxhash64("doc_id").alias("h")), asked.count())
+        clear, unclear = (_in_bloom(documents, bloom, id_col, inside) for inside in (False, True))
+    unclear = _classed(unclear, text_col, ngram, mark)
+    other = fresh_name("_other", documents.columns)
+    gone, again = (t.select(F.col("doc_id").alias(ids), F.col("class").alias(other)) for t in (gone, again))
+    same = F.col(id_col).eqNullSafe(F.col(ids)) & (F.col(mark) == F.col(other))
+    kept = unclear.join(gone, same, "left_anti")
+    if not again.limit(1).count():
+        return clear.unionAll(kept.drop(mark))
+    once, twice = kept.join(again, same, "left_anti"), kept.join(again, same, "left_semi")
+    hashable = [f.name for f in documents.schema if "map<" not in f.dataType.simpleString()]
+    whole = F.struct(*documents.columns)
+    one = twice.groupBy(id_col, mark).agg(F.min_by(whole, F.struct(F.col(text_col), F.xxhash64(*hashable))).alias(other)).select(f"{other}.*")
+    return clear.unionAll(once.drop(mark)).unionAll(one)
+
+
+def _classed(documents: DataFrame, text_col: str, ngram: int, name: str) -> DataFrame:
+    """The documents with the class of their text (0 without words) as a last column."""
+    last = len(documents.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for _, _, data, offs in K.slices(batch.column(last), _SLICE):
+                found += [_class_of(grams) if len(grams) else 0 for grams in text_sets(data, offs, ngram)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(found, pa.int64())], batch.schema.names)
+
+    texts = documents.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(name))
+    return texts.mapInArrow(run, documents.select("*", F.lit(0).cast("long").alias(name)).schema)

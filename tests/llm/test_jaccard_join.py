@@ -60,6 +60,8 @@ def cases():
 @pytest.mark.parametrize("small,near,hot,bucket", [(64, 6, 20_000, 1 << 24), (3, 1, 20_000, 1 << 24), (4, 1, 5, 500)])
 def test_equals_brute_force(spark, monkeypatch, small, near, hot, bucket):
     monkeypatch.setattr(J, "HOT", hot)
+    monkeypatch.setattr(J, "DEAL", hot)
+    monkeypatch.setattr(J, "HEAVY", max(50, hot))
     monkeypatch.setattr(J, "PARTNERS", 3)
     rows = cases()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as class", "1 as n", "2 as component_id").repartition(3)
@@ -100,10 +102,51 @@ def test_empty(spark):
 
 def test_many_rows_to_drop(spark, monkeypatch):
     """Beyond what is broadcast, rows are told apart by the bit table."""
-    monkeypatch.setattr(J, "broadcast_if_small", lambda df, *a: df)
+    monkeypatch.setattr(J, "small_enough", lambda *a: False)
     docs = spark.createDataFrame([(i, f"some words that two rows have {i // 2}") for i in range(60)] + [(None, "some words that two rows have 3")], "doc_id long, text string")
     kept = J.deduplicate(docs).collect()
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == list(range(0, 60, 2))
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 60, 2))
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_rows_that_repeat_an_id(spark, monkeypatch, small):
+    """Rows are told apart by id and class: only copies and repeats go, whatever ids they have."""
+    monkeypatch.setattr(J, "small_enough", lambda *a: small)
+    a, b, c = ("first text with quite some words here", "second one that has nothing to do with it", "third text which stands alone for itself")
+    rows = [(5, a, 1), (5, b, 2), (6, a.upper(), 3), (6, c, 4), (7, b, 5), (8, None, 6), (8, "", 7), (8, None, 6), (9, "x y", 8), (9, "x y", 8), (9, "x  Y", 9), (None, a, 10), (None, "no id but words", 11), (None, "no id but words", 11), (None, "other row without", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class int").selectExpr("*", "map('k', class) as m", "'z' as _class", "1 as stays").repartition(3)
+    kept = J.deduplicate(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"], r["class"]) for r in kept.collect()), key=str)
+    assert got == sorted([(5, a, 1), (5, b, 2), (6, c, 4), (8, None, 6), (8, "", 7), (8, None, 6), (9, "x  Y", 9), (None, "no id but words", 11), (None, "other row without", 12)], key=str)
+
+
+def test_one_class_with_ten_thousand_partners(spark, monkeypatch):
+    """Its pairs are dealt to many parts, and links stay whole."""
+    spread = []
+    pairs = spark.range(10_000).selectExpr("-1L as a", "id as b")
+    grams = J.np.arange(8, dtype=J.np.uint64)
+    sets = spark.range(-1, 10_000).select(J.F.col("id").alias("class"), J.F.lit(grams.tobytes()).alias("grams"))
+    monkeypatch.setattr(J, "stored", lambda df, name: (spread.append(df.groupBy("part").count().collect()) if name == "pairs" else None) or df)
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        assert J._verified(pairs, sets, 75).count() == 10_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    sizes = [r["count"] for r in spread[0]]
+    assert sum(sizes) == 10_000 and max(sizes) <= 3 * J.PARTNERS and len(sizes) >= 7
+
+
+def test_heavy_n_grams_are_never_missed():
+    rng = J.np.random.default_rng(4)
+    keys = J.np.concatenate([J.np.repeat(J.np.arange(5), 400), rng.integers(100, 90_000, 8000)]).astype(J.np.uint64)
+    rng.shuffle(keys)
+    parts = [J.heaviest(*J._summed(x), 40) for x in J.np.array_split(keys, 9)]
+    grams, counts = J.np.zeros(0, J.np.uint64), J.np.zeros(0, J.np.int64)
+    for g, c in parts:
+        grams, counts = J.heaviest(*J._summed(J.np.concatenate([grams, g]), J.np.concatenate([counts, c])), 40)
+    weight = J._Heavy(grams, counts)
+    assert len(grams) <= 40 and (weight(J.np.arange(5).astype(J.np.uint64)) >= 400 - len(keys) // 40).all() and (counts <= 400).all()
 
 
 @pytest.mark.parametrize("small,near", [(64, 6), (3, 1)])
