@@ -129,14 +129,15 @@ class ByteGru:
             dh = dh * z + da @ np.swapaxes(w["u"], 1, 2)
         return loss, g
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, weight: np.ndarray, steps: int, batch: int, rate: float = 0.02, seed: int = 1) -> list[float]:
-        """Adam with a rate that falls to zero and clipped gradients; returns the losses."""
+    def train(self, windows: np.ndarray, labels: np.ndarray, weight: np.ndarray, steps: int, batch: int, rate: float = 0.02, seed: int = 1, share: np.ndarray | None = None) -> list[float]:
+        """Adam with a rate that falls to zero and clipped gradients; returns the losses. share: how often each window is drawn."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
         losses = []
+        cumulative = np.cumsum(share) if share is not None else None
         for step in range(1, steps + 1):
-            at = rng.integers(0, windows.shape[1], batch)
+            at = rng.integers(0, windows.shape[1], batch) if cumulative is None else np.minimum(np.searchsorted(cumulative, rng.random(batch) * cumulative[-1]), windows.shape[1] - 1)
             loss, g = self.gradients(windows[:, at], labels[at], weight[:, at])
             losses.append(loss)
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))

@@ -1,32 +1,39 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Training sees a bounded sample (SAMPLE_DOCS documents, up to WINDOWS windows of LENGTH bytes spread over each) of the
-labelled rows, balanced over languages: the sample's bound is a parameter and does not depend on the input. Prediction
-cuts every whole text into windows of LENGTH bytes, labels each byte, and a document's probabilities are the means over
-all its bytes. A text without a letter is UNKNOWN with score 0.
-
-Null and empty texts are UNKNOWN. Without any labelled training text, every document is. Equal texts get equal results.
-Labels are used as they are, at most MAX_LANGS of them. Memory in a task is bounded by a block of windows or by the
-longest text.
+Training sees a bounded sample of the labelled rows (SAMPLE_DOCS documents and SAMPLE_BYTES, balanced over languages; the
+bounds are parameters and do not depend on the input) and all windows of LENGTH bytes of their whole texts. Each document weighs the
+same, whatever its length. Prediction cuts every whole text into windows of LENGTH bytes, labels each byte, and a document's
+probabilities are the means over all its bytes. A text without a letter is UNKNOWN with score 0.
+
+Null and empty texts are UNKNOWN. Without any labelled training text, every document is. Equal texts get equal results;
+texts that repeat count once in the sample. Labels are used as they are; of more than MAX_LANGS, the most frequent are
+learned (the smaller label first among equals) and rows of others are not trained on. An empty table gives an empty result;
+columns other than the id, text and label are carried along or ignored, whatever they are called. Memory in a task is bounded
+by a block of windows or by the longest text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .common import fresh_name
 from .gru import PAD, ByteGru
 
 UNKNOWN = "und"
 LENGTH, HIDDEN = 64, 10
-SAMPLE_DOCS, WINDOWS = 1600, 4
-STEPS, BATCH = 260, 128
+SAMPLE_DOCS, SAMPLE_BYTES = 1600, 24 << 20
+STEPS, BATCH = 400, 128
 MAX_LANGS = 256
+#: A document is rejected if its best language has a score of less than LEAST times that of chance, 1 / (number of
+#: languages, 2 at least). From a score of SURE on, a prediction replaces a label.
+LEAST, SURE = 1.2, 0.9
 _BLOCK = 1024
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -37,44 +44,67 @@ class Model:
         self.langs, self.net = langs, net
 
 
-def sample(documents: DataFrame, text_col: str, lang_col: str, docs: int = SAMPLE_DOCS, windows: int = WINDOWS, length: int = LENGTH) -> tuple[list[str], list[tuple[str, list[bytes]]]]:
-    """Languages, and a bounded balanced sample of (language, windows of bytes). Rows are chosen by a hash of the text."""
-    rows = documents.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null and length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS + 1).collect()}
+def sample(documents: DataFrame, text_col: str, lang_col: str, docs: int = SAMPLE_DOCS, most: int = SAMPLE_BYTES) -> tuple[list[str], list[tuple[str, bytes]]]:
+    """Languages, and a balanced sample of (language, whole text): the first of each language in the order of their hashes,
+    each text once, up to its share of ``docs`` texts and ``most`` bytes. Texts that do not fit into that are passed over."""
+    rows = documents.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null and text <> ''")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return [], []
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    each = max(1, docs // len(counts))
-    rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * each / n)))])
-    raw = F.encode("text", "UTF-8")
-    size = F.octet_length("text")
-    pieces = [F.substring(raw, (F.lit(1) + F.floor(F.greatest(size - length, F.lit(0)) * i / max(1, windows - 1))).cast("int"), F.lit(length)) for i in range(windows)]
-    picked = rows.withColumn("key", F.xxhash64("text")).where(F.pmod("key", F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000)
-    found = picked.select("lang", "key", F.array(*pieces).alias("pieces")).orderBy("key", "lang").limit(3 * docs).collect()
-    return sorted(counts), [(r["lang"], [bytes(p) for p in r["pieces"]]) for r in found]
-
-
-def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", steps: int = STEPS) -> Model:
-    """Learns from the rows with a text and a label."""
-    langs, rows = sample(documents, text_col, lang_col)
+    each, room = max(1, docs // len(counts)), most // len(counts)
+    keyed = rows.where(F.col("lang").isin(*counts)).select("lang", "text", F.xxhash64("text").alias("key"), F.octet_length("text").alias("size")).where(F.col("size") <= room)
+    rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 8.0 * each / n)))])
+    found = _smallest(keyed.where(F.pmod("key", F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000), each)
+    own = Counter(r["lang"] for r in found)
+    if any(own[k] < min(each, n) for k, n in counts.items()):  # many rows repeat few texts: all are looked at
+        found = _smallest(keyed, each)
+    left, chosen = dict.fromkeys(counts, room), []
+    for r in sorted(found, key=lambda r: (r["lang"], r["key"])):
+        if r["size"] <= left[r["lang"]]:
+            left[r["lang"]] -= r["size"]
+            chosen.append((r["lang"], r["key"]))
+    if not chosen:
+        return sorted(counts), []
+    keys = F.broadcast(documents.sparkSession.createDataFrame(chosen, "lang string, key long"))
+    texts = keyed.join(keys, ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text")).collect()
+    return sorted(counts), sorted((r["lang"], r["text"].encode()) for r in texts)
+
+
+def _smallest(keyed: DataFrame, each: int) -> list:
+    """The smallest distinct keys of each language, at most ``each``, with the sizes of their texts."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    return keyed.groupBy("lang", "key").agg(F.max("size").alias("size")).withColumn("place", place).where(F.col("place") <= each).collect()
+
+
+def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", steps: int = STEPS, docs: int = SAMPLE_DOCS) -> Model:
+    """Learns from a sample of the rows with a text and a label."""
+    langs, rows = sample(documents, text_col, lang_col, docs)
     if not rows:
         return Model(langs, None)
-    index = {k: i for i, k in enumerate(langs)}
-    windows, labels = [], []
-    for lang, pieces in rows:
-        for k, piece in enumerate(dict.fromkeys(pieces)):
-            piece = piece[: 8 + (len(piece) * 7 + k) % 24] if (len(windows) % 7) == 3 else piece  # short texts, too
-            windows.append(np.frombuffer(piece.ljust(LENGTH, bytes([PAD])), np.uint8))
-            labels.append(index[lang])
-    data, y = np.stack(windows).T.copy(), np.array(labels)
+    windows, labels, share = windows_of(langs, rows)
     net = ByteGru(HIDDEN, len(langs))
-    share = np.bincount(y, minlength=len(langs)) / len(y)
-    weight = (data != PAD) * (1 / (len(langs) * share[y]))[None, :].astype(np.float32)
-    net.train(data, y, weight.astype(np.float32), steps, BATCH)
+    net.train(windows, labels, (windows != PAD).astype(np.float32), steps, BATCH, share=share)
     return Model(langs, net)
 
 
+def windows_of(langs: list[str], rows: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the texts (LENGTH x count), their labels, and the share of draws of each: equal for all languages, and
+    for all texts of one. Some windows are cut short, as short texts are to be told as well."""
+    index = {k: i for i, k in enumerate(langs)}
+    parts, labels, share = [], [], []
+    per_lang = np.bincount([index[lang] for lang, _ in rows], minlength=len(langs))
+    for i, (lang, text) in enumerate(rows):
+        count = -(-len(text) // LENGTH)
+        own = np.frombuffer(text.ljust(count * LENGTH, bytes([PAD])), np.uint8).reshape(count, LENGTH).copy()
+        for k in range(i % 7, count, 7):
+            own[k, 8 + (i + k) % 24 :] = PAD
+        parts.append(own)
+        labels.append(np.full(count, index[lang]))
+        share.append(np.full(count, 1.0 / (count * per_lang[index[lang]])))
+    share = np.concatenate(share)
+    return np.concatenate(parts).T.copy(), np.concatenate(labels), share / share.sum()
+
+
 def _letters(data: np.ndarray, offs: np.ndarray, array: pa.Array) -> np.ndarray:
     """Whether each text has a letter."""
     seen = np.concatenate([[0], np.cumsum(_LETTER[data])])
@@ -138,21 +168,34 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
     return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
-def keep_known(documents: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language is not UNKNOWN, all columns as they are but for a null label, which is filled in."""
+def keep_known(documents: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", least: float = LEAST) -> DataFrame:
+    """The documents of a known language, all columns as they are but for lang_col, which is the predicted language.
+
+    Texts without a letter, null and empty ones go, and those whose best language is hardly more likely than by chance
+    (see LEAST). A document that has a label keeps it where the prediction is not sure (a score below SURE). Without anything learned, no text can
+    be rejected: all documents with a letter stay, labels as they are.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    last = len(documents.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            for i, j, data, offs in K.slices(texts):
-                if known.net is None:
-                    continue
-                part, letters = batch.slice(i, j - i), _letters(data, offs, texts.slice(i, j - i))
-                top = pooled(known.net, data, offs).argmax(axis=1)
-                at = part.schema.get_field_index(lang_col)
-                filled = pa.array([known.langs[t] if x is None else x for x, t in zip(part.column(at).to_pylist(), top.tolist(), strict=True)], part.schema.field(at).type)
-                yield part.set_column(at, part.schema.field(at), filled).filter(pa.array(letters))
-
-    return documents.mapInArrow(run, documents.schema)
+            at = batch.schema.get_field_index(lang_col)
+            field = batch.schema.field(at)
+            for i, j, data, offs in K.slices(batch.column(last)):
+                part = batch.slice(i, j - i)
+                keep = _letters(data, offs, part.column(last))
+                own = pa.RecordBatch.from_arrays(part.columns[:last], documents_names)
+                if known.net is not None:
+                    p = pooled(known.net, data, offs)
+                    top = p.argmax(axis=1)
+                    score = p[np.arange(j - i), top]
+                    keep &= score >= least / max(2, len(known.langs))
+                    langs = [known.langs[t] if x is None or s >= SURE else x for x, t, s in zip(part.column(at).to_pylist(), top.tolist(), score.tolist(), strict=True)]
+                    own = own.set_column(at, field, pa.array(langs, field.type))
+                yield own.filter(pa.array(keep))
+
+    documents_names = documents.columns
+    texts = documents.select("*", F.col(text_col).cast("string").alias(fresh_name("_text", documents.columns)))
+    return texts.mapInArrow(run, documents.schema)

@@ -53,3 +53,68 @@ def test_rows(spark):
     nothing = L.train(df.where("lang is null"))
     assert {r["lang_pred"] for r in L.predict(df, nothing).collect()} == {"und"}
     assert L.predict(df.limit(0), model).count() == 0
+
+
+def loops(net, window):
+    """The network's probabilities at every position of one window, in plain loops."""
+    from math import exp, tanh
+
+    n, w = net.hidden, {k: v.tolist() for k, v in net.w.items()}
+    states = []
+    for d in (0, 1):
+        h, own = [0.0] * n, []
+        for byte in window if d == 0 else window[::-1]:
+            x = w["x"][d][byte]
+            a = [sum(h[i] * w["u"][d][i][j] for i in range(n)) for j in range(3 * n)]
+            gate = [1 / (1 + exp(-(a[j] + x[j]))) for j in range(2 * n)]
+            s = [tanh(x[2 * n + j] + gate[j] * (a[2 * n + j] + w["c"][d][0][j])) for j in range(n)]
+            h = [gate[n + j] * h[j] + (1 - gate[n + j]) * s[j] for j in range(n)]
+            own.append(h)
+        states.append(own if d == 0 else own[::-1])
+    out = []
+    for f, b in zip(*states, strict=True):
+        logits = [sum(v * w["v"][i][k] for i, v in enumerate(f + b)) + w["b"][k] for k in range(net.classes)]
+        top = [exp(x - max(logits)) for x in logits]
+        out.append([x / sum(top) for x in top])
+    return out
+
+
+def test_pooled_probabilities_equal_plain_loops():
+    import pyarrow as pa
+
+    from recweld.llm import kernel as K
+
+    net = ByteGru(4, 3, seed=5)
+    texts = ["", "a", "Some words of a short text, é.", "x" * 64, "a text that is longer than one window is, and so goes on for quite a while " * 2]
+    got = L.pooled(net, *K.utf8_buffer(pa.array(texts)))
+    for text, p in zip(texts, got, strict=True):
+        raw = list(text.encode())
+        windows = [raw[i : i + L.LENGTH] for i in range(0, len(raw), L.LENGTH)]
+        every = [q for w in windows for q in loops(net, w + [0] * (L.LENGTH - len(w)))[: len(w)]]
+        want = np.mean(every, axis=0) if every else np.zeros(3)
+        assert np.allclose(p, want, atol=1e-5)
+
+
+def test_training_sees_whole_texts_and_each_text_once(spark):
+    rows = [(i, "one text that many rows repeat", "en") for i in range(3000)] + [(i + 5000, f"texte {i} " + "été " * 300 + "fin", "fr") for i in range(20)]
+    langs, found = L.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), "text", "lang", docs=40)
+    assert langs == ["en", "fr"] and sorted(x for x, _ in found) == ["en"] + ["fr"] * 20
+    assert all(t.endswith(b"fin") for k, t in found if k == "fr")
+    windows, labels, share = L.windows_of(langs, found)
+    assert windows.shape == (L.LENGTH, sum(-(-len(t) // L.LENGTH) for _, t in found))
+    assert np.allclose([share[labels == k].sum() for k in (0, 1)], 0.5)
+    assert L.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", docs=40, most=500)[1] == [("en", b"one text that many rows repeat")]
+
+
+def test_many_labels_and_none(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGS", 3)
+    rows = [(i, f"words of text {i} for one label", f"l{i % 5}") for i in range(50)] + [(99, "more for the first", "l0"), (98, "!!", "l0"), (97, None, "l1"), (96, "no label", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'t' as _text").repartition(2)
+    model = L.train(df, steps=3)
+    assert model.langs == ["l0", "l1", "l2"] and L.predict(df, model).count() == len(rows)
+    unlabelled = df.withColumn("lang", L.F.lit(None).cast("string"))
+    kept = L.keep_known(unlabelled, L.train(unlabelled))
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({r[0] for r in rows} - {97, 98})
+    known = L.keep_known(df, model, least=0).collect()
+    assert len(known) == len(rows) - 2 and all(r["lang"] for r in known)
+    assert L.keep_known(df, model, least=10).count() == 0
