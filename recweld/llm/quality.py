@@ -5,12 +5,13 @@ and a few shares (repeated word runs, distinct words, length), and encoded by a
 passages: a_k is the softmax over k of w.(tanh(V h_k) * logistic(U h_k)); the weighted representation gives the score.
 Encoder, attention and classifier are trained together by gradient descent on document labels only.
 
-Training sees a bounded sample of labelled documents (SAMPLE_DOCS per class, up to TRAIN_PASSAGES passages of each,
-spread over the text); the sampled ids are all that is broadcast. Every passage of every document is scored.
+Training sees a bounded sample of labelled documents (SAMPLE_DOCS per class, and SAMPLE_BYTES of text) and all passages of
+their whole texts; the sampled ids are all that is broadcast. Every passage of every document is scored.
 
 Null and empty texts are one passage without words. Labels of null quality or of ids without a document are not used;
-repeated labels count repeatedly. Without labels of both classes the score is the share of label 1 (0.5 without any).
-Equal texts get equal scores.
+repeated labels count repeatedly, repeated rows of a document once in training. Without labels of both classes the score is
+the share of label 1 (0.5 without any). Equal texts get equal scores. An empty table gives an empty result; columns other
+than the id, text and label are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 
 PASSAGE_WORDS = 48
-SAMPLE_DOCS, TRAIN_PASSAGES = 1500, 48
+SAMPLE_DOCS, SAMPLE_BYTES = 1000, 16 << 20
 UNITS, ATTENTION = 12, 8
 STEPS, BATCH = 500, 64
 THRESHOLD = 0.7
@@ -158,8 +159,9 @@ class AttentionModel:
         return losses
 
 
-def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> AttentionModel:
-    """Learns from the labels given; each class's ids are sampled by their hash, so that the sample is the same every time."""
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, steps: int = STEPS, sample_bytes: int = SAMPLE_BYTES) -> AttentionModel:
+    """Learns from the labels given; each class's ids are sampled by their hash, so that the sample is the same every time. Of the
+    sampled documents, those are taken in the order of their texts' hashes that fit into sample_bytes."""
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     picked = None
@@ -173,15 +175,22 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             bags = []
             for _, _, data, offs in K.slices(batch.column("text")):
                 x, bag = passage_features(data, offs)
-                for a, b in zip(bag[:-1], bag[1:], strict=True):
-                    at = np.unique(np.linspace(a, b - 1, min(b - a, TRAIN_PASSAGES)).astype(int))
-                    bags.append(x[at].astype(np.float32).tobytes())
+                bags += [x[a:b].tobytes() for a, b in zip(bag[:-1], bag[1:], strict=True)]
             if bags:
                 yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), pa.array(bags, pa.binary())], ["label", "weight", "bag"])
 
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = docs.join(F.broadcast(ids), "doc_id").select("label", "weight", "text")
-    found = sample.mapInArrow(describe, "label double, weight double, bag binary").orderBy(F.xxhash64("bag"), "label").limit(4 * sample_docs).collect()
+    known = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "weight", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("key"))
+    sizes = known.groupBy("doc_id", "key").agg(F.max(F.octet_length("text")).alias("size")).orderBy("key", "doc_id").limit(4 * sample_docs).collect()
+    chosen, left = [], sample_bytes
+    for r in sizes:
+        if r["size"] <= left:
+            left -= r["size"]
+            chosen.append((r["doc_id"], r["key"]))
+    keys = F.broadcast(documents.sparkSession.createDataFrame(chosen, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long"))
+    sample = known.join(keys, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first("label").alias("label"), F.first("weight").alias("weight"), F.min("text").alias("text"))
+    found = sample.select("label", "weight", "text").mapInArrow(describe, "label double, weight double, bag binary").collect()
+    found.sort(key=lambda r: (r["bag"], r["label"]))
     model = AttentionModel()
     if not found or len(counts) < 2:
         model.prior = float(counts.get(1, 0) / sum(counts.values())) if counts else 0.5

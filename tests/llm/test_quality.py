@@ -59,3 +59,31 @@ def test_rows(spark):
     assert {r["score"] for r in one} == {1.0}
     assert {r["score"] for r in Q.score(df, Q.train(df, labels.limit(0))).collect()} == {0.5}
     assert Q.score(df.limit(0), Q.train(df, labels, steps=2)).count() == 0
+
+
+def test_scores_equal_plain_loops():
+    from math import exp, tanh
+
+    rng = np.random.default_rng(3)
+    model = Q.AttentionModel(5, seed=2)
+    x, bag = rng.standard_normal((7, 5)).astype(np.float32), np.array([0, 1, 3, 7])
+    got, weights = model.scores(x, bag)
+    w = {k: v.tolist() for k, v in model.w.items()}
+    dot = lambda row, m: [sum(a * m[i][j] for i, a in enumerate(row)) for j in range(len(m[0]))]
+    for t, (a, b) in enumerate(zip(bag[:-1], bag[1:], strict=True)):
+        h = [[tanh(v + c) for v, c in zip(dot(row, w["e"]), w["eb"], strict=True)] for row in x[a:b].tolist()]
+        e = [sum(tanh(p) / (1 + exp(-q)) * c[0] for p, q, c in zip(dot(r, w["v"]), dot(r, w["u"]), w["a"], strict=True)) for r in h]
+        share = [exp(v) / sum(map(exp, e)) for v in e]
+        z = [sum(s * r[j] for s, r in zip(share, h, strict=True)) for j in range(len(h[0]))]
+        y = 1 / (1 + exp(-(dot(z, w["c"])[0] + w["cb"][0])))
+        assert abs(y - got[t]) < 1e-5 and np.allclose(share, weights[a:b], atol=1e-5)
+
+
+def test_training_sees_all_passages_within_its_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q.AttentionModel, "train", lambda self, bags, *a, **k: seen.append(sorted(len(b) for b in bags)))
+    rows = [(1, "w " * 48 * 90), (2, "a b"), (2, "a b"), (3, "c " * 100), (4, None)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 0)], "doc_id long, quality int")
+    Q.train(df, labels)
+    Q.train(df, labels, sample_bytes=300)
+    assert seen == [[1, 1, 3, 90], [1, 1, 3]]
