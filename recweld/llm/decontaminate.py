@@ -7,7 +7,9 @@ extended to the whole span, which must be a span of the benchmark word for word
 A benchmark item of fewer words than the span is looked up whole.
 
 The benchmark is the query set: it is broadcast in blocks of at most ``block_bytes`` of text. Up to one block, there is no
-shuffle; more blocks are run one after the other and their hits are merged by row. Documents are never gathered.
+shuffle; more blocks are run one after the other over the stored documents, and their hits are merged by row. Blocks are cut
+from running totals of the items' bytes, so copies of one item do not fill a block; an item longer than a block is one by
+itself. Documents are never gathered.
 
 Nulls and empty texts: no words, never hit; a null or empty item has no window. Repeated rows give repeated results. A
 null item_id takes part in hits and counts as an item, but is not listed in items_sha256; two items of one id are two. Empty tables give empty or
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .common import stored
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
@@ -148,28 +151,39 @@ def decontaminate(
     """One row per document row: its id, n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = documents.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
+    blocks = _item_blocks(items, block_bytes)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    if blocks == 1:
-        return _pass(docs, *_block(spark, items), id_type)
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    if len(blocks) == 1:
+        return _pass(docs, *_block(spark, blocks[0]), id_type)
+    # rows get their numbers once: a task that ran again over other rows would number them otherwise
+    docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "documents")
     parts = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+    for block in blocks:
         part = _partial_pass(docs, *_block(spark, block), id_type)
         parts = part if parts is None else parts.unionAll(part)
     return parts.groupBy("row").applyInArrow(_merge, f"doc_id {id_type}, {_COLUMNS}")
 
 
+def _item_blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The benchmark's items, dealt to blocks of at most block_bytes and one item more: by a hash of their number, so that
+    copies are spread evenly, and by the bytes before them where a part holds more than a block."""
+    size = F.octet_length("text") + 32
+    total = items.agg(F.sum(size)).first()[0] or 0
+    if total <= block_bytes:
+        return [items]
+    parts = math.ceil(total / block_bytes)
+    kept = stored(items.withColumns({"bytes": size, "own": F.monotonically_increasing_id()}).withColumn("part", F.pmod(F.xxhash64("own"), F.lit(parts))), "items")
+    dealt = stored(kept.withColumn("block", F.expr(f"cast(coalesce(sum(bytes) over (partition by part order by own rows between unbounded preceding and 1 preceding), 0) div {block_bytes} as long)")).drop("own", "bytes"), "blocks")
+    keys = dealt.select("part", "block").distinct().orderBy("part", "block").collect()
+    return [dealt.where((F.col("part") == r["part"]) & (F.col("block") == r["block"])).select("item", "text") for r in keys]
+
+
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without a hit word, all columns as they are. Blocks of the benchmark filter one after the other."""
     items = benchmark.select(F.lit(None).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    for b in range(blocks):
-        _, index = _block(documents.sparkSession, items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b))
+    for block in _item_blocks(items, block_bytes):
+        _, index = _block(documents.sparkSession, block)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from recweld.llm import decontaminate as D
 from recweld.llm.decontaminate import decontaminate
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -53,3 +54,14 @@ def test_empty_tables(spark):
     assert decontaminate(docs, items).count() == 0
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [tuple(r)[:4] for r in decontaminate(some, items).collect()] == [(1, 2, 0, 0)]
+
+
+def test_copies_of_an_item_fill_no_block(spark):
+    items = spark.createDataFrame([(1, "the same item again and again")] * 400 + [(2, "x " * 3000)], "item_id long, text string").selectExpr("cast(item_id as string) as item", "text")
+    blocks = D._item_blocks(items, 2000)
+    sizes = [[len(r["text"]) for r in b.collect()] for b in blocks]
+    assert sum(map(len, sizes)) == 401 and all(sum(x) <= 2000 or len(x) == 1 or max(x) > 2000 for x in sizes) and len(sizes) > 6
+    docs = spark.createDataFrame([(1, "say the same item again and again"), (2, None), (3, "other words")], "doc_id long, text string")
+    bench = items.selectExpr("cast(item as long) as item_id", "text")
+    assert sorted((r[0], r[2], r[3]) for r in D.decontaminate(docs, bench, block_bytes=2000).collect()) == [(1, 6, 400), (2, 0, 0), (3, 0, 0)]
+    assert sorted(r[0] for r in D.drop_contaminated(docs, bench, block_bytes=2000).collect()) == [2, 3]
