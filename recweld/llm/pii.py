@@ -1,18 +1,22 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score.
 
-Kinds: email, ip, card (Luhn), phone are the base kinds; iban (mod 97) and ssn are added by the method. Base spans are
-always kept, whatever their score; added spans are kept from a score of 0.5. Spans are in code points, end exclusive, in
+Kinds: email, ip, card (Luhn), phone are the base kinds; iban (mod 97), ssn and secret (keys and tokens, some of which end in
+a CRC) are added by the method. A span's score is the prior of its pattern, more if a checksum confirms it, more with a word
+nearby that goes with its kind, less with one that speaks against it; words are whole words. Base spans are always kept,
+whatever their score; added spans are kept from a score of 0.5: an IBAN needs its checksum, and no word against it unless
+one for it is there; an ssn or a secret without a checksum needs a word for it. Spans are in code points, end exclusive, in
 the order of start, then of KINDS. Spans of different kinds may overlap.
 
 Each pattern is linear in the text: possessive repeats, and no start inside a run of digits or letters that was tried.
 Null and empty texts have no spans. Repeated rows give repeated results; an empty table an empty result. Only the id and
-text columns are read.
+text columns are read (redact() carries all along), whatever other columns are called.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 CONTEXT_CHARS = 40
 KEEP_SCORE = 0.5
 
@@ -33,23 +37,28 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:(?P<crc>gh[pousr]_[A-Za-z0-9]{36})|[A-Za-z0-9]{20,128}+)(?![A-Za-z0-9_])")
 _DIGIT = re.compile("[0-9]")
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
-#: Prior score of a proposed span, and of one that its validator confirmed.
-_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "ssn": 0.35}
-#: Words within CONTEXT_CHARS that raise the score of a kind.
+#: Score of a proposed span; what a checksum, a word for its kind and a word against it change.
+_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.3, "phone": 0.6, "iban": 0.2, "ssn": 0.3, "secret": 0.3}
+_CONFIRMED, _FOR, _AGAINST = 0.4, 0.25, -0.2
+#: Words within CONTEXT_CHARS that speak for a kind.
 _CONTEXT = {
-    "email": ("mail", "contact", "write", "@"),
-    "ip": ("ip", "address", "host", "server", "login"),
-    "card": ("card", "visa", "credit", "debit", "payment", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "appel", "llama"),
-    "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
-    "ssn": ("ssn", "social", "security", "tax"),
+    "email": frozenset("mail email mails contact write reply courriel correo".split()),
+    "ip": frozenset("ip address addresses host server login adresse".split()),
+    "card": frozenset("card cards visa mastercard credit debit payment karte carte tarjeta".split()),
+    "phone": frozenset("phone tel telephone call mobile cell fax telefon handy appel llama".split()),
+    "iban": frozenset("iban bank account accounts konto compte cuenta".split()),
+    "ssn": frozenset("ssn social security tax".split()),
+    "secret": frozenset("secret secrets token tokens key keys apikey api password passwd pwd passwort auth bearer credential credentials".split()),
 }
-#: Words that lower the score of any kind.
-_AGAINST = ("version", "isbn", "example", "test", "sample", "part no")
+#: Words that speak against any kind.
+_DOUBTS = frozenset("version isbn example test sample part".split())
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 class Span(NamedTuple):
@@ -109,16 +118,54 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    return (m.span() for m in _IBAN.finditer(text) if mod97(m[0]))
+    """From each start the longest one that the checksum confirms and no letter or digit follows."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 4
+        for end in range(m.end(), m.start() + 14, -1):
+            if text[end - 1] != " " and not (text[end : end + 1].isascii() and text[end : end + 1].isalnum()) and mod97(text[m.start() : end]):
+                yield m.start(), end
+                at = end
+                break
 
 
 def _ssns(text: str) -> Iterator[tuple[int, int]]:
     return (m.span() for m in _SSN.finditer(text))
 
 
-def _score(kind: str, text: str, start: int, end: int) -> float:
-    near = (text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]).lower()
-    score = _PRIOR[kind] + 0.25 * any(w in near for w in _CONTEXT[kind]) - 0.2 * any(w in near for w in _AGAINST)
+def crc_confirmed(token: str) -> bool:
+    """Whether the last six characters are the CRC-32 of those between prefix and them, in base 62."""
+    body, end = token[4:-6], token[-6:]
+    value, digits = zlib.crc32(body.encode()), ""
+    while value:
+        value, d = divmod(value, 62)
+        digits = _BASE62[d] + digits
+    return digits.rjust(6, "0") == end
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Long runs of letters and digits that have several of both, and whether a checksum confirms them."""
+    for m in _SECRET.finditer(text):
+        digits = len(_DIGIT.findall(m[0]))
+        if m["crc"] or 4 <= digits <= len(m[0]) - 4:
+            yield *m.span(), bool(m["crc"]) and crc_confirmed(m[0])
+
+
+#: Kinds whose spans have all passed a checksum.
+_CHECKED = frozenset(("card", "iban"))
+
+
+def _words_near(text: str, start: int, end: int) -> set[str]:
+    """The whole words within CONTEXT_CHARS of a span, in lower case."""
+    low, high = max(0, start - CONTEXT_CHARS), min(len(text), end + CONTEXT_CHARS)
+    found = [m for m in _WORD.finditer(text, low, start) if m.start() > low or not low or not text[low - 1].isalpha()]
+    found += [m for m in _WORD.finditer(text, end, high) if m.end() < high or high == len(text) or not text[high].isalpha()]
+    return {m[0].lower() for m in found}
+
+
+def _score(kind: str, confirmed: bool, text: str, start: int, end: int) -> float:
+    near = _words_near(text, start, end)
+    score = _PRIOR[kind] + _CONFIRMED * confirmed + _FOR * (not near.isdisjoint(_CONTEXT[kind])) + _AGAINST * (not near.isdisjoint(_DOUBTS))
     return round(min(1.0, max(0.0, score)), 3)
 
 
@@ -126,11 +173,12 @@ def find_spans(text: str | None, digits: bool = True) -> list[Span]:
     """All spans of a text. digits: false if the text is known to have none of 0-9."""
     if not text:
         return []
-    found = [("email", *x) for x in _emails(text)] if "@" in text else []
+    found = [("email", *x, False) for x in _emails(text)] if "@" in text else []
     if digits:
         for kind, f in (("ip", _ips), ("card", _cards), ("phone", _phones), ("iban", _ibans), ("ssn", _ssns)):
-            found += [(kind, *x) for x in f(text)]
-    spans = [Span(kind, a, b, _score(kind, text, a, b)) for kind, a, b in found]
+            found += [(kind, *x, kind in _CHECKED) for x in f(text)]
+        found += [("secret", *x) for x in _secrets(text)]
+    spans = [Span(kind, a, b, _score(kind, confirmed, text, a, b)) for kind, a, b, confirmed in found]
     spans = [s for s in spans if s.kind in BASE_KINDS or s.score >= KEEP_SCORE]
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 

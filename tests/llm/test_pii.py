@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+import zlib
 
 from recweld.llm.pii import find_pii, find_spans, luhn, mod97, pii_digest, redact
 
@@ -61,3 +63,55 @@ def test_redaction(spark):
     assert sorted(map(tuple, redact(df).collect())) == [(1, "to <EMAIL>, <IP>!", 17, "en"), (2, None, 7, None), (3, "clean", 5, "en")]
     assert [len(r["spans"]) for r in find_pii(df).orderBy("doc_id").collect()] == [2, 0, 0]
     assert find_pii(df.limit(0)).count() == 0
+
+
+def kinds(text):
+    return [(s.kind, text[s.start : s.end]) for s in find_spans(text)]
+
+
+def test_iban_before_capitals():
+    assert kinds("pay BE68 5390 0754 7034 BANK OF X") == [("iban", "BE68 5390 0754 7034")]
+    assert kinds("pay BE68539007547034 BANK") == [("iban", "BE68539007547034")] and kinds("pay BE68539007547034BANK") == []
+    assert kinds("BE68 5390 0754 7035 BANK OF X") == []  # no checksum
+    assert kinds("example BE68 5390 0754 7034") == [] and kinds("example iban BE68 5390 0754 7034") == [("iban", "BE68 5390 0754 7034")]
+    assert kinds("GB82WEST12345698765432 GB82WEST12345698765432")[1:] == [("iban", "GB82WEST12345698765432")]
+
+
+def test_context_is_of_whole_words():
+    score = lambda text: find_spans(text)[0].score
+    base = score("x +49 30 1234567 y")
+    assert score("tel +49 30 1234567") == score("a +49 30 1234567, Tel.") > base > score("test +49 30 1234567")
+    for text in ("hotel +49 30 1234567", "latest +49 30 1234567", "cell5 +49 30 1234567 telly", "tel" + " ." * 30 + " +49 30 1234567"):
+        assert score(text) == (base if "cell" not in text else score("cell +49 30 1234567")), text
+    assert kinds("socially 123-45-6789") == [] and kinds("social 123-45-6789") == [("ssn", "123-45-6789")]
+    assert find_spans("phone" + "x" * 35 + " 123-45-6789") == []
+    assert find_spans("n 4111111111111111")[0].score > find_spans("n 1.2.3.4")[0].score  # the checksum counts
+
+
+def test_secrets():
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert kinds(f'token = "{key}" x') == [("secret", key)] and kinds(f"commit {key}") == [] and kinds("key " + "a" * 40) == [] and kinds(f"key {key}_x") == []
+    body = "abcdefghijABCDEFGHIJ0123456789"
+    value, end = zlib.crc32(body.encode()), ""
+    while value:
+        value, d = divmod(value, 62)
+        end = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[d] + end
+    good = f"ghp_{body}{end.rjust(6, '0')}"
+    assert kinds(f"x {good} y") == [("secret", good)] and kinds(f"x {good[:-1]}! y") == [] and kinds(f"x {good[:-6]}000000 y") == []
+
+
+def test_empty_tables_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "to bob@x.org", "a", 1), (1, "to bob@x.org", "a", 1), (None, None, "b", 2)], "doc_id long, text string, base_sha256 string, n_email int")
+    assert sorted(((r["doc_id"], r["n_email"], r["spans"]) for r in pii_digest(df).collect()), key=str) == [(1, 1, "email:3:12"), (1, 1, "email:3:12"), (None, 0, "")]
+    assert pii_digest(df.limit(0)).count() == redact(df.limit(0)).count() == 0
+    assert redact(df).columns == df.columns
+
+
+def test_time_is_linear_in_the_text():
+    for bad in ("A1", "GB82 ", "GB82WEST", "1-", "+1", "a@", "ghp_", "a1b2c3", "1.", "123-45-"):
+        took = []
+        for n in (20_000, 80_000):
+            t = time.perf_counter()
+            find_spans(bad * n)
+            took.append(time.perf_counter() - t)
+        assert took[1] < 12 * took[0] + 0.5, (bad, took)
