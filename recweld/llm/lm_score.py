@@ -13,10 +13,12 @@ Probing: by default each slice's distinct keys go to the buckets of their hashes
 bucket counts, builds its filter, probes it for all keys it was sent and returns counts and levels to the slices (see
 _by_bucket()). With ``broadcast_bytes``, tables within it are broadcast instead; the buckets, filters and scores are the
 same. Either way no task holds more than a bucket with the keys it was sent, or a slice with its own; the number of
-buckets follows the size of the texts, and no single key can fill one, as slices are counted before they are sent.
+buckets follows the size of the texts, and no single key can fill one, as slices are counted before they are sent. A slice
+sends a message to a bucket only if it has a key there: there are never more messages than distinct keys of slices.
 
 Null and empty texts are one end token. Repeated rows count, and are scored, repeatedly. Without training texts, N and V
-are 0. An empty table gives an empty result.
+are 0. An empty table gives an empty result. Only the id and text and what ``train`` and ``extra`` name are read, whatever
+other columns are called.
 """
 
 from __future__ import annotations
@@ -161,13 +163,13 @@ def _counted(texts: DataFrame, n_buckets: int) -> DataFrame:
         for batch in batches:
             for _, _, data, offs in K.slices(batch.column(0), _SLICE):
                 tokens, _ = _tokens(data, offs)
-                columns = []
-                for keys in (tokens, _pairs(tokens)):
-                    keys, counts = np.unique(keys, return_counts=True)
-                    cut = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
-                    for values in (keys, counts.astype(np.uint32)):
-                        columns.append(pa.array([values[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_buckets), pa.int64()), *columns], ["bucket", "words", "counts", "pairs", "pair_counts"])
+                own = [np.unique(keys, return_counts=True) for keys in (tokens, _pairs(tokens))]
+                buckets = [np.searchsorted(bounds, keys, side="right") for keys, _ in own]
+                asked, columns = np.unique(np.concatenate(buckets)), []
+                for (keys, counts), bucket in zip(own, buckets, strict=True):
+                    ends = list(zip(np.searchsorted(bucket, asked), np.searchsorted(bucket, asked, side="right"), strict=True))
+                    columns += [pa.array([values[a:b].tobytes() for a, b in ends], pa.binary()) for values in (keys, counts.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), *columns], ["bucket", "words", "counts", "pairs", "pair_counts"])
 
     return texts.mapInArrow(run, "bucket long, words binary, counts binary, pairs binary, pair_counts binary")
 
@@ -299,15 +301,18 @@ def _by_bucket(docs: DataFrame, n_buckets: int) -> DataFrame:
         tokens, pairs, first = keys_of(group["text"])
         learnt = np.repeat(group[_TRAIN].to_numpy().astype(np.int64), np.diff(first))
         bounds = _bucket_bounds(n_buckets)
-        columns = []
+        found = []
         for keys, seen in ((np.append(tokens, _END), np.append(learnt, 0)), (pairs, learnt)):
             order, begins, _ = _runs(keys)
             counts, keys = np.add.reduceat(seen[order], begins).astype(np.uint32), keys[order[begins]]
-            at = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
-            columns.append(pa.array([_planes(keys[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
-            columns.append(pa.array([counts[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
-        number = pa.array(np.full(n_buckets, group[_SLICE_COL][0].as_py()), pa.int64())
-        return pa.Table.from_arrays([number, pa.array(np.arange(n_buckets), pa.int64()), *columns], ["slice", "bucket", "words", "counts", "pairs", "pair_counts"])
+            found.append((keys, counts, np.searchsorted(bounds, keys, side="right")))
+        asked = np.unique(np.concatenate([x[2] for x in found]))
+        columns = []
+        for keys, counts, bucket in found:
+            ends = list(zip(np.searchsorted(bucket, asked), np.searchsorted(bucket, asked, side="right"), strict=True))
+            columns += [pa.array([_planes(keys[a:b]) for a, b in ends], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in ends], pa.binary())]
+        number = pa.array(np.full(len(asked), group[_SLICE_COL][0].as_py()), pa.int64())
+        return pa.Table.from_arrays([number, pa.array(asked, pa.int64()), *columns], ["slice", "bucket", "words", "counts", "pairs", "pair_counts"])
 
     def size_of(group: pa.Table) -> pa.Table:
         _, counts, _, _ = _added(group["words"].to_pylist(), group["counts"].to_pylist())
