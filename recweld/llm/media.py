@@ -2,12 +2,15 @@
 
 A text's UTF-8 bytes, padded with bytes 255 up to a positive multiple of CELL, are the samples of an 8-bit grey image of
 WIDTH columns. encode_png() writes it, decode_png() reads any non-interlaced 8-bit grey, RGB or RGBA PNG: it checks the
-signature and each chunk's CRC, inflates the data and undoes the five row filters in numpy. cosine_hash() averages the
+signature and each chunk's CRC, inflates the data and undoes the five row filters in numpy: whole runs of rows at a time
+for those that look left or up only, and a diagonal of the image at a time where rows look at both. cosine_hash() averages the
 image to a square grid, takes its two-dimensional cosine transform and keeps the signs of the low frequencies against
 their median.
 
 Null and empty texts are one row of 576 bytes 255. Equal texts have equal results; long texts need memory in
-proportion to their own length. A damaged file raises ValueError.
+proportion to their own length. A damaged file raises ValueError. Repeated rows give repeated results, an empty table an
+empty one. add_media() carries all columns along, and replaces those that have the names of the new ones; media_digest()
+reads the id and text only, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -62,7 +65,11 @@ def _chunks(blob: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 def _unfilter(kinds: np.ndarray, raw: np.ndarray, step: int) -> np.ndarray:
-    """Undoes the row filters. raw: height x bytes per row; step: bytes per pixel. Runs of rows of filters 0 to 2 at once."""
+    """Undoes the row filters. raw: height x bytes per row; step: bytes per pixel."""
+    if len(kinds) and kinds.max() > 4:
+        raise ValueError(f"unknown filter {kinds.max()}")
+    if (kinds > 2).any():
+        return _by_diagonals(kinds, raw, step)
     out = np.empty_like(raw)
     height, width = raw.shape
     above = np.zeros(width, np.uint8)
@@ -75,32 +82,33 @@ def _unfilter(kinds: np.ndarray, raw: np.ndarray, step: int) -> np.ndarray:
             out[i:j] = raw[i:j]
         elif kind == 1:
             out[i:j] = np.cumsum(raw[i:j].reshape(j - i, -1, step), axis=1, dtype=np.uint8).reshape(j - i, width)
-        elif kind == 2:
+        else:
             first = raw[i:j].copy()
             first[0] += above
             out[i:j] = np.cumsum(first, axis=0, dtype=np.uint8)
-        elif kind in (3, 4):
-            for r in range(i, j):
-                line, up = out[r], (out[r - 1] if r else np.zeros(width, np.uint8)).astype(np.int64)
-                left, corner = np.zeros(step, np.int64), np.zeros(step, np.int64)
-                for c in range(0, width, step):
-                    b = up[c : c + step]
-                    if kind == 3:
-                        guess = (left + b) // 2
-                    else:
-                        p = left + b - corner
-                        pa_, pb, pc = abs(p - left), abs(p - b), abs(p - corner)
-                        guess = np.where((pa_ <= pb) & (pa_ <= pc), left, np.where(pb <= pc, b, corner))
-                    left = (raw[r, c : c + step] + guess) & 255
-                    line[c : c + step] = left
-                    corner = b
-        else:
-            raise ValueError(f"unknown filter {kind}")
         above = out[j - 1]
         i = j
     return out
 
 
+def _by_diagonals(kinds: np.ndarray, raw: np.ndarray, step: int) -> np.ndarray:
+    """Filters 3 and 4 need the pixels left, above and between: all pixels of a diagonal can be had at once."""
+    height, width = raw.shape
+    columns = width // step
+    pixels = raw.reshape(height, columns, step).astype(np.int64)
+    out = np.zeros((height + 1, columns + 1, step), np.int64)  # with a row above and a column left of the image
+    for d in range(height + columns - 1):
+        r = np.arange(max(0, d - columns + 1), min(height, d + 1))
+        c = d - r
+        left, above, corner, kind = out[r + 1, c], out[r, c + 1], out[r, c], kinds[r][:, None]
+        near = left + above - corner
+        to_left, to_above, to_corner = abs(near - left), abs(near - above), abs(near - corner)
+        paeth = np.where((to_left <= to_above) & (to_left <= to_corner), left, np.where(to_above <= to_corner, above, corner))
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, above, (left + above) // 2, paeth], 0)
+        out[r + 1, c + 1] = (pixels[r, c] + guess) & 255
+    return out[1:, 1:].reshape(height, width).astype(np.uint8)
+
+
 def decode_png(blob: bytes) -> np.ndarray:
     """Height x width (x channels, if more than one) of uint8."""
     head, data = None, []
@@ -159,7 +167,8 @@ def text_image(payload: bytes) -> bytes:
 
 
 def add_media(documents: DataFrame, text_col: str = "text", media_col: str = "media", feature_col: str = "feature") -> DataFrame:
-    """The documents with a binary PNG column and a binary column of its cosine hash (read back from the PNG)."""
+    """The documents with a binary PNG column and a binary column of its cosine hash (read back from the PNG), in the place of
+    columns that have these names, if there are any."""
     names = [c for c in documents.columns if c not in (media_col, feature_col)]
     docs = documents.select(names)
 

@@ -62,3 +62,50 @@ def test_hash_is_near_for_near_images():
     b[5, 5:9] ^= 3
     bits = lambda x: np.unpackbits(np.frombuffer(M.cosine_hash(x), np.uint8))
     assert (bits(a) != bits(b)).sum() <= 2 < (bits(a) != bits(rng.integers(0, 256, (64, 64)).astype(np.uint8))).sum()
+
+
+def plain_png(payload):
+    """The same image by the PNG specification, byte by byte."""
+    rows = [payload[i : i + 576] for i in range(0, len(payload), 576)]
+    data = b"".join(bytes([2 if i else 0]) + (bytes((a - b) % 256 for a, b in zip(row, rows[i - 1], strict=True)) if i else row) for i, row in enumerate(rows))
+    part = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 576, len(rows), 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(data, 1)) + part(b"IEND", b"")
+
+
+def plain_hash(payload):
+    """Means of a square grid, the cosine transform and the median, in plain loops."""
+    from math import cos, pi
+
+    height = len(payload) // 576
+    grid = [[0.0] * 32 for _ in range(32)]
+    span = lambda n, k: range(k * n // 32, (k + 1) * n // 32) if n >= 32 else [k * n // 32]
+    for i in range(32):
+        for j in range(32):
+            own = [payload[r * 576 + c] for r in span(height, i) for c in span(576, j)]
+            grid[i][j] = sum(own) / len(own)
+    wave = [[cos(pi * (x + 0.5) * k / 32) for x in range(32)] for k in range(8)]
+    rows = [[sum(wave[k][x] * grid[x][j] for x in range(32)) for j in range(32)] for k in range(8)]
+    low = [round(sum(rows[k][j] * wave[q][j] for j in range(32)), 6) for k in range(8) for q in range(8)]
+    middle = sorted(low[1:])[31]
+    return int("".join("1" if v > middle else "0" for v in low), 2).to_bytes(8, "big").hex()
+
+
+def test_stored_form_and_feature_equal_plain_loops(spark):
+    texts = ["", "some words of a text", "x" * 576, "Straße und mehr davon " * 90, "word soup " * 2500]
+    got = {r["doc_id"]: r for r in M.media_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        blob = plain_png(payload)
+        assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(blob), hashlib.sha256(blob).hexdigest())
+        bits = [int(x, 16) for x in (got[i]["feature"], plain_hash(payload))]
+        assert (bits[0] ^ bits[1]).bit_count() <= 1  # a value may lie at the median's rounding
+
+
+def test_time_on_filters_of_both_neighbours():
+    import time
+
+    pixels = np.random.default_rng(3).integers(0, 256, (400, 1200), np.uint8)
+    t = time.process_time()
+    M._unfilter(np.tile([3, 4], 200), pixels, 3)
+    assert time.process_time() - t < 3
