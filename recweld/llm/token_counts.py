@@ -8,8 +8,8 @@ L long (the quantiles). Between two lengths that occur, all answers follow from
 The suffix sums are two-level: lengths are grouped into ranges of RANGE, ranges are summed first and their (few) totals
 are added to the sums inside each range, so no task has to hold all lengths.
 
-Nulls and empty texts have length 0. An empty table gives an empty histogram. Special tokens' names in a text are
-ordinary text. The model file is a parameter; its bytes are broadcast, so that executors need no copy of it.
+Nulls and empty texts have length 0; repeated rows count repeatedly. An empty table gives an empty histogram. Special
+tokens' names in a text are ordinary text. Only the id and text columns are read, whatever other columns are called. The model file is a parameter; its bytes are broadcast, so that executors need no copy of it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 MODEL_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenisation pattern that belongs to the model file (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -65,7 +67,7 @@ def token_lengths(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def length_histogram(documents: DataFrame, text_col: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
-    """(n_tokens, n_docs) for every length that occurs."""
+    """(n_tokens, n_docs) for every length that occurs. Texts are encoded once: the histogram is stored, as sums read it twice."""
     model = broadcast_file(documents.sparkSession, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +78,7 @@ def length_histogram(documents: DataFrame, text_col: str = "text", model_path: s
         yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "n_docs"])
 
     docs = documents.select(F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return stored(docs.mapInArrow(run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
