@@ -1,10 +1,12 @@
 """The corpus pipeline: stages over the documents table, each written as Parquet and read again as the next one's input.
 
-1. language: documents whose language cannot be told (no letter, or no text) go; a null label is filled in.
-2. near_duplicates: of each group of documents linked by n-gram Jaccard similarity, the one of the smallest id stays.
+1. language: documents whose language cannot be told (no letter, no text, or hardly better than by chance) go; the label is
+   the predicted one where the prediction is sure or there was none. Without any labelled document, labels stay as they are.
+2. near_duplicates: of each group of documents linked by n-gram Jaccard similarity, the one of the smallest id stays. Rows
+   are told apart by id and text.
 3. decontamination: documents that hold a passage of the benchmark go.
 4. personal_data: spans of personal data are replaced by their kind.
-5. pieces: documents become SentencePiece ids, with a check of the round trip.
+5. pieces: documents become SentencePiece ids with their language and source, and a check of the round trip.
 
 Each stage handles empty tables, nulls and repeated rows as its operator does.
 """
@@ -38,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode(docs)
+    return encode(docs, carry=("lang", "source"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("pieces", pieces)]
