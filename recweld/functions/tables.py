@@ -1,7 +1,7 @@
 """Word lists of name and address normalisation. All values here are fixed values: results depend on them.
 
 Tables map a canonical form to its variants (lower-case ASCII). Regions of further countries are given as a parameter of
-the same form, see addresses.AddressNormalizer.
+the same form, see addresses.PlaceTables. Patterns are Java's.
 """
 
 LEGAL_FORMS = {
@@ -99,6 +99,29 @@ REGIONS = {
     "in_mp": ["madhya pradesh", "mp"], "in_pb": ["punjab", "pb"], "in_od": ["odisha", "orissa", "od", "or"], "in_as": ["assam", "as"], "in_jh": ["jharkhand", "jh"], "in_cg": ["chhattisgarh", "cg", "ct"], "in_ga": ["goa", "ga"],
     "in_uk": ["uttarakhand", "uttaranchal", "uk"], "in_hp": ["himachal pradesh", "hp"], "in_jk": ["jammu and kashmir", "jammu & kashmir", "jk"], "in_ch": ["chandigarh", "ch"], "in_py": ["puducherry", "pondicherry", "py"],
 }
+#: Regions of France with their departments.
+FRENCH_REGIONS = {
+    "fr_hdf": ["hauts-de-france", "nord", "pas-de-calais", "somme", "aisne", "oise"],
+    "fr_naq": ["nouvelle-aquitaine", "gironde", "landes", "dordogne", "lot-et-garonne", "pyrenees-atlantiques", "charente", "charente-maritime", "vienne", "haute-vienne", "deux-sevres", "creuse", "correze"],
+    "fr_pdl": ["pays de la loire", "loire-atlantique", "vendee", "maine-et-loire", "sarthe", "mayenne"],
+    "fr_idf": ["ile-de-france", "paris", "hauts-de-seine", "seine-saint-denis", "val-de-marne", "yvelines", "essonne", "val-d'oise", "seine-et-marne"],
+    "fr_ara": ["auvergne-rhone-alpes", "rhone", "isere", "loire", "ain", "savoie", "haute-savoie", "puy-de-dome", "allier", "cantal", "haute-loire", "drome", "ardeche"],
+    "fr_occ": ["occitanie", "haute-garonne", "herault", "gard", "aude", "pyrenees-orientales", "tarn", "aveyron", "lot", "gers", "tarn-et-garonne", "ariege", "hautes-pyrenees", "lozere"],
+    "fr_pac": ["provence-alpes-cote d'azur", "paca", "bouches-du-rhone", "var", "alpes-maritimes", "vaucluse", "alpes-de-haute-provence", "hautes-alpes"],
+    "fr_ges": ["grand est", "bas-rhin", "haut-rhin", "moselle", "meurthe-et-moselle", "marne", "aube", "ardennes", "vosges", "meuse", "haute-marne"],
+    "fr_bre": ["bretagne", "ille-et-vilaine", "finistere", "morbihan", "cotes-d'armor"],
+    "fr_nor": ["normandie", "seine-maritime", "calvados", "manche", "eure", "orne"],
+    "fr_bfc": ["bourgogne-franche-comte", "cote-d'or", "doubs", "saone-et-loire", "yonne", "nievre", "jura", "haute-saone", "territoire de belfort"],
+    "fr_cvl": ["centre-val de loire", "loiret", "indre-et-loire", "loir-et-cher", "cher", "indre", "eure-et-loir"],
+    "fr_cor": ["corse", "corse-du-sud", "haute-corse"],
+}
+#: Patterns of names and addresses: an l that stands for a capital I; what follows a bar; numbers that are no part of a name;
+#: dots of abbreviations; ordinal numbers.
+CAPITAL_L = r"(?<=[A-Z])l(?=[A-Z])|\bl(?=[A-Z]{2,}\b)"
+BAR_TAIL = r"\s\|\s.*$"
+LOOSE_NUMBERS = r"\(\s*id\s*[:#]?\s*\d+\s*\)|#\s*\d+|\s-\s*\+?\d[\d\s\-]{6,}\s*$|\b\d{8,}\b"
+ACRONYM_DOTS = r"(?<=\b[a-z])\.(?=[a-z]\.)|(?<=\b[a-z]\.[a-z])\."
+ORDINAL = r"^(\d+)(?:st|nd|rd|th|er|e|eme|ieme)$"
 SYMBOLS = {"n°": " no ", "nº": " no ", "N°": " no ", "Nº": " no ", "°": " ", "º": " ", "№": " no ", "’": "'", "‘": "'", "`": "'"}
 #: Scripts whose characters are words of their own.
 UNSPACED_SCRIPTS = ("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "THAI", "LAO", "KHMER", "MYANMAR", "TIBETAN")

@@ -11,6 +11,11 @@ import functools
 import re
 import unicodedata
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from .tables import SYMBOLS, UNSPACED_SCRIPTS
 
 _INDIC = ("DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA")
@@ -79,3 +84,22 @@ def transliterate(text: str | None) -> str:
     if open_consonant:
         out.append("a")
     return "".join(out).encode("ascii", "ignore").decode().lower()
+
+
+def transliterated(text: Column) -> Column:
+    """transliterate() of a column; each distinct text that is not plain ASCII is worked out once a batch. Null is empty."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        seen: dict[str, str] = {}
+        out = []
+        for text in texts:
+            if text is None or text.isascii():
+                out.append((text or "").lower())
+            else:
+                if text not in seen:
+                    seen[text] = transliterate(text)
+                out.append(seen[text])
+        return pd.Series(out, dtype=object)
+
+    return run(text)

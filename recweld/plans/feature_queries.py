@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from ..functions.addresses import address_struct
+from ..functions.addresses import with_addresses
 from ..functions.fuzzy import similarity_columns
-from ..functions.names import name_struct
+from ..functions.names import skeleton, with_names
 from ..functions.tables import HONORIFICS, LEGAL_FORMS, SKELETON
 from ..operators import blocking as B
 from ..operators import features as X
@@ -34,8 +34,8 @@ d AS (SELECT *, lag(t) OVER (PARTITION BY id ORDER BY i) AS before FROM f), c AS
 SELECT id, (SELECT string_agg(t, ' ' ORDER BY i) FROM d WHERE d.id = w.id AND (before IS NULL OR before <> t)) AS full_name, (SELECT string_agg(t, ' ' ORDER BY i) FROM c WHERE c.id = w.id AND (cb IS NULL OR cb <> t)) AS core,
  coalesce((SELECT string_agg(DISTINCT t, ' ' ORDER BY t) FROM f WHERE f.id = w.id AND NOT plain), '') AS legal FROM w""")
 def norm_name_core(spark, sf):
-    names = _named(spark, sf).select("id", name_struct("raw", F.lit("")).alias("n"))
-    return names.select("id", F.col("n.name_full").alias("full_name"), F.col("n.name_core").alias("core"), F.col("n.name_legal").alias("legal"))
+    names = with_names(_named(spark, sf), "raw", F.lit(""))
+    return names.select("id", F.col("name_full").alias("full_name"), F.col("name_core").alias("core"), F.col("name_legal").alias("legal"))
 
 
 def _skeleton_sql(c: str) -> str:
@@ -62,13 +62,8 @@ _SOUND = "substr(s, 1, 1) || regexp_replace(substr(s, 2), '[aeiouh]', '', 'g')"
     " SELECT token, " + _shortened(_SOUND) + " AS skel FROM s"
 )
 def phonetic_skeleton(spark, sf):
-    """In native expressions."""
     tokens = records(spark, sf).select(F.explode(F.split("name", " ")).alias("token")).where("token <> '' and not token rlike '^[0-9]+$'").distinct()
-    s = F.col("token")
-    for old, new in SKELETON:
-        s = F.replace(s, F.lit(old), F.lit(new))
-    kept = F.concat(F.substring(s, 1, 1), F.regexp_replace(F.substr(s, F.lit(2)), "[aeiouh]", ""))
-    return tokens.select("token", F.regexp_replace(kept, r"(.)\1+", "$1").alias("skel"))
+    return tokens.select("token", skeleton(F.col("token")).alias("skel"))
 
 
 _ADDRESS_SQL = "a AS (SELECT p_partkey AS id, p_size::VARCHAR || ' ' || lower(split_part(p_name, ' ', 1)) || ' street' AS street, replace(lower(p_brand), '#', ' ') AS place, CASE p_partkey % 3 WHEN 0 THEN 'Texas' WHEN 1 THEN 'CA' ELSE '' END AS region FROM part)"
@@ -78,8 +73,8 @@ _ADDRESS_SQL = "a AS (SELECT p_partkey AS id, p_size::VARCHAR || ' ' || lower(sp
 def norm_address_parts(spark, sf):
     state = F.when(F.col("p_partkey") % 3 == 0, "Texas").when(F.col("p_partkey") % 3 == 1, "CA").otherwise("")
     raw = F.concat_ws(", ", F.concat_ws(" ", F.col("p_size").cast("string"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("Street")), state)
-    a = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), address_struct(raw).alias("a"))
-    return a.select("id", F.col("a.addr_street").alias("street"), F.col("a.addr_hnum").alias("hnum"), F.col("a.addr_region").alias("region"))
+    a = with_addresses(load(spark, sf, "part").select(F.col("p_partkey").alias("id"), raw.alias("raw")), "raw")
+    return a.select("id", F.col("addr_street").alias("street"), F.col("addr_hnum").alias("hnum"), F.col("addr_region").alias("region"))
 
 
 @query("WITH " + PAIRS_SQL + """, names AS (SELECT s1 AS id, name FROM s1 UNION ALL SELECT s23, name FROM s23), t AS (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS term FROM names), u AS (SELECT * FROM t WHERE term <> ''),

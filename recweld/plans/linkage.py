@@ -7,9 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.addresses import AddressNormalizer, address_struct
+from ..functions.addresses import PlaceTables, with_addresses
 from ..functions.expressions import crc_split
-from ..functions.names import name_struct
+from ..functions.names import with_names
 from ..operators import blocking as B
 from ..operators import evaluation as V
 from ..operators import features as X
@@ -29,10 +29,10 @@ class Settings:
     thresholds: list[float] = field(default_factory=lambda: [round(0.3 + 0.01 * i, 2) for i in range(70)])
 
 
-def normalized(records: DataFrame, normalizer: AddressNormalizer | None = None) -> DataFrame:
+def normalized(records: DataFrame, places: PlaceTables | None = None) -> DataFrame:
     """Records (entity_id, business_name, business_address, country) with all fields of name and address."""
-    n, a = name_struct("business_name", "country"), address_struct("business_address", normalizer)
-    return records.withColumns({"_n": n, "_a": a}).select(*records.columns, "_n.*", "_a.*").withColumn("country", F.coalesce("country", F.lit("")))
+    named = with_names(records, "business_name", "country")
+    return with_addresses(named, "business_address", places).withColumn("country", F.coalesce("country", F.lit("")))
 
 
 def name_vectors(records: DataFrame, dims: int, seed: int = 1) -> DataFrame:

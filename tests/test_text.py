@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from recweld.functions import fuzzy
-from recweld.functions.addresses import AddressNormalizer
-from recweld.functions.names import normalize_name, repaired, skeleton
+from recweld.functions.addresses import ADDRESS_FIELDS, PlaceTables, with_addresses
+from recweld.functions.names import legal_form, repaired, skeleton, with_names
 from recweld.functions.translit import transliterate
 
 NAMES = [
@@ -23,12 +24,15 @@ NAMES = [
 ]
 
 
-@pytest.mark.parametrize("raw,country,full,core,legal,alias,skel,domain", NAMES)
-def test_names(raw, country, full, core, legal, alias, skel, domain):
-    got = normalize_name(raw, country)
-    assert (got["name_full"], got["name_core"], got["name_legal"], got["name_alias"], got["name_is_domain"]) == (full, core, legal, alias, domain)
-    assert skel is None or got["name_skel"] == skel
-    assert got["name_nospace"] == core.replace(" ", "")
+def test_names(spark):
+    df = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(NAMES)], "i int, raw string, land string").selectExpr("*", "1 as name_full")
+    got = {r["i"]: r for r in with_names(df, "raw", "land").collect()}
+    for i, (_, _, full, core, legal, alias, skel, domain) in enumerate(NAMES):
+        r = got[i]
+        assert (r["name_full"], r["name_core"], r["name_legal"], r["name_alias"], r["name_is_domain"]) == (full, core, legal, alias, domain)
+        assert skel is None or r["name_skel"] == skel
+        assert r["name_nospace"] == core.replace(" ", "")
+    assert with_names(df.limit(0), "raw", "land").count() == 0
 
 
 ADDRESSES = [
@@ -42,26 +46,44 @@ ADDRESSES = [
 ]
 
 
-@pytest.mark.parametrize("raw,norm,street,locality,region,nums,hnum,landmark", ADDRESSES)
-def test_addresses(raw, norm, street, locality, region, nums, hnum, landmark):
-    got = AddressNormalizer()(raw)
-    assert got == {"addr_norm": norm, "addr_street": street, "addr_locality": locality, "addr_region": region, "addr_nums": nums, "addr_hnum": hnum, "addr_landmark": landmark, "addr_blank": False}
+def addresses(spark, raws, places=None):
+    df = spark.createDataFrame(list(enumerate(raws)), "i int, raw string")
+    return [{k: r[k] for k in ADDRESS_FIELDS} for r in with_addresses(df, "raw", places).orderBy("i").collect()]
 
 
-@pytest.mark.parametrize("raw", [None, "", "NULL", "None", "n.a., -"])
-def test_blank_addresses(raw):
-    assert AddressNormalizer()(raw)["addr_blank"]
+def test_addresses(spark):
+    for got, (raw, norm, street, locality, region, nums, hnum, landmark) in zip(addresses(spark, [a[0] for a in ADDRESSES]), ADDRESSES, strict=True):
+        assert got == {"addr_norm": norm, "addr_street": street, "addr_locality": locality, "addr_region": region, "addr_nums": nums, "addr_hnum": hnum, "addr_landmark": landmark, "addr_blank": False}, raw
 
 
-def test_aliases_of_places():
-    own = AddressNormalizer({"fr_pac": ["paca"]}, [("azur", "paca", 400), ("nizza", "nice", 5), ("unit 5", "nice", 9), ("rare", "paca", 9)])
-    assert own("Azur")["addr_region"] == "fr_pac" and own("Nizza")["addr_locality"] == "nice" and own("rare")["addr_locality"] == "rare"
-    assert AddressNormalizer()("Hyderabad, TN")["addr_region"] == "tn"  # shared codes merge
+def test_blank_addresses(spark):
+    assert all(r["addr_blank"] and r["addr_norm"] == "" for r in addresses(spark, [None, "", "NULL", "None", "n.a., -"]))
 
 
-def test_words():
-    assert skeleton("construction") == skeleton("kanstrakshan") == "knstrksn" and skeleton("2024") == "2024"
-    assert [repaired(w) for w in ("re1iable", "0utsourcing", "4th", "2nd", "3m", "b2b")] == ["reliable", "outsourcing", "4th", "2nd", "3m", "b2b"]
+def test_regions_of_france(spark):
+    raws = ["11 Rue Nationale, Lille, Hauts-de-France", "3 Quai, Nantes, Loire-Atlantique", "Cannes, Provence-Alpes-Côte d'Azur", "Dijon, Côte-d'Or", "PARIS", "1 Rue X, Vierzon, Cher"]
+    assert [r["addr_region"] for r in addresses(spark, raws)] == ["fr_hdf", "fr_pdl", "fr_pac", "fr_bfc", "fr_idf", "fr_cvl"]
+
+
+def test_aliases_of_places(spark):
+    own = PlaceTables({"fr_pac": ["paca"]}, [("azur", "paca", 400), ("nizza", "nice", 5), ("unit 5", "nice", 9), ("rare", "paca", 9), ("xy", "nice", 9)])
+    azur, nizza, rare, unit = addresses(spark, ["Azur", "Nizza", "rare", "xy"], own)
+    assert azur["addr_region"] == "fr_pac" and nizza["addr_locality"] == "nice" and rare["addr_locality"] == "rare" and unit["addr_locality"] == "xy"
+    assert "unit 5" not in own.localities
+    assert addresses(spark, ["Hyderabad, TN"])[0]["addr_region"] == "tn"  # shared codes merge
+
+
+def test_words(spark):
+    words = ["construction", "kanstrakshan", "2024", "re1iable", "0utsourcing", "4th", "2nd", "3m", "b2b"]
+    got = {r["w"]: (r["s"], r["r"]) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", skeleton(F.col("w")).alias("s"), repaired(F.col("w")).alias("r")).collect()}
+    assert got["construction"][0] == got["kanstrakshan"][0] == "knstrksn" and got["2024"][0] == "2024"
+    assert [got[w][1] for w in words[3:]] == ["reliable", "outsourcing", "4th", "2nd", "3m", "b2b"]
+
+
+def test_legal_forms(spark):
+    cases = {"limited": "ltd", "limitted": "ltd", "pfrivate": "pvt", "piatve": None, "corporatoin": "corp", "compani": "co", "llc": "llc", "lamp": None, "compnay": "co", "incorporatd": "inc", "internet": None}
+    got = {r["w"]: r["f"] for r in spark.createDataFrame([(w,) for w in cases], "w string").select("w", legal_form(F.col("w")).alias("f")).collect()}
+    assert got == cases
 
 
 def test_transliteration():
