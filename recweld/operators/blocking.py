@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.translit import transliterated
+
 KEY_CAP = 50
 FORWARD, REVERSE = 10, 2
 MIN_COSINE = 0.05
@@ -52,9 +54,15 @@ def shared_key_pairs(left: DataFrame, right: DataFrame, cap: int = KEY_CAP) -> D
     return joined.groupBy("s1", "s23").agg(F.count("*").alias("n_keys"))
 
 
+def baseline_key(name: str | Column) -> Column:
+    """The baseline's key: transliterated letters and digits, all together."""
+    return F.regexp_replace(transliterated(F.col(name) if isinstance(name, str) else name), "[^a-z0-9]", "")
+
+
 def unique_key_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The baseline: keys that one left-hand record of its country has, joined exactly. Columns key, country, s1 or s23."""
-    own = left.withColumn("_n", F.count("*").over(Window.partitionBy("country", "key"))).where("_n = 1")
+    """The baseline: keys that one left-hand record of its country has, joined exactly. Columns key, country, s1 or s23.
+    Keys are counted by partial sums; empty ones are left out."""
+    own = left.where("key <> ''").groupBy("country", "key").agg(F.count("*").alias("_n"), F.min("s1").alias("s1")).where("_n = 1")
     return own.join(right, ["country", "key"]).select("s1", "s23")
 
 
@@ -69,10 +77,28 @@ def _blocks(vectors: DataFrame, id_name: str, rows: int) -> DataFrame:
         order = np.argsort(np.array(table["id"].to_pylist()), kind="stable")
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-        return pa.table({"group": table["group"][:1], f"{id_name}_ids": [table["id"].take(pa.array(order)).to_pylist()], f"{id_name}_matrix": [matrix[order].tobytes()]})
+        return pa.table({"group": table["group"][:1], "block": table["block"][:1], f"{id_name}_ids": [table["id"].take(pa.array(order)).to_pylist()], f"{id_name}_matrix": [matrix[order].tobytes()]})
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
-    return dealt.select("group", "block", "id", "vector").groupBy("group", "block").applyInArrow(pack, f"group {kinds['group']}, {id_name}_ids array<{kinds['id']}>, {id_name}_matrix binary")
+    return dealt.select("group", "block", "id", "vector").groupBy("group", "block").applyInArrow(pack, f"group {kinds['group']}, block long, {id_name}_ids array<{kinds['id']}>, {id_name}_matrix binary")
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, block_rows: int) -> DataFrame:
+    """Every block of a group's left-hand vectors with every one of its right-hand ones. Blocks are sent to the tile that
+    they meet in, so that the tiles of one group are spread over all tasks."""
+    a, b = (_blocks(df, n, block_rows).withColumnRenamed("block", f"{n}_block") for df, n in ((left, "a"), (right, "b")))
+    sizes = [df.groupBy("group").agg(F.ceil(F.count("*") / block_rows).alias(f"{n}_blocks")) for df, n in ((left, "a"), (right, "b"))]
+    a = a.join(sizes[1], "group").withColumn("b_block", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1))).drop("b_blocks")
+    b = b.join(sizes[0], "group").withColumn("a_block", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1))).drop("a_blocks")
+    return a.join(b, ["group", "a_block", "b_block"])
+
+
+def _tiles(batch: pa.RecordBatch) -> Iterator[tuple[list, list, np.ndarray]]:
+    """Ids of both sides and their cosines, tile by tile."""
+    for row in range(batch.num_rows):
+        a, b = (batch.column(f"{x}_ids")[row].as_py() for x in "ab")
+        x, y = (np.frombuffer(batch.column(f"{n}_matrix")[row].as_py()).reshape(len(ids), -1) for n, ids in (("a", a), ("b", b)))
+        yield a, b, x @ y.T
 
 
 def nearest_both_ways(left: DataFrame, right: DataFrame, forward: int = FORWARD, reverse: int = REVERSE, digits: int | None = 6, block_rows: int = 2048, min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -80,14 +106,12 @@ def nearest_both_ways(left: DataFrame, right: DataFrame, forward: int = FORWARD,
     right-hand one. Columns s1, s23, cos, rank_fwd, rank_rev (NULL where it is not among the best). Ties: smaller id first.
     left and right: (group, id, vector). Vectors without length have cosine 0."""
     id_type = left.schema["id"].dataType.simpleString()
-    pairs = _blocks(left, "a", block_rows).join(_blocks(right, "b", block_rows), "group")
+    pairs = _block_pairs(left, right, block_rows)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                a, b = (batch.column(f"{x}_ids")[row].as_py() for x in "ab")
-                x, y = (np.frombuffer(batch.column(f"{n}_matrix")[row].as_py()).reshape(len(ids), -1) for n, ids in (("a", a), ("b", b)))
-                cosine = x @ y.T
+            kinds = [batch.schema.field(f"{n}_ids").type.value_type for n in "ab"]
+            for a, b, cosine in _tiles(batch):
                 if digits is not None:
                     cosine = np.round(cosine, digits)
                 keep = np.zeros(cosine.shape, bool)
@@ -95,16 +119,29 @@ def nearest_both_ways(left: DataFrame, right: DataFrame, forward: int = FORWARD,
                     order = np.argsort(-matrix, axis=1, kind="stable")[:, :k]
                     np.put_along_axis(mask, order, True, axis=1)
                 i, j = np.nonzero(keep & (cosine > min_cosine))
-                kinds = [batch.schema.field(f"{n}_ids").type.value_type for n in "ab"]
                 yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in i], kinds[0]), pa.array([b[k] for k in j], kinds[1]), pa.array(cosine[i, j], pa.float64())], ["s1", "s23", "cos"])
 
-    near = pairs.mapInArrow(best, f"s1 {id_type}, s23 {id_type}, cos double")
+    near = pairs.select("a_ids", "a_matrix", "b_ids", "b_matrix").mapInArrow(best, f"s1 {id_type}, s23 {id_type}, cos double")
     fwd = F.row_number().over(Window.partitionBy("s1").orderBy(F.desc("cos"), "s23"))
     rev = F.row_number().over(Window.partitionBy("s23").orderBy(F.desc("cos"), "s1"))
     ranked = near.withColumn("f", fwd).withColumn("r", rev).where((F.col("f") <= forward) | (F.col("r") <= reverse))
     return ranked.select("s1", "s23", "cos", F.when(F.col("f") <= forward, F.col("f")).cast("long").alias("rank_fwd"), F.when(F.col("r") <= reverse, F.col("r")).cast("long").alias("rank_rev"))
 
 
+def pairs_above(left: DataFrame, right: DataFrame, cosine: float, digits: int = 6, block_rows: int = 2048) -> DataFrame:
+    """(s1, s23) of all pairs of a group with a greater cosine: only these leave a tile."""
+    id_type = left.schema["id"].dataType.simpleString()
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [batch.schema.field(f"{n}_ids").type.value_type for n in "ab"]
+            for a, b, own in _tiles(batch):
+                i, j = np.nonzero(np.round(own, digits) > cosine)
+                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in i], kinds[0]), pa.array([b[k] for k in j], kinds[1])], ["s1", "s23"])
+
+    return _block_pairs(left, right, block_rows).select("a_ids", "a_matrix", "b_ids", "b_matrix").mapInArrow(found, f"s1 {id_type}, s23 {id_type}")
+
+
 def merge_directions(found: DataFrame) -> DataFrame:
     """One row per pair found in several searches: its best cosine and ranks."""
     return found.groupBy("s1", "s23").agg(F.max("cos").alias("cos"), F.min("rank_fwd").alias("rank_fwd"), F.min("rank_rev").alias("rank_rev"))

@@ -45,33 +45,28 @@ def segment_report(entities: DataFrame, segment: Column) -> DataFrame:
 
 def error_decomposition(predicted: DataFrame, truth: DataFrame, candidates: DataFrame) -> DataFrame:
     """(item, n): true and false positives and negatives; false positives by whether their record has an owner; false
-    negatives by whether they were candidates; predictions for records without partners."""
-    key = ["s1", "s23"]
-    fp, fn = predicted.join(truth, key, "left_anti"), truth.join(predicted, key, "left_anti")
-    parts = {
-        "tp": predicted.join(truth, key, "left_semi"),
-        "fp": fp,
-        "fp_owned": fp.join(truth, "s23", "left_semi"),
-        "fp_distractor": fp.join(truth, "s23", "left_anti"),
-        "fp_singleton": fp.join(truth, "s1", "left_anti"),
-        "fn": fn,
-        "fn_not_candidate": fn.join(candidates, key, "left_anti"),
-        "fn_below": fn.join(candidates, key, "left_semi"),
-    }
-    out = None
-    for name, df in parts.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def candidate_stats(candidates: DataFrame, ids: DataFrame, n_right: int | Column, truth: DataFrame) -> DataFrame:
-    """One row: pairs, candidates per left-hand record (mean, median, max), reduction ratio, recall."""
+    negatives by whether they were candidates; predictions for records without partners.
+
+    All pairs are put together once with flags of where they are from; owners and partners are one look-up each.
+    """
+    tagged = [df.select("s1", "s23", *[F.lit(int(k == n)).alias(n) for n in ("p", "t", "c")]) for k, df in (("p", predicted), ("t", truth), ("c", candidates))]
+    pairs = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).groupBy("s1", "s23").agg(*[F.max(n).alias(n) for n in "ptc"]).where("p + t > 0")
+    owned = pairs.groupBy("s23").agg(F.max("t").alias("owned"))
+    matched = pairs.groupBy("s1").agg(F.max("t").alias("matched"))
+    all_ = pairs.join(owned, "s23").join(matched, "s1")
+    fp, fn = (F.col("p") == 1) & (F.col("t") == 0), (F.col("p") == 0) & (F.col("t") == 1)
+    parts = {"tp": (F.col("p") == 1) & (F.col("t") == 1), "fp": fp, "fp_owned": fp & (F.col("owned") == 1), "fp_distractor": fp & (F.col("owned") == 0), "fp_singleton": fp & (F.col("matched") == 0), "fn": fn, "fn_not_candidate": fn & (F.col("c") == 0), "fn_below": fn & (F.col("c") == 1)}
+    one = all_.agg(*[F.count_if(x).alias(k) for k, x in parts.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("item"), F.col(k).alias("n")) for k in parts])).alias("x")).select("x.*")
+
+
+def candidate_stats(candidates: DataFrame, ids: DataFrame, right: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: pairs, candidates per left-hand record (mean, median, max), reduction ratio, recall. right: a row per
+    right-hand record."""
     n = ids.select("s1").join(candidates.groupBy("s1").agg(F.count("*").alias("k")), "s1", "left").select(F.coalesce("k", F.lit(0)).alias("k"))
     found = truth.join(candidates, ["s1", "s23"], "left_semi").agg(F.count("*").alias("found")).join(truth.agg(F.count("*").alias("truth")))
     size = n.agg(F.sum("k").alias("pairs"), F.avg("k").alias("mean"), F.percentile("k", F.lit(0.5)).alias("median"), F.max("k").alias("most"), F.count("*").alias("n1"))
-    right = n_right if isinstance(n_right, Column) else F.lit(n_right)
-    return size.join(found).select("pairs", "mean", "median", "most", (1 - F.col("pairs") / (F.col("n1") * right)).alias("reduction"), safe_divide("found", "truth").alias("recall"))
+    return size.join(found).join(right.agg(F.count("*").alias("n23"))).select("pairs", "mean", "median", "most", (1 - F.col("pairs") / (F.col("n1") * F.col("n23"))).alias("reduction"), safe_divide("found", "truth").alias("recall"))
 
 
 def average_precision(scored: DataFrame, score: str, label: str) -> DataFrame:
@@ -85,23 +80,31 @@ def threshold_sweep(claims: DataFrame, truth: DataFrame, ids: DataFrame, thresho
     """(threshold, f05) of the pairs at or above each threshold. claims: (s1, s23, p), resolved or not, each pair once.
 
     Pairs are labelled and put into the step of the highest threshold they pass; sums over steps per record then give the
-    counts at all thresholds, so pairs are read once whatever their number.
+    counts at all thresholds, so pairs are read once whatever the number of thresholds, and a record has at most as many rows as
+    it has claims.
     """
-    spark = claims.sparkSession
-    steps = spark.createDataFrame(list(enumerate(sorted(thresholds))), "step int, threshold double")
-    level = F.size(F.filter(F.array(*[F.lit(t) for t in sorted(thresholds)]), lambda t: t <= F.col("p"))) - 1
+    spark, thresholds = claims.sparkSession, sorted(thresholds)
+    steps = spark.createDataFrame(list(enumerate(thresholds)), "step int, threshold double")
+    level = F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("p"))) - 1
     labelled = claims.join(truth.select("s1", "s23", F.lit(1).alias("y")), ["s1", "s23"], "left")
     counts = labelled.select("s1", F.coalesce("y", F.lit(0)).alias("y"), level.alias("top")).where("top >= 0").groupBy("s1", "top").agg(F.sum("y").alias("tp"), F.count("*").alias("np"))
-    at = counts.join(F.broadcast(steps), F.col("step") <= F.col("top")).groupBy("step", "s1").agg(F.sum("tp").alias("tp"), F.sum("np").alias("np"))
+    # from a record's next lower step on, down to this one, its counts are those at or above this one
+    down = Window.partitionBy("s1").orderBy(F.desc("top"))
+    run = down.rowsBetween(Window.unboundedPreceding, 0)
+    at = counts.select("s1", "top", F.sum("tp").over(run).alias("tp"), F.sum("np").over(run).alias("np"), F.coalesce(F.lead("top").over(down), F.lit(-1)).alias("below"))
     nt = truth.groupBy("s1").agg(F.count("*").alias("nt"))
     base = ids.select("s1").join(nt, "s1", "left").withColumn("nt", F.coalesce("nt", F.lit(0)))
     p, r = safe_divide("tp", "np"), safe_divide("tp", "nt")
     own = at.join(base, "s1").withColumn("f", F.when(F.col("nt") > 0, safe_divide(1.25 * p * r, 0.25 * p + r)).otherwise(0.0))
+    # differences at the ends of each stretch, added up over the steps
+    spoilt = (F.col("nt") == 0).cast("long")
+    ends = own.select(F.explode(F.array(F.struct(F.col("top").alias("step"), F.col("f").alias("f"), spoilt.alias("spoilt")), F.struct(F.col("below").alias("step"), (-F.col("f")).alias("f"), (-spoilt).alias("spoilt")))).alias("x")).select("x.*")
+    change = ends.where("step >= 0").groupBy("step").agg(F.sum("f").alias("f"), F.sum("spoilt").alias("spoilt"))
+    back = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
     # records without a claim at a step: 1 each for those without partners, which lose it with their first claim
-    got = own.groupBy("step").agg(F.sum("f").alias("f"), F.sum((F.col("nt") == 0).cast("long")).alias("spoilt"))
     total = base.agg(F.count("*").alias("n"), F.sum((F.col("nt") == 0).cast("long")).alias("alone"))
-    out = F.broadcast(steps).join(got, "step", "left").join(F.broadcast(total))
-    return out.select("threshold", ((F.coalesce("f", F.lit(0.0)) + F.col("alone") - F.coalesce("spoilt", F.lit(0))) / F.col("n")).alias("f05"))
+    out = steps.join(change, "step", "left").select("threshold", F.sum(F.coalesce("f", F.lit(0.0))).over(back).alias("f"), F.sum(F.coalesce("spoilt", F.lit(0))).over(back).alias("spoilt"))
+    return out.join(F.broadcast(total)).select("threshold", ((F.col("f") + F.col("alone") - F.col("spoilt")) / F.col("n")).alias("f05"))
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:
@@ -123,19 +126,27 @@ def density_reweight(entities: DataFrame, bucket: str, target: DataFrame) -> Dat
     return both.select(bucket, "mean_f", zero("share").alias("share"), zero("target_share").alias("target_share"), (zero("mean_f") * zero("target_share")).alias("weighted"))
 
 
-def bootstrap_ci(diffs: DataFrame, column: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
+def bootstrap_ci(diffs: DataFrame, column: str, rounds: int = 2000, seed: int = 42, bins: int = 4096) -> DataFrame:
     """One row (mean, lo, hi, p_not_better, better, worse, unchanged) of paired differences.
 
-    Values are counted first; as a resample of n rows only depends on how often each value is drawn, the driver draws
-    counts of the distinct values (rounded to 6 digits: a bounded number), not rows.
+    A resample of n rows depends only on how often each value is drawn. Values are put into at most `bins` ranges of equal
+    width (each value a bin of its own if there are no more), with their counts and exact sums: what the driver draws from
+    has that many rows, whatever the column. Within a bin, values stand for their mean.
     """
-    counts = diffs.groupBy(F.round(column, 6).alias("v")).agg(F.count("*").alias("n"))
-    rows = counts.orderBy("v").collect()
-    v, n = np.array([r["v"] for r in rows], float), np.array([r["n"] for r in rows], float)
+    v = F.col(column).cast("double")
+    ends = diffs.agg(F.min(v).alias("low"), F.max(v).alias("high")).first()
+    low, width = ends["low"] or 0.0, ((ends["high"] or 0.0) - (ends["low"] or 0.0)) / bins
+    few = diffs.select(v.alias("v")).where("v is not null").distinct().limit(bins + 1).count() <= bins
+    place = v if few or not width else F.least(F.floor((v - low) / width), F.lit(bins - 1))
+    rows = diffs.where(v.isNotNull()).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.count_if(v > 0).alias("better"), F.count_if(v < 0).alias("worse")).collect()
+    rows.sort(key=lambda r: r["bin"])
+    n, s = np.array([r["n"] for r in rows], float), np.array([r["s"] for r in rows], float)
+    total = n.sum()
     rng = np.random.default_rng(seed)
-    means = rng.multinomial(int(n.sum()), n / n.sum(), size=rounds) @ v / n.sum() if len(v) else np.zeros(1)
+    means = np.array([rng.multinomial(int(total), n / total) @ (s / n) / total for _ in range(rounds)]) if len(rows) else np.zeros(1)
     lo, hi = np.percentile(means, [2.5, 97.5])
-    out = (float((v * n).sum() / max(1, n.sum())), float(lo), float(hi), float((means <= 0).mean()), int(n[v > 0].sum()), int(n[v < 0].sum()), int(n[v == 0].sum()))
+    better, worse = (sum(r[k] for r in rows) for k in ("better", "worse"))
+    out = (float(s.sum() / max(1, total)), float(lo), float(hi), float((means <= 0).mean()), int(better), int(worse), int(total - better - worse))
     return diffs.sparkSession.createDataFrame([out], "mean double, lo double, hi double, p_not_better double, better long, worse long, unchanged long")
 
 
@@ -151,14 +162,24 @@ def feature_drift(a: DataFrame, b: DataFrame, features: list[str]) -> DataFrame:
     return j.select("feature", "mean_a", "mean_b", "sd_a", "null_a", (F.coalesce("sd_a", F.lit(0.0)) == 0).alias("constant"), (F.col("null_a") > 0.3).alias("sparse"), (F.abs(F.col("mean_a") - F.col("mean_b")) > 0.5 * F.col("sd_a")).alias("drifted"))
 
 
-def recall_cost_grid(truth: DataFrame, candidates: DataFrame, n_left: int, depths: list[int]) -> DataFrame:
-    """(depth, with_keys, recall, per_record) of candidates cut to a forward depth, with and without the key channel."""
-    spark = candidates.sparkSession
-    grid = F.broadcast(spark.createDataFrame([(d, k) for d in depths for k in (True, False)], "depth int, with_keys boolean"))
-    kept = candidates.join(grid, (F.coalesce("rank_fwd", F.lit(10**6)) <= F.col("depth")) | F.col("rank_rev").isNotNull() | (F.col("with_keys") & (F.col("n_keys") > 0)))
-    hit = kept.join(truth.select("s1", "s23", F.lit(1).alias("_y")), ["s1", "s23"], "left")
-    n = truth.agg(F.count("*").alias("_n"))
-    return hit.groupBy("depth", "with_keys").agg(F.count("_y").alias("found"), F.count("*").alias("pairs")).join(F.broadcast(n)).select("depth", "with_keys", safe_divide("found", "_n").alias("recall"), (F.col("pairs") / n_left).alias("per_record"))
+def recall_cost_grid(truth: DataFrame, candidates: DataFrame, left: DataFrame, depths: list[int]) -> DataFrame:
+    """(depth, with_keys, recall, per_record) of candidates cut to a forward depth, with and without the key channel.
+
+    Each candidate goes to the least depth at which it is there, per channel setting; sums up to each depth follow from
+    those of the steps, so a candidate is read once whatever the grid.
+    """
+    spark, depths = candidates.sparkSession, sorted(depths)
+    always, last = F.col("rank_rev").isNotNull(), F.lit(len(depths))
+    step = F.coalesce(last - F.size(F.filter(F.array(*map(F.lit, depths)), lambda d: F.col("rank_fwd") <= d)), last)
+    steps = [F.when(always | (k & (F.col("n_keys") > 0)), 0).when(F.col("rank_fwd").isNull(), last).otherwise(step) for k in (F.lit(True), F.lit(False))]
+    hit = candidates.join(truth.select("s1", "s23", F.lit(1).alias("_y")), ["s1", "s23"], "left")
+    each = hit.select("_y", F.explode(F.array(*[F.struct(F.lit(k).alias("with_keys"), x.alias("step")) for k, x in zip((True, False), steps, strict=True)])).alias("x")).select("_y", "x.*")
+    counts = each.where(F.col("step") < last).groupBy("with_keys", "step").agg(F.count("_y").alias("found"), F.count("*").alias("pairs"))
+    grid = spark.createDataFrame([(i, d, k) for i, d in enumerate(depths) for k in (True, False)], "step int, depth int, with_keys boolean")
+    run = Window.partitionBy("with_keys").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    both = grid.join(counts, ["with_keys", "step"], "left").withColumns({c: F.sum(F.coalesce(c, F.lit(0))).over(run) for c in ("found", "pairs")})
+    n = truth.agg(F.count("*").alias("_n")).join(left.agg(F.count("*").alias("_left")))
+    return both.join(F.broadcast(n)).select("depth", "with_keys", safe_divide("found", "_n").alias("recall"), (F.col("pairs") / F.col("_left")).alias("per_record"))
 
 
 def competitors(scored: DataFrame, val_ids: DataFrame) -> DataFrame:

@@ -122,8 +122,8 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str = "y", held_out
 
 
 def group_context(p: DataFrame, score: str = "p1", confident: float = ANCHOR_SCORE) -> DataFrame:
-    """Standing of a pair among its record's pairs on both sides: rank, size, other confident pairs (per source on the left),
-    the best of the others, and the lead over it."""
+    """Standing of a pair among its record's pairs on both sides: rank, size, other confident pairs, the best of the others, and
+    the lead over it; with a column src, the other confident pairs and all pairs of the record with the same source as well."""
     out = p.withColumn("_sure", (F.col(score) >= confident).cast("long"))
     for prefix, by, tie in (("c1", "s1", "s23"), ("c23", "s23", "s1")):
         part = Window.partitionBy(by)
@@ -136,7 +136,8 @@ def group_context(p: DataFrame, score: str = "p1", confident: float = ANCHOR_SCO
         })
         out = out.withColumn(f"{prefix}_p_margin", F.col(score) - F.coalesce(f"{prefix}_p_other", F.lit(0.0)))
     if "src" in p.columns:
-        out = out.withColumn("c1_sure_same_source", F.sum("_sure").over(Window.partitionBy("s1", "src")) - F.col("_sure"))
+        own = Window.partitionBy("s1", "src")
+        out = out.withColumns({"c1_sure_same_source": F.sum("_sure").over(own) - F.col("_sure"), "c1_n_same_source": F.count("*").over(own)})
     return out.drop("_sure")
 
 

@@ -4,46 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.names import skeleton
 from ..operators import blocking as B
 from ..operators import evaluation as V
-from .base import PAIRS_SQL, RECORDS_SQL, load, query, scored_pairs, sides
+from ..operators.blocking import KEY_CAP
+from .base import PAIRS_SQL, RECORDS_SQL, THREE, TWO, first_words, load, query, records, scored_pairs, sides
+from .feature_queries import skeleton_sql
 
-_CAPPED = """k1 AS (SELECT s1, country || '|' || name AS key FROM s1 WHERE name <> ''), k23 AS (SELECT s23, country || '|' || name AS key FROM s23 WHERE name <> ''),
-c1 AS (SELECT key FROM k1 GROUP BY key HAVING count(*) <= 10), c23 AS (SELECT key FROM k23 GROUP BY key HAVING count(*) <= 10)"""
+_CAPPED = f"""k1 AS (SELECT s1, country || '|' || {THREE("name")} AS key FROM s1 WHERE name <> ''), k23 AS (SELECT s23, country || '|' || {THREE("name")} AS key FROM s23 WHERE name <> ''),
+c1 AS (SELECT key FROM k1 GROUP BY key HAVING count(*) <= {KEY_CAP}), c23 AS (SELECT key FROM k23 GROUP BY key HAVING count(*) <= {KEY_CAP})"""
 
 
 @query("WITH " + RECORDS_SQL + ", " + _CAPPED + " SELECT s1, count(*) AS n_cand FROM k1 JOIN k23 USING (key) WHERE key IN (SELECT key FROM c1) AND key IN (SELECT key FROM c23) GROUP BY s1")
 def exact_key_blocking(spark, sf):
-    """Candidates by name within the country, keys of at most 10 records a side."""
+    """Candidates by the first three words of the name within the country."""
     s1, s23 = sides(spark, sf)
-    key = F.concat_ws("|", "country", "name").alias("key")
-    pairs = B.shared_key_pairs(s1.where("name <> ''").select("s1", key), s23.where("name <> ''").select("s23", key), 10)
+    key = F.concat_ws("|", F.col("country"), first_words("name", 3)).alias("key")
+    pairs = B.shared_key_pairs(s1.where("name <> ''").select("s1", key), s23.where("name <> ''").select("s23", key))
     return pairs.groupBy("s1").agg(F.count("*").alias("n_cand"))
 
 
-@query("WITH " + RECORDS_SQL + """, a AS (SELECT DISTINCT id, side, key FROM (
- SELECT s1 AS id, 1 AS side, country || '|n|' || replace(name, ' ', '') AS key FROM s1 WHERE name <> '' UNION ALL SELECT s23, 2, country || '|n|' || replace(name, ' ', '') FROM s23 WHERE name <> ''
- UNION ALL SELECT s1, 1, country || '|w|' || unnest(string_split(name, ' ')) FROM s1 UNION ALL SELECT s23, 2, country || '|w|' || unnest(string_split(name, ' ')) FROM s23) WHERE NOT key LIKE '%|'),
-k AS (SELECT * FROM a WHERE (side, key) IN (SELECT side, key FROM a GROUP BY side, key HAVING count(*) <= 20))
-SELECT x.id AS s1, y.id AS s23, count(*) AS n_keys FROM k x JOIN k y ON x.key = y.key AND x.side = 1 AND y.side = 2 GROUP BY 1, 2""")
-def blocking_key_families(spark, sf):
-    """Two families: the name without spaces, and each of its words."""
+_NORMALIZED_SQL = f"""nrm AS (SELECT doc_id AS id, src = 1 AS side, country, {TWO("name")} AS core, replace({TWO("name")}, ' ', '') AS nospace, array_to_string(list_transform(string_split({TWO("name")}, ' '), lambda t: {skeleton_sql("t")}), ' ') AS skel,
+ CASE WHEN doc_id % 2 = 0 THEN split_part(name, ' ', 3) ELSE '' END AS region, split_part(name, ' ', 4) AS hnum, split_part(name, ' ', 2) || '|' || split_part(name, ' ', 3) AS places FROM rec),
+wrd AS (SELECT DISTINCT id, side, country, region, hnum, places, unnest(string_split(core, ' ')) AS w FROM nrm)"""
 
-    def keys(df, id_col):
-        name = df.where("name <> ''").select(id_col, F.concat_ws("|", "country", F.lit("n"), F.replace("name", F.lit(" "), F.lit(""))).alias("key"))
-        word = df.select(id_col, "country", F.explode(F.split("name", " ")).alias("w")).where("w <> ''").select(id_col, F.concat_ws("|", "country", F.lit("w"), "w").alias("key"))
-        return name.unionByName(word).distinct()
 
-    s1, s23 = sides(spark, sf)
-    return B.shared_key_pairs(keys(s1, "s1"), keys(s23, "s23"), 20)
+@query("WITH " + RECORDS_SQL + ", " + _NORMALIZED_SQL + f""", a AS (SELECT DISTINCT id, side, key FROM (
+ SELECT id, side, country || '|n|' || nospace || '|' || region AS key FROM nrm WHERE nospace <> '' UNION ALL SELECT id, side, country || '|s|' || skel || '|' || region FROM nrm WHERE skel <> ''
+ UNION ALL SELECT id, side, country || '|th|' || w || '|' || hnum || '|' || region FROM wrd WHERE length(w) >= 2 AND hnum <> '' UNION ALL SELECT id, side, country || '|tl|' || w || '|' || unnest(string_split(places, '|')) FROM wrd WHERE length(w) >= 2
+ UNION ALL SELECT id, side, country || '|nm|' || nospace FROM nrm WHERE length(nospace) >= 6 UNION ALL SELECT id, side, country || '|sk|' || skel FROM nrm WHERE length(skel) >= 5)),
+k AS (SELECT * FROM a WHERE (side, key) IN (SELECT side, key FROM a GROUP BY side, key HAVING count(*) <= {KEY_CAP}))
+SELECT x.id AS s1, y.id AS s23, count(*) AS n_keys FROM k x JOIN k y ON x.key = y.key AND x.side AND NOT y.side GROUP BY 1, 2""")
+def blocking_key_families(spark, sf):
+    """All six families of keys."""
+    word = lambda i: F.split_part("name", F.lit(" "), F.lit(i))
+    r = records(spark, sf).withColumn("name_core", first_words("name", 2))
+    r = r.withColumns({"name_nospace": F.replace("name_core", F.lit(" "), F.lit("")), "name_skel": F.array_join(F.transform(F.split("name_core", " "), skeleton), " "), "addr_hnum": word(4), "addr_locality": F.concat_ws("|", word(2), word(3))})
+    r = r.withColumns({"addr_region": F.when(F.col("doc_id") % 2 == 0, word(3)).otherwise(""), "entity_id": F.col("doc_id")})
+    left, right = (B.key_families(r.where(side)) for side in ("src = 1", "src <> 1"))
+    return B.shared_key_pairs(left.withColumnRenamed("entity_id", "s1"), right.withColumnRenamed("entity_id", "s23"))
 
 
-@query("WITH " + RECORDS_SQL + """, a AS (SELECT country, replace(name, ' ', '') AS key, s1 FROM s1 WHERE name <> '' QUALIFY count(*) OVER (PARTITION BY country, replace(name, ' ', '')) = 1)
-SELECT a.s1, s23.s23 FROM a JOIN s23 ON a.country = s23.country AND a.key = replace(s23.name, ' ', '')""")
+@query("WITH " + RECORDS_SQL + f""", x AS (SELECT country, replace({THREE("name")}, ' ', '') AS key, s1 FROM s1 WHERE name <> ''), a AS (SELECT * FROM x QUALIFY count(*) OVER (PARTITION BY country, key) = 1)
+SELECT a.s1, s23.s23 FROM a JOIN s23 ON a.country = s23.country AND a.key = replace({THREE("s23.name")}, ' ', '')""")
 def baseline_key_match(spark, sf):
-    s1, s23 = sides(spark, sf)
-    key = F.replace("name", F.lit(" "), F.lit("")).alias("key")
-    return B.unique_key_pairs(s1.where("name <> ''").select("country", key, "s1"), s23.select("country", key, "s23"))
+    s1, s23 = (df.where("name <> ''").withColumn("key", B.baseline_key(first_words("name", 3))) for df in sides(spark, sf))
+    return B.unique_key_pairs(s1.select("country", "key", "s1"), s23.select("country", "key", "s23"))
 
 
 _TERMS = "t AS (SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS term FROM part)"
@@ -111,16 +117,17 @@ SELECT channel, sum(n)::BIGINT AS pairs, sum(hit)::BIGINT AS found, round(sum(hi
 def blocking_recall(spark, sf):
     v = load(spark, sf, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     a, b = v.where("id % 3 = 0"), v.where("id % 3 <> 0")
-    truth = B.nearest_both_ways(a, b, forward=10**6, reverse=0, min_cosine=0.3).select("s1", "s23")
+    truth = B.pairs_above(a, b, 0.3)
     out = B.recall(truth, _candidates(spark, sf), {k: F.expr(x) for k, x in _CHANNELS.items()})
     return out.select("channel", "pairs", "found", F.round("recall", 6).alias("recall"), F.round("entity_recall", 6).alias("entity_recall"))
 
 
 @query("WITH " + _UNION + """, truth AS (SELECT s1, s23 FROM c WHERE cos > 0.3), g AS (SELECT unnest([3, 5, 10]) AS depth), w AS (SELECT depth, with_keys FROM g, (SELECT true AS with_keys UNION ALL SELECT false)),
 k AS (SELECT * FROM cand, w WHERE coalesce(rank_fwd, 1000000) <= depth OR rank_rev IS NOT NULL OR (with_keys AND n_keys > 0))
-SELECT depth, with_keys, round(sum(((s1, s23) IN (SELECT s1, s23 FROM truth))::INT) / (SELECT count(*) FROM truth), 6) AS recall, round(count(*) / 100.0, 6) AS per_record FROM k GROUP BY 1, 2""")
+SELECT depth, with_keys, round(sum(((s1, s23) IN (SELECT s1, s23 FROM truth))::INT) / (SELECT count(*) FROM truth), 6) AS recall, round(count(*) / (SELECT count(*)::DOUBLE FROM v WHERE vec_id % 3 = 0), 6) AS per_record FROM k GROUP BY 1, 2""")
 def recall_cost_grid(spark, sf):
     v = load(spark, sf, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    truth = B.nearest_both_ways(v.where("id % 3 = 0"), v.where("id % 3 <> 0"), forward=10**6, reverse=0, min_cosine=0.3).select("s1", "s23")
-    out = V.recall_cost_grid(truth, _candidates(spark, sf), 100, [3, 5, 10])
+    left = v.where("id % 3 = 0")
+    truth = B.pairs_above(left, v.where("id % 3 <> 0"), 0.3)
+    out = V.recall_cost_grid(truth, _candidates(spark, sf), left, [3, 5, 10])
     return out.select("depth", "with_keys", F.round("recall", 6).alias("recall"), F.round("per_record", 6).alias("per_record"))

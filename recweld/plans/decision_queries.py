@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -10,14 +11,10 @@ from ..operators import evaluation as V
 from ..operators import selection as S
 from ..operators import validation as R
 from ..sources.tables import id_lists
-from .base import PAIRS_SQL, RECORDS_SQL, load, query, records, scored_pairs, sides
+from .base import PAIRS_SQL, RECORDS_SQL, first_words, load, query, records, scored_pairs, sides, true_pairs
 
-# predictions: the resolved pairs of score 0.3 and more; truth: pairs whose texts begin with the same 25 characters
-_SET_SQL = (
-    PAIRS_SQL
-    + """, resolved AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY s23 ORDER BY score DESC, s1) = 1), pred AS (SELECT s1, s23 FROM resolved WHERE score >= 0.3),
-truth AS (SELECT s1, s23 FROM pairs WHERE substr(name1, 1, 25) = substr(name2, 1, 25))"""
-)
+# predictions: the resolved pairs of score 0.7 and more
+_SET_SQL = PAIRS_SQL + ", resolved AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY s23 ORDER BY score DESC, s1) = 1), pred AS (SELECT s1, s23 FROM resolved WHERE score >= 0.7)"
 _ENTITY_SQL = (
     _SET_SQL
     + """, tp AS (SELECT s1, count(*) AS tp FROM pred JOIN truth USING (s1, s23) GROUP BY 1), np AS (SELECT s1, count(*) AS np FROM pred GROUP BY 1), nt AS (SELECT s1, count(*) AS nt FROM truth GROUP BY 1),
@@ -31,8 +28,7 @@ def _sets(spark, sf):
     """Left-hand records, pairs, resolved pairs, predictions and truth."""
     pairs = scored_pairs(spark, sf)
     resolved = S.resolve(pairs, "score")
-    truth = pairs.where("substr(name1, 1, 25) = substr(name2, 1, 25)").select("s1", "s23")
-    return sides(spark, sf)[0], pairs, resolved, resolved.where("score >= 0.3").select("s1", "s23"), truth
+    return sides(spark, sf)[0], pairs, resolved, resolved.where("score >= 0.7").select("s1", "s23"), true_pairs(spark, sf)
 
 
 def _entities(spark, sf):
@@ -40,9 +36,9 @@ def _entities(spark, sf):
     return V.per_entity(pred, truth, s1).join(s1, "s1")
 
 
-@query("WITH " + _SET_SQL + " SELECT s1, s23, score AS d FROM resolved WHERE score >= 0.5")
+@query("WITH " + _SET_SQL + " SELECT s1, s23, score AS d FROM resolved WHERE score >= 0.75")
 def resolve_conflicts(spark, sf):
-    return S.resolve(scored_pairs(spark, sf), "score", threshold=0.5).select("s1", "s23", F.col("score").alias("d"))
+    return S.resolve(scored_pairs(spark, sf), "score", threshold=0.75).select("s1", "s23", F.col("score").alias("d"))
 
 
 @query("WITH " + _ENTITY_SQL + """ SELECT count(*) AS n, round(avg(f), 6) AS f05, round(avg(CASE WHEN nt > 0 AND np > 0 THEN p END), 6) AS p_macro, round(avg(CASE WHEN nt > 0 THEN r END), 6) AS r_macro,
@@ -69,31 +65,32 @@ def threshold_sweep(spark, sf):
     return V.threshold_sweep(resolved.select("s1", "s23", F.col("score").alias("p")), truth, s1, _STEPS).select("threshold", F.round("f05", 6).alias("f05"))
 
 
-@query("WITH " + _SET_SQL + ", k AS (SELECT s23, count(*) AS k FROM pairs WHERE score >= 0.3 GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS records, coalesce(sum(k - 1), 0)::BIGINT AS lost_claims FROM k")
+@query("WITH " + _SET_SQL + ", k AS (SELECT s23, count(*) AS k FROM pairs WHERE score >= 0.7 GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS records, coalesce(sum(k - 1), 0)::BIGINT AS lost_claims FROM k")
 def contested_records(spark, sf):
-    return V.contested(scored_pairs(spark, sf).withColumnRenamed("score", "p"), 0.3)
+    return V.contested(scored_pairs(spark, sf).withColumnRenamed("score", "p"), 0.7)
 
 
-@query("WITH " + _ENTITY_SQL + ", g AS (SELECT CASE WHEN length(name) <= 10 THEN 0 WHEN length(name) <= 25 THEN 1 WHEN length(name) <= 35 THEN 2 ELSE 3 END AS bucket, count(*) AS n, avg(f) AS mean_f, sum(1 - f) AS lost FROM e GROUP BY 1) SELECT bucket, n, round(mean_f, 6) AS mean_f, round(lost / sum(lost) OVER (), 6) AS loss FROM g")
+@query("WITH " + _ENTITY_SQL + ", g AS (SELECT CASE WHEN length(name) <= 17 THEN 0 WHEN length(name) <= 20 THEN 1 WHEN length(name) <= 23 THEN 2 ELSE 3 END AS bucket, count(*) AS n, avg(f) AS mean_f, sum(1 - f) AS lost FROM e GROUP BY 1) SELECT bucket, n, round(mean_f, 6) AS mean_f, round(lost / sum(lost) OVER (), 6) AS loss FROM g")
 def segment_report(spark, sf):
-    out = V.segment_report(_entities(spark, sf), E.bin_of(F.length("name"), [10, 25, 35]))
+    out = V.segment_report(_entities(spark, sf), E.bin_of(F.length("name"), [17, 20, 23]))
     return out.select(F.col("segment").alias("bucket"), "n", F.round("mean_f", 6).alias("mean_f"), F.round("loss", 6).alias("loss"))
 
 
-@query("WITH " + _SET_SQL + """, cand AS (SELECT s1, s23 FROM pairs WHERE score >= 0.2), fp AS (SELECT * FROM pred EXCEPT SELECT * FROM truth), fn AS (SELECT * FROM truth EXCEPT SELECT * FROM pred)
+@query("WITH " + _SET_SQL + """, cand AS (SELECT s1, s23 FROM pairs WHERE score >= 0.6), fp AS (SELECT * FROM pred EXCEPT SELECT * FROM truth), fn AS (SELECT * FROM truth EXCEPT SELECT * FROM pred)
 SELECT 'tp' AS item, count(*) AS n FROM (SELECT * FROM pred INTERSECT SELECT * FROM truth) UNION ALL SELECT 'fp', count(*) FROM fp UNION ALL SELECT 'fp_owned', count(*) FROM fp WHERE s23 IN (SELECT s23 FROM truth)
 UNION ALL SELECT 'fp_distractor', count(*) FROM fp WHERE s23 NOT IN (SELECT s23 FROM truth) UNION ALL SELECT 'fp_singleton', count(*) FROM fp WHERE s1 NOT IN (SELECT s1 FROM truth) UNION ALL SELECT 'fn', count(*) FROM fn
 UNION ALL SELECT 'fn_not_candidate', count(*) FROM (SELECT * FROM fn EXCEPT SELECT * FROM cand) UNION ALL SELECT 'fn_below', count(*) FROM (SELECT * FROM fn INTERSECT SELECT * FROM cand)""")
 def error_decomposition(spark, sf):
     _, pairs, _, pred, truth = _sets(spark, sf)
-    return V.error_decomposition(pred, truth, pairs.where("score >= 0.2").select("s1", "s23"))
+    return V.error_decomposition(pred, truth, pairs.where("score >= 0.6").select("s1", "s23"))
 
 
-@query("WITH " + _SET_SQL + """, k AS (SELECT s1.s1, (SELECT count(*) FROM pairs p WHERE p.s1 = s1.s1) AS k FROM s1)
-SELECT sum(k)::BIGINT AS pairs, round(avg(k), 6) AS mean, round(median(k), 6) AS median, max(k) AS most, round(1 - sum(k) / (count(*) * 1000.0), 6) AS reduction, 1.0::DOUBLE AS recall FROM k""")
+@query("WITH " + _SET_SQL + """, c AS (SELECT * FROM pairs WHERE score >= 0.75), k AS (SELECT s1.s1, (SELECT count(*) FROM c WHERE c.s1 = s1.s1) AS k FROM s1)
+SELECT sum(k)::BIGINT AS pairs, round(avg(k), 6) AS mean, round(median(k), 6) AS median, max(k) AS most, round(1 - sum(k) / (count(*) * (SELECT count(*)::DOUBLE FROM s23)), 6) AS reduction,
+ round((SELECT avg((EXISTS (SELECT 1 FROM c WHERE c.s1 = t.s1 AND c.s23 = t.s23))::INT) FROM truth t), 6) AS recall FROM k""")
 def candidate_stats(spark, sf):
     s1, pairs, _, _, truth = _sets(spark, sf)
-    out = V.candidate_stats(pairs, s1, 1000, truth)
+    out = V.candidate_stats(pairs.where("score >= 0.75"), s1, sides(spark, sf)[1], truth)
     return out.select("pairs", "most", *[F.round(c, 6).alias(c) for c in ("mean", "median", "reduction", "recall")])
 
 
@@ -112,12 +109,12 @@ def feature_drift(spark, sf):
     return out.select("feature", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "null_a")], "constant", "sparse", "drifted")
 
 
-_BUCKET = "CASE WHEN length(name) < 20 THEN 0 WHEN length(name) < 35 THEN 1 ELSE 2 END"
+_BUCKET = "CASE WHEN length(name) < 19 THEN 0 WHEN length(name) < 22 THEN 1 ELSE 2 END"
 
 
 @query("WITH " + _ENTITY_SQL + f", a AS (SELECT {_BUCKET} AS bucket, avg(f) AS mean_f, count(*) AS n FROM e GROUP BY 1), b AS (SELECT {_BUCKET} AS bucket, count(*) AS m FROM s23 GROUP BY 1) SELECT coalesce(a.bucket, b.bucket) AS bucket, round(mean_f, 6) AS mean_f, round(coalesce(n / (SELECT sum(n) FROM a), 0), 6) AS share, round(coalesce(m / (SELECT sum(m) FROM b), 0), 6) AS target_share, round(coalesce(mean_f, 0) * coalesce(m / (SELECT sum(m) FROM b), 0), 6) AS weighted FROM a FULL JOIN b ON a.bucket = b.bucket")
 def density_reweight(spark, sf):
-    bucket = E.bin_of(F.length("name"), [20, 35], left_closed=True).alias("bucket")
+    bucket = E.bin_of(F.length("name"), [19, 22], left_closed=True).alias("bucket")
     out = V.density_reweight(_entities(spark, sf).select("f", bucket), "bucket", sides(spark, sf)[1].select(bucket))
     return out.select("bucket", *[F.round(c, 6).alias(c) for c in ("mean_f", "share", "target_share", "weighted")])
 
@@ -129,17 +126,29 @@ def average_precision(spark, sf):
     return V.average_precision(d, "n_chars", "quality").select(F.round("ap", 6).alias("ap"))
 
 
-@query("WITH " + _SET_SQL + """, x AS (SELECT s1, s23 FROM pred UNION ALL SELECT min(s1), min(s1) FROM s1 UNION ALL SELECT min(s1), -5 FROM s1)
-SELECT 'repeated_rows' AS rule, 0::BIGINT AS n UNION ALL SELECT 'missing_rows', 0 UNION ALL SELECT 'foreign_rows', 0 UNION ALL SELECT 'repeated_in_list', 0 UNION ALL SELECT 'left_ids_in_list', count(*) FROM x WHERE s23 IN (SELECT s1 FROM s1)
-UNION ALL SELECT 'unknown_ids', count(*) FROM x WHERE s23 NOT IN (SELECT s23 FROM s23) UNION ALL SELECT 'used_more_than_once', 0 UNION ALL SELECT 'warning_not_candidates', count(*) FROM x WHERE (s1, s23) NOT IN (SELECT s1, s23 FROM pairs WHERE score >= 0.4)""")
+_LISTS_SQL = _SET_SQL + """, o AS (SELECT s1, row_number() OVER (ORDER BY s1) AS k FROM s1), l0 AS (SELECT s1, k, coalesce((SELECT string_agg(s23::VARCHAR, ',' ORDER BY s23::VARCHAR) FROM pred WHERE pred.s1 = o.s1), '') AS ids FROM o),
+lists AS (SELECT s1::VARCHAR AS s1, CASE k WHEN 1 THEN concat_ws(',', s1::VARCHAR, '-5', '-5') WHEN 2 THEN (SELECT string_agg(s23::VARCHAR, ',' ORDER BY s23) FROM (SELECT s23 FROM pred ORDER BY s23 LIMIT 3)) ELSE ids END AS ids FROM l0 WHERE k <> 3
+ UNION ALL SELECT s1::VARCHAR, ids FROM l0 WHERE k = 4 UNION ALL SELECT '-7', ''), x AS (SELECT s1, unnest(string_split(ids, ',')) AS s23 FROM lists WHERE ids <> '')"""
+
+
+@query("WITH " + _LISTS_SQL + """ SELECT 'repeated_rows' AS rule, count(*) AS n FROM (SELECT s1 FROM lists GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'missing_rows', count(*) FROM s1 WHERE s1::VARCHAR NOT IN (SELECT s1 FROM lists)
+UNION ALL SELECT 'foreign_rows', count(*) FROM lists WHERE s1 NOT IN (SELECT s1::VARCHAR FROM s1) UNION ALL SELECT 'repeated_in_list', count(*) FROM (SELECT 1 FROM x GROUP BY s1, s23 HAVING count(*) > 1)
+UNION ALL SELECT 'left_ids_in_list', count(*) FROM x WHERE s23 IN (SELECT s1::VARCHAR FROM s1) UNION ALL SELECT 'unknown_ids', count(*) FROM x WHERE s23 NOT IN (SELECT s23::VARCHAR FROM s23)
+UNION ALL SELECT 'used_more_than_once', count(*) FROM (SELECT s23 FROM (SELECT DISTINCT s1, s23 FROM x) GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'warning_not_candidates', count(*) FROM x WHERE (s1, s23) NOT IN (SELECT s1::VARCHAR, s23::VARCHAR FROM pairs WHERE score >= 0.8)""")
 def rule_checks(spark, sf):
-    """A result with two planted faults."""
+    """A result with planted faults of every kind."""
     s1, pairs, _, pred, _ = _sets(spark, sf)
-    least = s1.agg(F.min("s1").alias("s1"))
-    planted = pred.unionByName(least.select("s1", F.col("s1").alias("s23"))).unionByName(least.select("s1", F.lit(-5).cast("long").alias("s23")))
-    lists = id_lists(s1, planted.select("s1", F.col("s23").cast("string").alias("s23"))).withColumnRenamed("matched_entity_ids", "ids")
+    lists = id_lists(s1, pred.select("s1", F.col("s23").cast("string").alias("s23"))).select(F.col("source1_entity_id").alias("s1"), F.col("matched_entity_ids").alias("ids"))
+    lists = lists.join(F.broadcast(s1.select("s1").orderBy("s1").limit(4).withColumn("k", F.row_number().over(Window.orderBy("s1")))), "s1", "left")
+    three = pred.select("s23").orderBy("s23").limit(3).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s23")), lambda x: x.cast("string")), ",").alias("three"))
+    own = F.when(F.col("k") == 1, F.concat_ws(",", F.col("s1").cast("string"), F.lit("-5"), F.lit("-5"))).when(F.col("k") == 2, F.col("three")).otherwise(F.col("ids"))
+    faulty = lists.where("k is null or k <> 3").join(F.broadcast(three)).select(F.col("s1").cast("string").alias("s1"), own.alias("ids"))
+    again = lists.where("k = 4").select(F.col("s1").cast("string").alias("s1"), "ids")
+    foreign = spark.createDataFrame([("-7", "")], "s1 string, ids string")
     text = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-    return R.list_rules(text(lists), text(s1.select("s1")), text(sides(spark, sf)[1].select("s23")), text(pairs.where("score >= 0.4").select("s1", "s23")))
+    planted = faulty.unionByName(again).unionByName(foreign).withColumnRenamed("s1", "source1_entity_id")
+    return R.list_rules(planted, text(s1.select("s1")), text(sides(spark, sf)[1].select("s23")), text(pairs.where("score >= 0.8").select("s1", "s23")))
 
 
 @query("WITH " + _SET_SQL + """, a AS (SELECT s1, s23 FROM pred), b AS (SELECT s1, s23 FROM truth), j AS (SELECT coalesce(a.s1, b.s1) AS s1, a.s1 IS NOT NULL AS x, b.s1 IS NOT NULL AS y FROM a FULL JOIN b ON a.s1 = b.s1 AND a.s23 = b.s23)
@@ -157,11 +166,11 @@ def data_profile(spark, sf):
     return d.agg((F.count("*") - F.count_distinct("doc_id")).alias("repeated_ids"), F.round(F.avg((F.col("text") == "").cast("double")), 6).alias("blank"), F.count_distinct("lang").alias("langs")).join(texts)
 
 
-@query("WITH " + PAIRS_SQL + ", t AS (SELECT CASE WHEN score < 0.3 THEN 0 WHEN score < 0.7 THEN 1 WHEN score < 0.9 THEN 2 ELSE 3 END AS bucket, substr(name1, 1, 25) <> substr(name2, 1, 25) AS wrong FROM pairs) SELECT bucket, count(*) AS n, round(avg(wrong::INT), 6) AS false_rate FROM t GROUP BY bucket")
+@query("WITH " + PAIRS_SQL + ", t AS (SELECT CASE WHEN score < 0.6 THEN 0 WHEN score < 0.7 THEN 1 WHEN score < 0.9 THEN 2 ELSE 3 END AS bucket, (s1, s23) NOT IN (SELECT s1, s23 FROM truth) AS wrong FROM pairs) SELECT bucket, count(*) AS n, round(avg(wrong::INT), 6) AS false_rate FROM t GROUP BY bucket")
 def name_trap(spark, sf):
     p = scored_pairs(spark, sf)
-    wrong = (F.substring("name1", 1, 25) != F.substring("name2", 1, 25)).cast("double")
-    return p.groupBy(E.bin_of("score", [0.3, 0.7, 0.9], left_closed=True).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg(wrong), 6).alias("false_rate"))
+    wrong = (first_words("name1", 3) != first_words("name2", 3)).cast("double")
+    return p.groupBy(E.bin_of("score", [0.6, 0.7, 0.9], left_closed=True).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg(wrong), 6).alias("false_rate"))
 
 
 @query("WITH t AS (SELECT lang, unnest(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS w FROM documents), c AS (SELECT lang, w, count(*) AS n FROM t WHERE length(w) >= 2 GROUP BY 1, 2) SELECT lang, w, n FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= 20")
@@ -179,7 +188,7 @@ def expected_f_rule(spark, sf):
 @query()
 def isotonic_calibration(spark, sf):
     """Pool-adjacent-violators on pair scores; checked for monotony in the tests."""
-    p = scored_pairs(spark, sf).withColumn("y", (F.substring("name1", 1, 25) == F.substring("name2", 1, 25)).cast("double"))
+    p = scored_pairs(spark, sf).withColumn("y", (first_words("name1", 3) == first_words("name2", 3)).cast("double"))
     return D.calibrated(D.isotonic(p, "score"), p, "score").select("s1", "s23", "score", "q")
 
 
@@ -187,7 +196,7 @@ def isotonic_calibration(spark, sf):
 def bootstrap_ci(spark, sf):
     """Interval of the mean gain per record of resolved over unresolved claims."""
     s1, pairs, _, pred, truth = _sets(spark, sf)
-    raw = V.per_entity(pairs.where("score >= 0.3"), truth, s1).select("s1", F.col("f").alias("f0"))
+    raw = V.per_entity(pairs.where("score >= 0.7"), truth, s1).select("s1", F.col("f").alias("f0"))
     diffs = V.per_entity(pred, truth, s1).join(raw, "s1").select((F.col("f") - F.col("f0")).alias("d"))
     return V.bootstrap_ci(diffs, "d", 500)
 
@@ -197,25 +206,25 @@ def record_lengths(spark, sf):
     return records(spark, sf).groupBy(F.length("name").cast("long").alias("length")).agg(F.count("*").alias("n"))
 
 
-@query("WITH " + PAIRS_SQL + ", x AS (SELECT p.*, s1.country FROM pairs p JOIN s1 USING (s1)) SELECT country, count(*) AS n, round(avg((name1 = name2)::INT), 6) AS name, round(avg((split_part(name1, ' ', 2) = split_part(name2, ' ', 2) AND split_part(name1, ' ', 2) <> '')::INT), 6) AS second FROM x GROUP BY country")
+@query("WITH " + PAIRS_SQL + ", x AS (SELECT p.*, s1.country FROM pairs p JOIN s1 USING (s1)) SELECT country, count(*) AS n, round(avg((name1 = name2)::INT), 6) AS name, round(avg((split_part(name1, ' ', 3) = split_part(name2, ' ', 3) AND split_part(name1, ' ', 3) <> '')::INT), 6) AS third FROM x GROUP BY country")
 def agreement_rates(spark, sf):
     s1, _ = sides(spark, sf)
-    word = lambda c: F.split_part(c, F.lit(" "), F.lit(2))
+    word = lambda c: F.split_part(c, F.lit(" "), F.lit(3))
     p = scored_pairs(spark, sf).join(s1.select("s1", "country"), "s1").withColumns({"w1": word("name1"), "w2": word("name2")})
-    out = V.agreement_rates(p, {"name": ("name1", "name2"), "second": ("w1", "w2")}, "country")
-    return out.select("country", "n", F.round("name", 6).alias("name"), F.round("second", 6).alias("second"))
+    out = V.agreement_rates(p, {"name": ("name1", "name2"), "third": ("w1", "w2")}, "country")
+    return out.select("country", "n", F.round("name", 6).alias("name"), F.round("third", 6).alias("third"))
 
 
-@query("WITH " + PAIRS_SQL + ", v AS (SELECT DISTINCT s1 FROM pairs WHERE s1 % 5 = 0) SELECT s1, s23 FROM pairs WHERE s23 IN (SELECT s23 FROM pairs WHERE s1 IN (SELECT s1 FROM v))")
+@query("WITH " + PAIRS_SQL + ", v AS (SELECT DISTINCT s1 FROM pairs WHERE ('0x' || substr(md5(s1::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < 0.2) SELECT s1, s23 FROM pairs WHERE s23 IN (SELECT s23 FROM pairs WHERE s1 IN (SELECT s1 FROM v))")
 def validation_competitors(spark, sf):
     p = scored_pairs(spark, sf).select("s1", "s23")
-    return V.competitors(p, p.where("s1 % 5 = 0").select("s1").distinct())
+    return V.competitors(p, p.where(E.md5_uniform("s1") < 0.2).select("s1").distinct())
 
 
-@query("WITH " + RECORDS_SQL + ", a AS (SELECT DISTINCT country, split_part(name, ' ', 1) AS word FROM s1), b AS (SELECT DISTINCT country, split_part(name, ' ', 1) AS word FROM s23) SELECT a.country, a.word, count(*) AS others FROM a JOIN b ON a.word = b.word AND a.country <> b.country WHERE a.word <> '' GROUP BY 1, 2")
+@query("WITH " + RECORDS_SQL + ", a AS (SELECT DISTINCT country, array_to_string(string_split(name, ' ')[:3], ' ') AS word FROM s1), b AS (SELECT DISTINCT country, array_to_string(string_split(name, ' ')[:3], ' ') AS word FROM s23) SELECT a.country, a.word, count(*) AS others FROM a JOIN b ON a.word = b.word AND a.country <> b.country WHERE a.word <> '' GROUP BY 1, 2")
 def country_mismatch(spark, sf):
-    """First words of names that records of other countries have."""
-    first = F.split_part("name", F.lit(" "), F.lit(1)).alias("word")
+    """First three words of names that records of other countries have."""
+    first = first_words("name", 3).alias("word")
     a, b = (df.select("country", first).where("word <> ''").distinct() for df in sides(spark, sf))
     return a.join(b.withColumnRenamed("country", "other"), "word").where("country <> other").groupBy("country", "word").agg(F.count("*").alias("others"))
 
@@ -231,5 +240,5 @@ def character_profile(spark, sf):
 def expected_f_costs(spark, sf):
     """The expected-F rule on cross-fitted probabilities for several costs."""
     s1, _, resolved, _, truth = _sets(spark, sf)
-    y = (F.substring("name1", 1, 25) == F.substring("name2", 1, 25)).cast("double")
+    y = (first_words("name1", 3) == first_words("name2", 3)).cast("double")
     return D.cross_fitted_expected_f(resolved.select("s1", "s23", F.col("score").alias("p"), y.alias("y")), truth, s1, [0.0, 0.2])

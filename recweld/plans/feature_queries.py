@@ -38,6 +38,12 @@ def norm_name_core(spark, sf):
     return names.select("id", F.col("name_full").alias("full_name"), F.col("name_core").alias("core"), F.col("name_legal").alias("legal"))
 
 
+def skeleton_sql(c: str) -> str:
+    """skeleton() of a word, in SQL."""
+    sound = _skeleton_sql(c)
+    return f"CASE WHEN regexp_full_match({c}, '[0-9]+') THEN {c} ELSE " + _shortened(f"substr({sound}, 1, 1) || regexp_replace(substr({sound}, 2), '[aeiouh]', '', 'g')") + " END"
+
+
 def _skeleton_sql(c: str) -> str:
     for old, new in SKELETON:
         c = f"replace({c}, '{old}', '{new}')"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 from ..operators import learning as L
 from . import linkage
-from .base import PAIRS_SQL, load, query, scored_pairs
+from .base import PAIRS_SQL, first_words, load, query, scored_pairs
 
 _PLACES_SQL = "places AS (SELECT o_orderpriority AS country, o_custkey::VARCHAR AS loc, o_orderstatus AS region FROM orders)"
 _MAP_SQL = _PLACES_SQL + ", n AS (SELECT country, loc, region, count(*) AS n FROM places GROUP BY 1, 2, 3), t AS (SELECT *, sum(n) OVER (PARTITION BY country, loc) AS total FROM n), m AS (SELECT country, loc, region AS imp_region, n FROM t WHERE total >= 3 AND n >= 0.9 * total)"
@@ -44,36 +44,46 @@ def alias_mining(spark, sf):
     return L.mine_aliases(pairs, parts, min_count=2, purity=0.1, together=0.5)
 
 
-_STRATA_SQL = PAIRS_SQL + """, s AS (SELECT s1, s23, CASE WHEN score > 0.9 THEN 'POS' WHEN score >= 0.7 THEN 'H1' WHEN score >= 0.5 THEN 'H2' ELSE 'E' END AS stratum, ('0x' || substr(md5(s1::VARCHAR || '-' || s23::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS u FROM pairs),
+_STRATA_SQL = PAIRS_SQL + """, s AS (SELECT s1, s23, CASE WHEN score > 0.9 THEN 'POS' WHEN score >= 0.75 THEN 'H1' WHEN score >= 0.6 THEN 'H2' ELSE 'E' END AS stratum, ('0x' || substr(md5(s1::VARCHAR || '-' || s23::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS u FROM pairs),
 c AS (SELECT stratum, count(*) AS n, CASE stratum WHEN 'E' THEN least(1.0, 20.0 / count(*)) WHEN 'H2' THEN least(1.0, 10.0 / count(*)) ELSE 1.0 END AS rate FROM s GROUP BY 1)"""
 
 
 @query("WITH " + _STRATA_SQL + " SELECT stratum, count(*) AS n, round(sum(CASE stratum WHEN 'H1' THEN 2.0 ELSE 1.0 END / rate), 6) AS weight_sum FROM s JOIN c USING (stratum) WHERE u < rate GROUP BY stratum")
 def strata_sample(spark, sf):
-    p = scored_pairs(spark, sf).select("s1", "s23", L.stratum(F.col("score") > 0.9, [("H1", F.col("score") >= 0.7), ("H2", F.col("score") >= 0.5)]).alias("stratum"))
+    p = scored_pairs(spark, sf).select("s1", "s23", L.stratum(F.col("score") > 0.9, [("H1", F.col("score") >= 0.75), ("H2", F.col("score") >= 0.6)]).alias("stratum"))
     u = E.md5_uniform(F.concat_ws("-", F.col("s1").cast("string"), F.col("s23").cast("string")))
     out = L.stratified_sample(p, "stratum", u, {"E": 20, "H2": 10}, {"H1": 2.0})
     return out.groupBy("stratum").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight_sum"))
 
 
-@query("WITH " + PAIRS_SQL + """, w AS (SELECT s1, s23, score, rank() OVER (PARTITION BY s1 ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY s1) AS n, sum((score >= 0.6)::INT) OVER (PARTITION BY s1)::BIGINT - (score >= 0.6)::INT AS sure, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, s23) AS rn FROM pairs),
-o AS (SELECT *, CASE WHEN rn = 1 THEN max(CASE WHEN rn = 2 THEN score END) OVER (PARTITION BY s1) ELSE max(score) OVER (PARTITION BY s1) END AS other FROM w)
-SELECT s1, s23, r AS c1_p_rank, n AS c1_p_n, sure AS c1_sure_others, other AS c1_p_other, round(score - coalesce(other, 0), 6) AS c1_p_margin FROM o""")
+def _context_sql(p: str, by: str, tie: str) -> str:
+    return f"""{p}w AS (SELECT s1, s23, score, rank() OVER (PARTITION BY {by} ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY {by}) AS n, sum((score >= 0.75)::INT) OVER (PARTITION BY {by})::BIGINT - (score >= 0.75)::INT AS sure, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, {tie}) AS rn FROM pairs),
+{p}o AS (SELECT *, CASE WHEN rn = 1 THEN max(CASE WHEN rn = 2 THEN score END) OVER (PARTITION BY {by}) ELSE max(score) OVER (PARTITION BY {by}) END AS other FROM {p}w),
+{p} AS (SELECT s1, s23, r AS {p}_p_rank, n AS {p}_p_n, sure AS {p}_sure_others, other AS {p}_p_other, round(score - coalesce(other, 0), 6) AS {p}_p_margin FROM {p}o)"""
+
+
+@query("WITH " + PAIRS_SQL + ", " + _context_sql("c1", "s1", "s23") + ", " + _context_sql("c23", "s23", "s1") + """, same AS (SELECT s1, s23, sum((score >= 0.75)::INT) OVER (PARTITION BY s1, src)::BIGINT - (score >= 0.75)::INT AS c1_sure_same_source, count(*) OVER (PARTITION BY s1, src) AS c1_n_same_source FROM pairs)
+SELECT * FROM c1 JOIN c23 USING (s1, s23) JOIN same USING (s1, s23)""")
 def anchor_context(spark, sf):
-    out = L.group_context(scored_pairs(spark, sf).select("s1", "s23", F.col("score").alias("p1")), confident=0.6)
-    return out.select("s1", "s23", "c1_p_rank", "c1_p_n", "c1_sure_others", "c1_p_other", F.round("c1_p_margin", 6).alias("c1_p_margin"))
+    """Standing of a pair on both sides, and among its record's pairs of the same source."""
+    out = L.group_context(scored_pairs(spark, sf).select("s1", "s23", "src", F.col("score").alias("p1")), confident=0.75)
+    return out.select(*[F.round(c, 6).alias(c) if c.endswith("margin") else F.col(c) for c in out.columns if c not in ("src", "p1")])
 
 
-@query("WITH " + PAIRS_SQL + ", a AS (SELECT s1, s23 AS anchor FROM pairs WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY score DESC, s23) <= 4) SELECT p.s1, p.s23, count(a.anchor) AS anc_n FROM pairs p LEFT JOIN a ON a.s1 = p.s1 AND a.anchor <> p.s23 GROUP BY 1, 2")
+@query("WITH " + PAIRS_SQL + """, a AS (SELECT s1, s23 AS anchor, name2 AS other FROM pairs WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY score DESC, s23) <= 4)
+SELECT p.s1, p.s23, count(a.anchor) AS anc_n, max((split_part(name2, ' ', 4) = split_part(other, ' ', 4))::INT::DOUBLE) AS anc_hnum, max((name2 = other)::INT::DOUBLE) AS anc_exact_name, max((split_part(name2, ' ', 3) = split_part(other, ' ', 3))::INT::DOUBLE) AS anc_exact_addr
+FROM pairs p LEFT JOIN a ON a.s1 = p.s1 AND a.anchor <> p.s23 GROUP BY 1, 2""")
 def anchor_similarity(spark, sf):
+    """The columns that SQL has; the similarities of strings among them are checked in the tests."""
     p = scored_pairs(spark, sf)
-    names = p.select(F.col("s23").alias("id"), F.col("name2").alias("name"), F.col("name2").alias("skel"), F.lit("").alias("addr"), F.lit("").alias("hnum")).distinct()
+    word = lambda i: F.split_part("name2", F.lit(" "), F.lit(i))
+    names = p.select(F.col("s23").alias("id"), F.col("name2").alias("name"), F.col("name2").alias("skel"), word(3).alias("addr"), word(4).alias("hnum")).distinct()
     scores = p.select("s1", "s23", F.col("score").alias("p1"))
-    return L.anchor_features(scores, L.anchors(scores, confident=0.6), names).select("s1", "s23", "anc_n")
+    return L.anchor_features(scores, L.anchors(scores, confident=0.75), names).select("s1", "s23", "anc_n", "anc_hnum", "anc_exact_name", "anc_exact_addr")
 
 
 def _labelled(spark, sf):
-    p = scored_pairs(spark, sf).withColumns({"y": (F.substring("name1", 1, 25) == F.substring("name2", 1, 25)).cast("double"), "is_val": E.crc_split("s1"), "f1": F.length("name1").cast("double"), "f2": F.length("name2").cast("double"), "f3": F.when(F.col("src") == 2, F.col("score"))})
+    p = scored_pairs(spark, sf).withColumns({"y": (first_words("name1", 3) == first_words("name2", 3)).cast("double"), "is_val": E.crc_split("s1"), "f1": F.length("name1").cast("double"), "f2": F.length("name2").cast("double"), "f3": F.when(F.col("src") == 2, F.col("score"))})
     return p.select("s1", "s23", "y", "is_val", "f1", "f2", "f3", F.col("score").alias("f4"))
 
 
