@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,14 +172,17 @@ def char_grams(c: Column, n: int = 3) -> Column:
     return F.flatten(F.transform(F.filter(F.split(c, " "), lambda w: w != ""), grams))
 
 
-def tfidf(terms: DataFrame) -> DataFrame:
-    """(id, term) with repeats -> (id, term, w): (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), rows of length one."""
-    tf = terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    n = terms.agg(F.count_distinct("id").alias("n_docs"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    w = tf.join(df, "term").join(F.broadcast(n)).select("id", "term", ((1 + F.ln("tf")) * (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return w.select("id", "term", (F.col("w") / length).alias("w"))
+def tfidf(terms: DataFrame, part: str | None = None) -> DataFrame:
+    """(id, term) with repeats -> (id, term, w): (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), rows of length one. part: a column
+    of kinds of terms, each weighted by itself."""
+    by = [part] if part else []
+    tf = terms.groupBy(*by, "id", "term").agg(F.count("*").alias("tf"))
+    n = tf.groupBy(*by).agg(F.count_distinct("id").alias("n_docs"))
+    df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    both = tf.join(df, [*by, "term"])
+    w = (both.join(F.broadcast(n), part) if part else both.join(F.broadcast(n))).select(*by, "id", "term", ((1 + F.ln("tf")) * (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, "id")))
+    return w.select(*by, "id", "term", (F.col("w") / length).alias("w"))
 
 
 def pair_cosines(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -198,18 +200,38 @@ def idf(terms: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("term", "df", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def _gaussians(h: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """Normal numbers drawn from the hashes: len(h) x dims, the same wherever they are made (Box and Muller)."""
+    half = -(-dims // 2)
+    z = h.astype(np.uint64)[:, None] + np.arange(1, 2 * half + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2**53
+    radius, angle = np.sqrt(-2 * np.log(np.maximum(u[:, :half], 1e-300))), 2 * np.pi * u[:, half:]
+    return np.concatenate([radius * np.cos(angle), radius * np.sin(angle)], axis=1)[:, :dims].astype(np.float32)
+
+
 def projected_vectors(weights: DataFrame, dims: int, seed: int = 0) -> DataFrame:
     """(id, term, w) -> (id, vector): a Gaussian random projection whose entries are drawn from a hash of term and dimension,
-    so that no matrix is kept and weighted parts of a record add up."""
+    so that no matrix is kept and weighted parts of a record add up. A record's terms are summed up where they are: what is
+    shuffled are terms and weights, and one vector leaves a task for each record."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch["h"].to_numpy().astype(np.uint64)
-            u = [[((h * np.uint64(0x9E3779B97F4A7C15 + 2 * (2 * d + k) + 1) ^ np.uint64(seed)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)).astype(float) / 2**53 for k in (0, 1)] for d in range(dims)]
-            normal = np.stack([np.sqrt(-2 * np.log(np.maximum(a, 1e-300))) * np.cos(2 * np.pi * b) for a, b in u], axis=1)
-            yield pd.DataFrame({"id": batch["id"], "part": list(normal * batch["w"].to_numpy()[:, None] / np.sqrt(dims))})
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                own = part.column("terms")
+                flat, sizes = own.flatten(), np.diff(own.offsets.to_numpy())
+                h, at = np.unique(flat.field("h").to_numpy(), return_inverse=True)
+                normal, w = _gaussians(h.view(np.uint64), dims, seed), flat.field("w").to_numpy().astype(np.float32)
+                out, ends = np.zeros((len(sizes), dims), np.float32), np.concatenate([[0], np.cumsum(sizes)])
+                for a in range(0, len(sizes), 64):  # few records at once: their terms' rows stay in the cache
+                    low, high = ends[a], ends[min(len(sizes), a + 64)]
+                    if high > low:
+                        out[a : a + 64] = np.add.reduceat(normal[at[low:high]] * w[low:high, None], ends[a : min(len(sizes), a + 64)] - low, axis=0)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * dims, pa.int32()), pa.array((out / np.sqrt(dims)).astype(np.float64).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), vectors], ["id", "vector"])
 
     kind = weights.schema["id"].dataType.simpleString()
-    parts = weights.select("id", F.xxhash64("term").alias("h"), "w").mapInPandas(run, f"id {kind}, part array<double>")
-    sums = [F.sum(F.col("part")[d]).alias(f"d{d}") for d in range(dims)]
-    return parts.groupBy("id").agg(*sums).select("id", F.array(*[f"d{d}" for d in range(dims)]).alias("vector"))
+    terms = weights.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("w").cast("double").alias("w"))).alias("terms"))
+    return terms.mapInArrow(run, f"id {kind}, vector array<double>")

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import strict_least
+from ..functions.expressions import strict_least, uniform
 from ..functions.fuzzy import similarity_columns
 from .selection import sum_of_others, top_k
 
@@ -62,6 +62,20 @@ def stratum(label: Column, hard: list[tuple[str, Column]]) -> Column:
     return reduce(lambda chain, kind: chain.when(kind[1], kind[0]), hard, F.when(label, "POS")).otherwise("E")
 
 
+#: Most sampled rows of a kind (without one, all stay), and how much more its rows count (fixed values).
+STRATA_CAPS = {"H2": 4_000_000, "H3": 3_000_000, "E": 3_000_000}
+STRATA_BOOSTS = {"H1": 2.0, "H2": 1.5, "H3": 1.5}
+
+
+def pair_stratum(label: Column) -> Column:
+    """Hard kinds of pairs: one name without addresses (H1), like names at unlike addresses (H2), the first among their
+    rivals (H3)."""
+    name = F.greatest("n_tset", "n_skel_tset")
+    known = lambda c: F.coalesce(c, F.lit(False))
+    unlike = known(F.col("a_tset") < 70) | known(F.col("h_eq") == 0)
+    return stratum(label, [("H1", (F.col("n_exact_core") == 1) & (F.col("a_blank_any") == 1)), ("H2", known(name >= 90) & (F.col("a_blank_any") == 0) & unlike), ("H3", (F.col("c1_rank") <= 3) | (F.col("c23_rank") <= 2))])
+
+
 def stratified_sample(rows: DataFrame, strata: str, u: Column, caps: dict[str, int], boosts: dict[str, float] | None = None) -> DataFrame:
     """Rows with u below their stratum's rate, min(1, cap / count), and their weight, boost / rate. Strata without a cap stay
     whole. Strata are few: their counts are a small table. The same rows are taken however the data is partitioned."""
@@ -84,7 +98,7 @@ def balanced(rows: DataFrame, label: str, weight: str = "weight") -> DataFrame:
 
 def gbt(features: list[str], label: str = "y", weight: str | None = None, validation: str | None = None, rounds: int = 40, depth: int = 6, seed: int = 42, **more) -> Pipeline:
     """Boosted trees over the features; undefined values become MISSING."""
-    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.15, subsamplingRate=0.8, seed=seed, **more)
+    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed, **({"stepSize": 0.15, "subsamplingRate": 0.8} | more))
     if weight:
         model = model.setWeightCol(weight)
     if validation:
@@ -110,15 +124,25 @@ def fold_of(key: str, seed: int = 11, folds: int = 2) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def out_of_fold(rows: DataFrame, features: list[str], label: str = "y", held_out: str = "is_val", by: str = "s1", rounds: int = 20, name: str = "p1") -> DataFrame:
-    """Cross-fitted scores: a training row is scored by the models of the other folds, a held-out one by the mean of all."""
+def fold_models(train: DataFrame, features: list[str], label: str = "y", weight: str | None = None, by: str = "s1", rounds: int = 20) -> list:
+    """For each of two folds of the records, the model of the other one."""
+    data = filled(train, features).withColumn("_fold", fold_of(by))
+    return [gbt(features, label, weight, rounds=rounds, depth=4).fit(data.where(F.col("_fold") != k)) for k in (0, 1)]
+
+
+def fold_scores(models: list, rows: DataFrame, features: list[str], unseen: Column, by: str = "s1", name: str = "p1") -> DataFrame:
+    """Cross-fitted scores: a row that was learned from is scored by the model of the other fold, an unseen one by the mean."""
     data = filled(rows, features).withColumn("_fold", fold_of(by))
-    train = data.where(~F.col(held_out))
-    models = [gbt(features, label, rounds=rounds, depth=4).fit(train.where(F.col("_fold") != k)) for k in (0, 1)]
     for k, m in enumerate(models):
         data = scored(m, data, features, f"_p{k}")
     own = F.when(F.col("_fold") == 0, F.col("_p0")).otherwise(F.col("_p1"))
-    return data.withColumn(name, F.when(F.col(held_out), (F.col("_p0") + F.col("_p1")) / 2).otherwise(own)).drop("_p0", "_p1", "_fold")
+    return data.withColumn(name, F.when(unseen, (F.col("_p0") + F.col("_p1")) / 2).otherwise(own)).drop("_p0", "_p1", "_fold")
+
+
+def out_of_fold(rows: DataFrame, features: list[str], label: str = "y", held_out: str = "is_val", by: str = "s1", rounds: int = 20, name: str = "p1") -> DataFrame:
+    """Cross-fitted scores of labelled rows: held-out ones are unseen by both folds."""
+    models = fold_models(rows.where(~F.col(held_out)), features, label, None, by, rounds)
+    return fold_scores(models, rows, features, F.col(held_out), by, name)
 
 
 def group_context(p: DataFrame, score: str = "p1", confident: float = ANCHOR_SCORE) -> DataFrame:
@@ -160,13 +184,14 @@ def anchor_features(p: DataFrame, found: DataFrame, names: DataFrame) -> DataFra
     return p.join(best, ["s1", "s23"], "left").withColumn("anc_n", F.coalesce("anc_n", F.lit(0)))
 
 
-def ablation(train: DataFrame, test: DataFrame, groups: dict[str, list[str]], label: str = "y", rounds: int = 10):
-    """(subset, ap) of models fitted on each subset of features."""
+def ablation(train: DataFrame, test: DataFrame, groups: dict[str, list[str]], label: str = "y", rounds: int = 10, share: float = 0.25, key: str = "s1"):
+    """(subset, ap) of models fitted on each subset of features, on a share of the records chosen by a hash: that share of
+    the training rows is the method."""
     from .evaluation import average_precision
 
-    out = []
+    out, own = [], train.where(uniform(key, 3) < share)
     for name, features in groups.items():
-        model = gbt(features, label, rounds=rounds, depth=4).fit(filled(train, features))
+        model = gbt(features, label, rounds=rounds, depth=4).fit(filled(own, features))
         out.append((name, average_precision(scored(model, test, features), "p", label).first()["ap"]))
     return train.sparkSession.createDataFrame(out, "subset string, ap double")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions.addresses import with_addresses
-from ..functions.fuzzy import similarity_columns
+from ..functions.fuzzy import prefix_similarity, similarity_columns, suffix_similarity
 from ..functions.names import skeleton, with_names
 from ..functions.tables import HONORIFICS, LEGAL_FORMS, SKELETON
 from ..operators import blocking as B
@@ -127,8 +127,8 @@ def pair_jaro_winkler(spark, sf):
 m AS (SELECT *, (SELECT count(*) FROM range(1, 42) r(k) WHERE k <= length(name1) AND k <= length(name2) AND substr(name1, 1, k) = substr(name2, 1, k)) AS p, (SELECT count(*) FROM range(1, 42) r(k) WHERE k <= length(name1) AND k <= length(name2) AND right(name1, k) = right(name2, k)) AS q FROM x)
 SELECT s1, s23, round(p / n, 6) AS pre, round(q / n, 6) AS suf FROM m""")
 def pair_prefix_suffix(spark, sf):
-    f = similarity_columns({"pre": ("prefix_similarity", "name1", "name2"), "suf": ("suffix_similarity", "name1", "name2")})
-    return scored_pairs(spark, sf).select("s1", "s23", f.alias("f")).select("s1", "s23", F.round("f.pre", 6).alias("pre"), F.round("f.suf", 6).alias("suf"))
+    pre, suf = (f("name1", "name2") for f in (prefix_similarity, suffix_similarity))
+    return scored_pairs(spark, sf).select("s1", "s23", F.round(pre, 6).alias("pre"), F.round(suf, 6).alias("suf"))
 
 
 @query()
@@ -162,10 +162,10 @@ def competition_features(spark, sf):
 
 @query()
 def pair_features(spark, sf):
-    """All 69 features of pairs by shared keys and nearest vectors of documents read as records."""
-    from .linkage import features_of_documents
+    """All 69 features of pairs by shared keys and nearest vectors of parts read as records."""
+    from .linkage import features_of_parts
 
-    return features_of_documents(spark, sf)
+    return features_of_parts(spark, sf)
 
 
 @query("WITH " + PAIRS_SQL + ", f AS (SELECT *, count(*) OVER (PARTITION BY name1) AS n FROM pairs) SELECT name1, max(n) AS n, rank() OVER (ORDER BY max(n) DESC, name1) AS place FROM f GROUP BY name1 QUALIFY place <= 20")

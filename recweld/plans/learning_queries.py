@@ -103,10 +103,9 @@ def oof_stack_scores(spark, sf):
 
 @query()
 def linkage_scores(spark, sf):
-    """Both stages of scores on all features of documents read as records."""
-    described, s23 = linkage.labelled_features_of_documents(spark, sf)
-    names = s23.select(F.col("entity_id").alias("id"), F.col("name_core").alias("name"), F.col("name_skel").alias("skel"), F.col("addr_norm").alias("addr"), F.col("addr_hnum").alias("hnum"))
-    return linkage.stacked_scores(described, names, linkage.Settings().rounds)
+    """Both stages of scores on all features of parts read as records."""
+    described, s23 = linkage.labelled_features_of_parts(spark, sf)
+    return linkage.fit_scores(described, linkage.anchor_texts(s23), linkage.Settings().rounds)[2]
 
 
 _FOUR = ["f1", "f2", "f3", "f4"]
@@ -114,16 +113,18 @@ _FOUR = ["f1", "f2", "f3", "f4"]
 
 @query()
 def ablation(spark, sf):
-    """Average precision of models on subsets of features."""
+    """Average precision of models on five subsets of features, on a quarter of the records."""
     d = _labelled(spark, sf)
-    return L.ablation(d.where(~F.col("is_val")), d.where("is_val"), {"all": _FOUR, "lengths": _FOUR[:2], "score": _FOUR[3:]}, rounds=2)
+    groups = {"all": _FOUR, "without the first": _FOUR[1:], "without the score": _FOUR[:3], "lengths": _FOUR[:2], "score": _FOUR[3:]}
+    return L.ablation(d.where(~F.col("is_val")), d.where("is_val"), groups, rounds=2)
 
 
 @query()
 def hyper_parameters(spark, sf):
-    """Average precision of models with several settings."""
+    """Average precision of models with four settings."""
     d = _labelled(spark, sf)
-    return L.sweep(d.where(~F.col("is_val")), d.where("is_val"), _FOUR, [{"rounds": 2, "depth": 2}, {"rounds": 2, "depth": 4}])
+    settings = [{"rounds": 2, "depth": 2}, {"rounds": 2, "depth": 4}, {"rounds": 3, "depth": 3, "stepSize": 0.3}, {"rounds": 3, "depth": 3, "subsamplingRate": 0.5}]
+    return L.sweep(d.where(~F.col("is_val")), d.where("is_val"), _FOUR, settings)
 
 
 @query()

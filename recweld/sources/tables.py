@@ -89,6 +89,15 @@ def read_json(path: str) -> object:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 
 
+def write_small_json(spark: SparkSession, value: object, path: str) -> None:
+    """A small value as one JSON text under a Spark path, so that any machine can read it."""
+    spark.createDataFrame([(json.dumps(value, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_small_json(spark: SparkSession, path: str) -> object:
+    return json.loads(spark.read.text(path).first()["value"])
+
+
 def markdown(df: DataFrame, most: int = 1000, digits: int = 4) -> str:
     """A Markdown table of the first rows of a small result; numbers rounded."""
     show = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else "" if v is None else str(v)

@@ -172,10 +172,67 @@ def businesses(spark):
 
 def test_linkage_end_to_end(spark, tmp_path):
     s1, s23, truth = businesses(spark)
-    out = linkage.link(spark, s1, s23, truth, f"{tmp_path}/out", linkage.Settings(rounds=3, dims=16, thresholds=[0.3, 0.5, 0.7]))
+    out = linkage.link(spark, s1, s23, truth, f"{tmp_path}/out", linkage.Settings(rounds=3, dims=(24, 16), thresholds=[0.3, 0.5, 0.7]))
     found = truth.join(out["candidates"], ["s1", "s23"], "left_semi").count()
     assert found >= 38 and out["f05"] > 0.7
     assert spark.read.text(f"{tmp_path}/out/matching_results.tsv").count() >= 60
+    # what was learned decides about the same records, read as if they had no truth
+    learned = linkage.Learned.load(spark, f"{tmp_path}/out/learned")
+    assert learned.threshold == out["threshold"] and learned.settings.dims == (24, 16)
+    again = linkage.predict(spark, learned, s1, s23)
+    got = again["matches"]
+    hits = got.join(truth, ["s1", "s23"], "left_semi").count()
+    assert hits > 0.8 * truth.count() and hits > 0.8 * got.count()
+    assert again["scores"].count() == out["scores"].count()
+
+
+def test_learned_tables(spark):
+    """Regions from localities, and aliases from true pairs, take effect."""
+    raw = [(f"S1-{i}", "Shop", f"{i} Oak Street, Springfield, Texas", "US") for i in range(5)] + [("S1-9", "Shop", "9 Elm Street, Springfield", "US")]
+    raw += [(f"S1-{i}", "Shop", f"{i} Oak Street, Pine Town", "US") for i in range(20, 80)]
+    other = [(f"S2-{i}", "Shop", f"{i} Oak Street, Pinewood", "US") for i in range(20, 80)]
+    make = lambda rows_: spark.createDataFrame(rows_, "entity_id string, business_name string, business_address string, country string")
+    s1, s23 = linkage.normalized(make(raw)), linkage.normalized(make(other))
+    regions = linkage.learned_regions(s1)
+    assert rows(regions) == [("US", "springfield", "tx", 5)]
+    assert {r["entity_id"]: r["addr_region"] for r in linkage.normalized(make(raw), regions=regions).collect()}["S1-9"] == "tx"
+    truth = spark.createDataFrame([(f"S1-{i}", f"S2-{i}") for i in range(20, 80)], "s1 string, s23 string")
+    aliases = linkage.learned_aliases(s1, s23, truth)
+    assert aliases == [("pinewood", "pine", 60)]
+    assert {r["addr_locality"] for r in linkage.normalized(make(other), linkage.PlaceTables(learned=aliases)).collect()} == {"pine"}
+
+
+def test_vectors_of_records(spark):
+    raw = [("a", "Green Valley Inc", "12 Oak Street, Dallas, Texas", "US"), ("b", "Green Valley LLC", "12 Oak St, Dallas, TX", "US"), ("c", "Iron Works", "12 Oak Street, Dallas, TX", "US"), ("d", "Green Valley", "", "US")]
+    n = linkage.normalized(spark.createDataFrame(raw, "entity_id string, business_name string, business_address string, country string"))
+    w = linkage.part_weights(n).collect()
+    assert {r["term"].split(":")[0] for r in w} == {f"{a}.{b}" for a, b, *_ in linkage.PARTS}
+    v = {r["id"]: r["vector"] for r in linkage.record_vectors(n, (600, 400)).collect()}
+    dot = lambda x, y: sum(p * q for p, q in zip(v[x], v[y], strict=True))
+    assert all(len(x) == 1000 for x in v.values())
+    assert dot("a", "a") == pytest.approx(1) and dot("d", "d") == pytest.approx(0.6) and dot("a", "b") == pytest.approx(1, abs=1e-5)
+    assert dot("a", "d") == pytest.approx(0.6, abs=1e-5) and 0.3 < dot("a", "c") < 0.55
+
+
+def test_projection_keeps_cosines(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    terms = [(i, f"t{t}", float(rng.random())) for i in range(30) for t in rng.choice(80, 12, replace=False)]
+    exact = np.zeros((30, 80))
+    for i, t, x in terms:
+        exact[i, int(t[1:])] = x
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    w = spark.createDataFrame([(i, f"t{t}", float(exact[i, t])) for i in range(30) for t in np.flatnonzero(exact[i])], "id int, term string, w double").repartition(3)
+    got = np.array([r["vector"] for r in B.projected_vectors(w, 320).orderBy("id").collect()])
+    assert np.abs(got @ got.T - exact @ exact.T).std() < 1.3 / np.sqrt(320)
+
+
+def test_both_channels_find_the_true_pairs(spark):
+    s1_raw, s23_raw, truth = linkage.part_records(spark, "/root/testdata/sf0.01")
+    found = linkage.candidates(linkage.normalized(s1_raw), linkage.normalized(s23_raw), linkage.Settings()).cache()
+    got = {r["channel"]: r["recall"] for r in B.recall(truth, found, {"all": F.lit(True), "vectors": F.col("cos") > 0}).collect()}
+    assert got["all"] >= 0.9648 and got["vectors"] > 0.9
 
 
 def test_arrivals(spark, tmp_path):
@@ -189,7 +246,7 @@ def test_arrivals(spark, tmp_path):
 
 
 def test_registered_features_have_both_channels(spark):
-    got = linkage.features_of_documents(spark, "/root/testdata/sf0.001")
+    got = linkage.features_of_parts(spark, "/root/testdata/sf0.001")
     assert got.where("b_rank_fwd < 99").count() > 0 and got.where("b_rank_rev < 99").count() > 0
     assert got.where("b_cos > 0").select("b_cos").distinct().count() > 10
 
@@ -197,6 +254,6 @@ def test_registered_features_have_both_channels(spark):
 def test_registered_scores_use_the_default_rounds(spark, monkeypatch):
     from recweld.plans import learning_queries
 
-    monkeypatch.setattr(linkage, "labelled_features_of_documents", lambda *_: (None, linkage.normalized(businesses(spark)[1])))
-    monkeypatch.setattr(linkage, "stacked_scores", lambda described, names, rounds: rounds)
+    monkeypatch.setattr(linkage, "labelled_features_of_parts", lambda *_: (None, linkage.normalized(businesses(spark)[1])))
+    monkeypatch.setattr(linkage, "fit_scores", lambda described, names, rounds: (None, None, rounds))
     assert learning_queries.linkage_scores(spark, "") == linkage.Settings().rounds == 20

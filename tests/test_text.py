@@ -93,27 +93,74 @@ def test_transliteration():
     assert all(transliterate(chr(c)).isascii() for c in range(0, 0x3000, 7))
 
 
+def one(f, a, b):
+    return float(f([a], [b])[0])
+
+
 def test_similarities():
-    assert fuzzy.ratio("piatve", "private") == pytest.approx(1000 / 13) and fuzzy.ratio("", "") == 100 and fuzzy.ratio("a", "") == 0
-    assert fuzzy.jaro_winkler("dwayne", "duane") == pytest.approx(0.84) and fuzzy.jaro_winkler("", "a") == 0
-    assert fuzzy.jaro_winkler("martha", "marhta") == pytest.approx(0.9611111)
-    assert fuzzy.token_sort_ratio("fuzzy wuzzy was a bear", "was a bear fuzzy wuzzy") == 100
-    assert fuzzy.token_set_ratio("mets vs braves", "braves vs mets at home") == 100 and fuzzy.token_set_ratio("", "a") == 0
-    assert fuzzy.partial_ratio("bear", "a bearer") == 100 and fuzzy.partial_ratio("xbear", "bear") == 100
-    assert fuzzy.prefix_similarity("abcd", "abxx") == 0.5 and fuzzy.suffix_similarity("", "") == 1
+    ratio, sort, words_, partial, jw = (lambda a, b, f=f: one(f, a, b) for f in (fuzzy.ratios, fuzzy.token_sort_ratios, fuzzy.token_set_ratios, fuzzy.partial_ratios, fuzzy.jaro_winklers))
+    assert ratio("piatve", "private") == pytest.approx(1000 / 13) and ratio("", "") == 100 and ratio("a", "") == 0
+    assert jw("dwayne", "duane") == pytest.approx(0.84) and jw("", "a") == 0
+    assert jw("martha", "marhta") == pytest.approx(0.9611111)
+    assert sort("fuzzy wuzzy was a bear", "was a bear fuzzy wuzzy") == 100
+    assert words_("mets vs braves", "braves vs mets at home") == 100 and words_("", "a") == 0
+    assert partial("bear", "a bearer") == 100 and partial("xbear", "bear") == 100 and partial("", "") == 100 and partial("", "a") == 0
     for a in ("heartland online", "online heartland", "a", "b c"):
         for b in ("heartland online", "on", "c b a"):
-            for f in (fuzzy.ratio, fuzzy.token_sort_ratio, fuzzy.token_set_ratio, fuzzy.partial_ratio):
+            for f in (ratio, sort, words_, partial):
                 assert 0 <= f(a, b) <= 100 and f(a, b) == pytest.approx(f(b, a)) and f(a, a) == 100
 
 
-def test_partial_ratio_tries_every_window():
+def plain_ratio(a, b):
+    """By the table of the longest common subsequence."""
+    if not a and not b:
+        return 100.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return 200.0 * row[-1] / (len(a) + len(b))
+
+
+def plain_set_ratio(a, b):
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, left, right = (" ".join(sorted(w)) for w in (x & y, x - y, y - x))
+    wholes = [" ".join(w for w in (both, own) if w) for own in (left, right)]
+    if both and not (left and right):
+        return 100.0
+    return max([plain_ratio(*wholes)] + [plain_ratio(both, w) for w in wholes if both])
+
+
+def plain_partial(a, b):
+    if not a or not b:
+        return 100.0 * (a == b)
+    every = lambda s, t: max(plain_ratio(s, t[max(0, i) : i + len(s)]) for i in range(1 - len(s), len(t)))
+    return max(every(s, t) for s, t in ((a, b), (b, a)) if len(s) <= len(t))
+
+
+def test_batches_equal_the_definitions():
     import random
 
     rng = random.Random(2)
-    for _ in range(300):
-        a, b = ("".join(rng.choice("abc d") for _ in range(rng.randint(1, 12))) for _ in range(2))
-        short, long = sorted((a, b), key=len)
-        every = lambda s, t: max(fuzzy.ratio(s, t[max(0, i) : i + len(s)]) for i in range(1 - len(s), len(t)))
-        want = max(every(a, b), every(b, a)) if len(a) == len(b) else every(short, long)
-        assert fuzzy.partial_ratio(a, b) == pytest.approx(want)
+    say = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    pairs = [(say("abc d", 14), say("abc d", 14)) for _ in range(300)] + [(say("ab cdé日", 90), say("abcd é日", 90)) for _ in range(30)]
+    pairs += [(w := say("abc ", 64).ljust(64, "x"), w[::-1]), ("a" * 64, "a" * 63 + "b"), ("x" * 70, "x" * 69 + "y"), ("".join(map(chr, range(200, 900))), "ab")]
+    a, b = ([p[i] for p in pairs] for i in (0, 1))
+    sorted_words = lambda t: " ".join(sorted(t.split()))
+    for f, plain in ((fuzzy.ratios, plain_ratio), (fuzzy.token_sort_ratios, lambda x, y: plain_ratio(sorted_words(x), sorted_words(y))), (fuzzy.token_set_ratios, plain_set_ratio)):
+        assert f(a, b).tolist() == pytest.approx([plain(x, y) for x, y in pairs]), f
+    short = [p for p in pairs if max(map(len, p)) <= 60] + pairs[-3:-1]
+    assert fuzzy.partial_ratios(*([p[i] for p in short] for i in (0, 1))).tolist() == pytest.approx([plain_partial(*p) for p in short])
+    assert fuzzy.jaro_winklers(a, b).tolist() == pytest.approx([fuzzy._jaro_winkler_long(x, y) if x and y else 0.0 for x, y in pairs])
+
+
+def test_prefixes_and_nulls(spark):
+    rows = [("abcd", "abxx"), ("", ""), ("a", ""), (None, "a"), ("x\ny", "x\nz"), ("aXb", "aYb")]
+    d = spark.createDataFrame(rows, "a string, b string")
+    got = d.select(fuzzy.prefix_similarity("a", "b"), fuzzy.suffix_similarity("a", "b"), fuzzy.similarity_columns({"r": ("ratio", "a", "b")}).alias("f")).collect()
+    assert [r[0] for r in got[:3]] == [0.5, 1.0, 0.0] and got[4][0] == pytest.approx(2 / 3) and got[5][1] == pytest.approx(1 / 3)
+    assert got[3]["f"]["r"] is None and got[1]["f"]["r"] == 100
