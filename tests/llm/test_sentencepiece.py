@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,48 @@ def texts(spaces=True, odd=True):
     return out + ["z" * 3000, "ab" * 700] + ([" ", "   ", " " * 77] if spaces else [])
 
 
+def unspaced():
+    rng = random.Random(6)
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = ["the", "unbelievable", "international", "x", "12345", "ing", "日本", "é", "e", "t", "_", "\U0001f600"]
+    out = ["".join(rng.choice(base) for _ in range(n)) for n in (1500, 1521, 9000)] + ["".join(rng.choice("abcdefghij") for _ in range(7000))]
+    out += ["".join(rng.choice(words) for _ in range(4000)), "日本語の文章" * 900, "z" * 5000, "ab" * 4000, "abc" * 3333, "the" * 2222, "ing" * 2001 + "x" + "ing" * 1500, "=" * 4001, "-" * 3001 + "a" * 3001]
+    return out + ["a " * 30 + "q" * 4000 + "  b", "\n" * 3000, " " * 3001, "a" + " " * 4000 + "b", " " * 2999 + "the"] + [" " * k + w for k in range(1, 70) for w in ("", "the", "x", "日")]
+
+
+def test_unspaced_texts_equal_the_library():
+    batch = unspaced()
+    got, back = encoded(S.Model(RAW), batch)
+    want = library(RAW).encode(batch)
+    assert [i for i in range(len(batch)) if got[i] != want[i]] == [] and back == batch
+
+
+def test_chunks_that_never_agree(monkeypatch):
+    """They are searched on from where the word is known."""
+    batch = unspaced()
+    want = encoded(S.Model(RAW), batch)[0]
+    monkeypatch.setattr(S.Model, "_agree", lambda *a: -1)
+    assert encoded(S.Model(RAW), batch[:6])[0] == want[:6]
+
+
+def test_long_unigram_words():
+    model = S.Model(AS_UNIGRAM)
+    for text in unspaced()[:5]:
+        points = np.array([ord("▁"), *map(ord, text)], np.uint32)
+        best, _, _ = model._search(points[None])
+        ids = model._long(points)
+        assert np.isclose(model.weights[ids].sum(), best[0, -1]) and model.lengths[ids].sum() == len(points)
+
+
+def test_time_on_unspaced_text():
+    model = S.Model(RAW)
+    rng = random.Random(2)
+    text = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1 << 20))
+    t = time.process_time()
+    assert encoded(model, [text])[1] == [text]
+    assert time.process_time() - t < 40
+
+
 def encoded(model, batch):
     data, offs = K.utf8_buffer(pa.array(batch, pa.string()))
     ids, at = model.encode(data, offs)
@@ -86,5 +129,5 @@ def test_rows(spark):
     assert all(rows[i]["ids"] == lib.encode(batch[i] or "") and rows[i]["n_pieces"] == len(rows[i]["ids"]) for i in range(6))
     back = {r["doc_id"]: r["text"] for r in S.decode(enc).collect()}
     assert [back[i] for i in range(6)] == ["", "", "Grüße an\nalle  hier", "a b", "x", "x"]
-    assert S.encode(df.limit(0)).count() == 0
+    assert S.encode(df.limit(0)).count() == 0 and S.encode(df.selectExpr("*", "'l' as lang"), carry=("lang",)).columns == ["doc_id", "lang", "n_pieces", "ids", "round_trip"]
     assert np.array_equal(S.Model(RAW).byte_ids, np.arange(3, 259))
