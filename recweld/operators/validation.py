@@ -62,14 +62,25 @@ def read_lines(spark, path: str) -> DataFrame:
     return lines.join(F.broadcast(lines.agg(F.min("at").alias("least")))).select("value", (F.col("at") == F.col("least")).alias("first"))
 
 
+def file_report(spark, path: str, header: list[str], **rules) -> DataFrame:
+    """file_rules() of a file, and whether it is there at all."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    missing = spark.createDataFrame([("missing_file", int(not there))], "rule string, n long")
+    return missing.unionByName(file_rules(read_lines(spark, path), header, **rules)) if there else missing
+
+
 def examples(violations: DataFrame, order: str, n: int = 5) -> DataFrame:
     return violations.orderBy(order).limit(n)
 
 
 def pair_agreement(a: DataFrame, b: DataFrame, by: DataFrame | None = None) -> DataFrame:
-    """One row per group of left-hand ids (by: s1, group): pairs of each side, shared pairs, their Jaccard similarity."""
+    """One row per group of left-hand ids (by: s1, group): pairs of each side, shared pairs, their Jaccard similarity, and the
+    share of ids whose lists are the same (empty ones included, if by names their ids)."""
     side = lambda df, c: df.select("s1", "s23", F.lit(1).alias(c)).distinct()
     both = side(a, "x").join(side(b, "y"), ["s1", "s23"], "full")
-    both = both.join(by, "s1", "left") if by is not None else both.withColumn("group", F.lit("all"))
-    n = both.groupBy("group").agg(F.count("x").alias("n_a"), F.count("y").alias("n_b"), F.sum((F.col("x").isNotNull() & F.col("y").isNotNull()).cast("long")).alias("shared"), F.count("*").alias("n"))
-    return n.select("group", "n_a", "n_b", "shared", (F.col("shared") / F.col("n")).alias("jaccard"))
+    each = both.groupBy("s1").agg(F.count("x").alias("n_a"), F.count("y").alias("n_b"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("shared"), F.count("*").alias("n"))
+    each = by.join(each, "s1", "left") if by is not None else each.withColumn("group", F.lit("all"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_a", "n_b", "shared", "n")}
+    n = each.withColumns(zero).groupBy("group").agg(*[F.sum(c).alias(c) for c in zero], F.avg(((F.col("n_a") == F.col("shared")) & (F.col("n_b") == F.col("shared"))).cast("double")).alias("identical"))
+    return n.select("group", "n_a", "n_b", "shared", F.try_divide("shared", "n").alias("jaccard"), "identical")

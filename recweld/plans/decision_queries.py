@@ -11,7 +11,7 @@ from ..operators import evaluation as V
 from ..operators import selection as S
 from ..operators import validation as R
 from ..sources.tables import id_lists
-from .base import PAIRS_SQL, RECORDS_SQL, first_words, load, query, records, scored_pairs, sides, true_pairs
+from .base import PAIRS_SQL, RECORDS_SQL, TWO, first_words, load, query, records, scored_pairs, sides, true_pairs
 
 # predictions: the resolved pairs of score 0.7 and more
 _SET_SQL = PAIRS_SQL + ", resolved AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY s23 ORDER BY score DESC, s1) = 1), pred AS (SELECT s1, s23 FROM resolved WHERE score >= 0.7)"
@@ -70,10 +70,19 @@ def contested_records(spark, sf):
     return V.contested(scored_pairs(spark, sf).withColumnRenamed("score", "p"), 0.7)
 
 
-@query("WITH " + _ENTITY_SQL + ", g AS (SELECT CASE WHEN length(name) <= 17 THEN 0 WHEN length(name) <= 20 THEN 1 WHEN length(name) <= 23 THEN 2 ELSE 3 END AS bucket, count(*) AS n, avg(f) AS mean_f, sum(1 - f) AS lost FROM e GROUP BY 1) SELECT bucket, n, round(mean_f, 6) AS mean_f, round(lost / sum(lost) OVER (), 6) AS loss FROM g")
+@query("WITH " + _ENTITY_SQL + f""", x AS (SELECT f, country, least(nt, 8) AS matches, least(count(*) OVER (PARTITION BY country, {TWO("name")}), 4) AS ambiguity, CASE WHEN length(name) <= 17 THEN 0 WHEN length(name) <= 20 THEN 1 WHEN length(name) <= 23 THEN 2 ELSE 3 END AS length,
+ least((SELECT count(*) FROM pairs WHERE pairs.s1 = e.s1), 10) AS candidates FROM e),
+u AS (SELECT 'country' AS kind, country AS segment, f FROM x UNION ALL SELECT 'matches', matches::VARCHAR, f FROM x UNION ALL SELECT 'ambiguity', ambiguity::VARCHAR, f FROM x UNION ALL SELECT 'length', length::VARCHAR, f FROM x UNION ALL SELECT 'candidates', candidates::VARCHAR, f FROM x),
+g AS (SELECT kind, segment, count(*) AS n, avg(f) AS mean_f, sum(1 - f) AS lost FROM u GROUP BY 1, 2) SELECT kind, segment, n, round(mean_f, 6) AS mean_f, round(lost / sum(lost) OVER (PARTITION BY kind), 6) AS loss FROM g""")
 def segment_report(spark, sf):
-    out = V.segment_report(_entities(spark, sf), E.bin_of(F.length("name"), [17, 20, 23]))
-    return out.select(F.col("segment").alias("bucket"), "n", F.round("mean_f", 6).alias("mean_f"), F.round("loss", 6).alias("loss"))
+    """By country, number of matches, records of a like name, length of the name, and number of candidates."""
+    e = _entities(spark, sf)
+    names = e.groupBy("country", first_words("name", 2).alias("two")).agg(F.count("*").alias("like"))
+    n = scored_pairs(spark, sf).groupBy("s1").agg(F.count("*").alias("k"))
+    e = e.withColumn("two", first_words("name", 2)).join(names, ["country", "two"]).join(n, "s1", "left")
+    segments = {"country": F.col("country"), "matches": F.least("nt", F.lit(8)), "ambiguity": F.least("like", F.lit(4)), "length": E.bin_of(F.length("name"), [17, 20, 23]), "candidates": F.least(F.coalesce("k", F.lit(0)), F.lit(10))}
+    out = V.segment_reports(e, segments)
+    return out.select("kind", "segment", "n", F.round("mean_f", 6).alias("mean_f"), F.round("loss", 6).alias("loss"))
 
 
 @query("WITH " + _SET_SQL + """, cand AS (SELECT s1, s23 FROM pairs WHERE score >= 0.6), fp AS (SELECT * FROM pred EXCEPT SELECT * FROM truth), fn AS (SELECT * FROM truth EXCEPT SELECT * FROM pred)
@@ -151,12 +160,13 @@ def rule_checks(spark, sf):
     return R.list_rules(planted, text(s1.select("s1")), text(sides(spark, sf)[1].select("s23")), text(pairs.where("score >= 0.8").select("s1", "s23")))
 
 
-@query("WITH " + _SET_SQL + """, a AS (SELECT s1, s23 FROM pred), b AS (SELECT s1, s23 FROM truth), j AS (SELECT coalesce(a.s1, b.s1) AS s1, a.s1 IS NOT NULL AS x, b.s1 IS NOT NULL AS y FROM a FULL JOIN b ON a.s1 = b.s1 AND a.s23 = b.s23)
-SELECT s1.country AS "group", sum(x::INT)::BIGINT AS n_a, sum(y::INT)::BIGINT AS n_b, sum((x AND y)::INT)::BIGINT AS shared, round(sum((x AND y)::INT) / count(*), 6) AS jaccard FROM j JOIN s1 ON s1.s1 = j.s1 GROUP BY 1""")
+@query("WITH " + _SET_SQL + """, j AS (SELECT coalesce(a.s1, b.s1) AS s1, (a.s1 IS NOT NULL)::INT AS x, (b.s1 IS NOT NULL)::INT AS y FROM pred a FULL JOIN truth b ON a.s1 = b.s1 AND a.s23 = b.s23),
+k AS (SELECT s1.country, s1.s1, coalesce(sum(x), 0) AS a, coalesce(sum(y), 0) AS b, coalesce(sum(x * y), 0) AS c, count(j.s1) AS n FROM s1 LEFT JOIN j ON j.s1 = s1.s1 GROUP BY ALL)
+SELECT country AS "group", sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b, sum(c)::BIGINT AS shared, round(sum(c) / nullif(sum(n), 0), 6) AS jaccard, round(avg((a = c AND b = c)::INT), 6) AS identical FROM k GROUP BY 1""")
 def pair_set_agreement(spark, sf):
     s1, _, _, pred, truth = _sets(spark, sf)
     out = R.pair_agreement(pred, truth, s1.select("s1", F.col("country").alias("group")))
-    return out.select("group", "n_a", "n_b", "shared", F.round("jaccard", 6).alias("jaccard"))
+    return out.select("group", "n_a", "n_b", "shared", F.round("jaccard", 6).alias("jaccard"), F.round("identical", 6).alias("identical"))
 
 
 @query("SELECT count(*) - count(DISTINCT doc_id) AS repeated_ids, round(avg((text = '')::INT), 6) AS blank, round((SELECT avg((n = 1)::INT) FROM (SELECT count(*) AS n FROM documents GROUP BY text)), 6) AS single, count(DISTINCT lang) AS langs, (SELECT count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(DISTINCT source) > 1)) AS multi_owner FROM documents")

@@ -112,12 +112,15 @@ def sample_rows(df: DataFrame, n: int, key: str | Column, seed: int = 0) -> Data
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in the shared folder (spark.checkpoint.dir); without one, as in tests, persisted.
+    """The rows as a checkpoint in the shared folder (spark.checkpoint.dir). In local mode without one, as in tests, they are
+    persisted; a cluster must name one.
 
     Iterative learners read their input many times; a checkpoint also survives lost executors and cuts the plan.
     """
     context = df.sparkSession.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    root = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root and not context.getCheckpointDir():
         context.setCheckpointDir(root)
+    if not root and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return df.checkpoint() if root else df.persist()

@@ -152,6 +152,8 @@ def test_rules(spark, tmp_path):
     (tmp_path / "f.tsv").write_text("a,b\nS1-1\tS2-1,,S9-1,S1-3\nbad\n\tS2-1\n")
     rules = {r["rule"]: r["n"] for r in R.file_rules(R.read_lines(spark, f"{tmp_path}/f.tsv"), ["a", "b"]).collect()}
     assert rules == {"empty_file": 0, "wrong_header": 1, "commas_for_tabs": 1, "malformed_rows": 1, "empty_row_id": 1, "empty_ids": 1, "wrong_prefix": 1, "left_ids_in_list": 1}
+    assert rows(R.file_report(spark, f"{tmp_path}/none.tsv", ["a"])) == [("missing_file", 1)]
+    assert {r["rule"]: r["n"] for r in R.file_report(spark, f"{tmp_path}/f.tsv", ["a", "b"]).collect()} == rules | {"missing_file": 0}
     (tmp_path / "e.tsv").write_text("")
     assert {r["rule"]: r["n"] for r in R.file_rules(R.read_lines(spark, f"{tmp_path}/e.tsv"), ["a"]).collect()}["empty_file"] == 1
 
