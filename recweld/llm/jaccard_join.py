@@ -4,14 +4,13 @@ Two texts are linked if the Jaccard similarity of their sets of distinct word n-
 text's set: its distinct runs of n words; with fewer words, the whole sequence; without words, the empty set, which is
 linked with nothing. n-grams are compared by 64-bit hashes, sets by 64 bits of a digest (their class).
 
-1. sets: each text's size and class. Texts of one class are copies; from here on a class takes part once. Every task
-   counts its classes' n-grams in a Misra-Gries summary of HEAVY counters; summaries are merged in a tree. Whatever the
-   input, every n-gram with more than 1 / HEAVY of all is in the result, and no count is too high. The global order is by
-   these counts, 0 for all others, then by hash: n-grams that are frequent somewhere come last. Any global order finds all
-   links; a rare-first one finds few others.
+1. sets: each text's size and class. Texts of one class are copies; from here on a class takes part once. A table of counts
+   per range of hashes (2 ** SKETCH_BITS cells, summed up in a tree, whatever the input) gives the global order: n-grams of
+   rarer cells first, then by another hash. Of all occurrences N, those of other n-grams in a cell vary by about
+   sqrt(N / 2 ** SKETCH_BITS); an n-gram stands out if more classes have it. Any global order finds all links.
 2. postings: each class sends the n-grams of its prefix, n - ceil(t n) + 1 of them, with its size and their positions,
    packed, to the buckets of their hashes. Linked classes share one at least. An n-gram that would fill a bucket by itself
-   (DEAL classes) is dealt in blocks: classes are split into blocks, and each pair of blocks meets in a bucket of its own.
+   (a cell of DEAL classes above twice the mean) is dealt in blocks: classes are split into blocks, and each pair of blocks meets in a bucket of its own.
 3. candidates: classes that share an n-gram, pass the length filter, and share so many n-grams of their prefixes, at such
    positions, that they can be linked (the positional filter). Where many share one n-gram, each is first paired with its
    nearest in size only.
@@ -46,11 +45,13 @@ from .common import broadcast_if_small, fresh_name, small_enough, stored
 from .components import components
 
 NGRAM, PERCENT = 5, 75
-#: Counters of a summary of n-gram counts, and summaries that are merged at once.
-HEAVY, _TREE = 1 << 18, 32
+SKETCH_BITS = 20
+_SEGMENTS = 16
+_TREE = 256
 #: Classes of one n-gram up to which all pairs are candidates at once; beyond it, NEAR neighbours in size at first.
 SMALL, NEAR = 48, 6
-#: Classes of one n-gram from which its postings are dealt in blocks, and from which pairs of its components are.
+#: Classes of one n-gram (for postings: in its cell, beyond twice the mean) from which its postings are dealt in blocks; and
+#: those, counted exactly, from which the pairs of its components are.
 DEAL, HOT = 1 << 20, 20_000
 BUCKET_BYTES, PART_BYTES = 16 << 20, 24 << 20
 #: Pairs of one group of classes that are dealt to one part.
@@ -59,6 +60,8 @@ BLOOM_BITS = (16, 28)
 _SLICE = 4 << 20
 _RANGES = 256
 _U = np.uint64
+#: n-grams of equal counts are ordered by their hash times this, so that the first ones lie in buckets of all ranges.
+_TIES = _U(0x9E3779B97F4A7C15)
 
 
 def _set_sizes_needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -88,52 +91,15 @@ def _class_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, sorted, and their total counts."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    if counts is None:
-        return keys[first], np.diff(np.append(first, len(keys)))
-    return keys[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
-
-
-def heaviest(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Misra-Gries: the greatest of the counts, at most ``most`` of them, less the greatest one left out. Summaries made so
-    and merged by adding up and cutting again miss no key with more than 1 / most of all, and count none too high."""
-    if len(keys) <= most:
-        return keys, counts
-    cut = np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
-    kept = counts > cut
-    return keys[kept], counts[kept] - cut
-
-
-class _Heavy:
-    """The merged summary, for lookup: sorted keys with counts, behind a bit table of their low bits."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys, self.counts = keys, counts
-        self.seen = np.zeros(1 << 21, bool)
-        self.seen[self._low(keys)] = True
-
-    @staticmethod
-    def _low(keys: np.ndarray) -> np.ndarray:
-        return (keys & _U((1 << 21) - 1)).astype(np.int64)
-
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(grams), np.int64)
-        at = np.flatnonzero(self.seen[self._low(grams)])
-        if len(at):
-            place = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
-            out[at] = np.where(self.keys[place] == grams[at], self.counts[place], 0)
-        return out
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return (grams >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _described(docs: DataFrame, ngram: int, id_type: str) -> DataFrame:
-    """(doc_id, n, class) for each row; and the task's summary of counts (task, grams, counts)."""
+    """(doc_id, n, class) for each row; and the task's table of counts, in segments (segment, task, cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts = np.zeros(0, _U), np.zeros(0, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         seen: set[int] = set()
         kind = None
         for batch in batches:
@@ -141,47 +107,45 @@ def _described(docs: DataFrame, ngram: int, id_type: str) -> DataFrame:
             sizes, classes = [], []
             for _, _, data, offs in K.slices(batch.column("text"), _SLICE):
                 fresh = []
-                for own in text_sets(data, offs, ngram):
-                    sizes.append(len(own))
-                    classes.append(_class_of(own))
-                    if len(own) and classes[-1] not in seen:
+                for grams in text_sets(data, offs, ngram):
+                    sizes.append(len(grams))
+                    classes.append(_class_of(grams))
+                    if len(grams) and classes[-1] not in seen:
                         seen.add(classes[-1])
-                        fresh.append(own)
+                        fresh.append(grams)
                 if fresh:
-                    more = heaviest(*_summed(np.concatenate(fresh)), HEAVY)
-                    grams, counts = heaviest(*_summed(np.concatenate([grams, more[0]]), np.concatenate([counts, more[1]])), HEAVY)
+                    counts += np.bincount(_cells(np.concatenate(fresh)), minlength=len(counts)).astype(np.uint32)
             n = len(sizes)
-            none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int64()), none, none], ["doc_id", "n", "class", "task", "grams", "counts"])
-        if len(grams):
-            none, task = pa.nulls(1, pa.int64()), TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), none, none, pa.array([task], pa.int64()), pa.array([grams.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["doc_id", "n", "class", "task", "grams", "counts"])
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), none, none, pa.nulls(n, pa.binary())], ["doc_id", "n", "class", "segment", "task", "cells"])
+        if kind is not None and seen:
+            none, task = pa.nulls(_SEGMENTS, pa.int64()), TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.nulls(_SEGMENTS, kind), none, none, pa.array(range(_SEGMENTS), pa.int64()), pa.array([task] * _SEGMENTS, pa.int64()), pa.array([x.tobytes() for x in counts.reshape(_SEGMENTS, -1)], pa.binary())], ["doc_id", "n", "class", "segment", "task", "cells"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, n long, class long, task long, grams binary, counts binary")
+    return docs.mapInArrow(run, f"doc_id {id_type}, n long, class long, segment long, task long, cells binary")
 
 
-def _heavy_grams(summaries: DataFrame) -> _Heavy:
-    """The tasks' summaries merged, _TREE at a time: HEAVY counters, whatever the input."""
+def _order_table(cells: DataFrame) -> np.ndarray:
+    """The sum of the tasks' tables of counts: 2 ** SKETCH_BITS numbers, whatever the input. Sums _TREE tables at a time."""
 
     def run(group: pa.Table) -> pa.Table:
-        grams, counts = np.zeros(0, _U), np.zeros(0, np.int64)
-        for x, n in zip(group["grams"], group["counts"], strict=True):
-            grams = np.concatenate([grams, np.frombuffer(x.as_py(), _U)])
-            counts = np.concatenate([counts, np.frombuffer(n.as_py(), np.int64)])
-            grams, counts = heaviest(*_summed(grams, counts), HEAVY)
-        return pa.table({"task": pa.array([group["task"][0].as_py() // _TREE], pa.int64()), "grams": pa.array([grams.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
-
-    top = summaries.agg(F.max("task")).first()[0]
+        total = np.zeros((1 << SKETCH_BITS) // _SEGMENTS, np.uint32)
+        for x in group["cells"]:
+            part = np.frombuffer(x.as_py(), np.uint32)
+            total = np.minimum(total.astype(np.uint64) + part, np.uint64(2**32 - 1)).astype(np.uint32)
+        return pa.table({"segment": group["segment"][:1], "task": pa.array([group["task"][0].as_py() // _TREE], pa.int64()), "cells": pa.array([total.tobytes()], pa.binary())})
+
+    top = cells.agg(F.max("task")).first()[0]
     if top is None:
-        return _Heavy(np.zeros(0, _U), np.zeros(0, np.int64))
+        return np.zeros(1 << SKETCH_BITS, np.uint32)
     while True:
-        summaries = summaries.groupBy(F.floor(F.col("task") / _TREE)).applyInArrow(run, "task long, grams binary, counts binary")
+        cells = cells.groupBy("segment", F.floor(F.col("task") / _TREE)).applyInArrow(run, "segment long, task long, cells binary")
         top //= _TREE
         if top == 0:
             break
-        summaries = stored(summaries, "summaries")
-    row = summaries.first()
-    return _Heavy(np.frombuffer(row["grams"], _U), np.frombuffer(row["counts"], np.int64))
+        cells = stored(cells, "cells")
+    rows = sorted(cells.collect(), key=lambda r: r["segment"])
+    return np.concatenate([np.frombuffer(r["cells"], np.uint32) for r in rows])
 
 
 def _packed(columns: dict[str, np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
@@ -193,12 +157,11 @@ def _packed(columns: dict[str, np.ndarray], bucket: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *arrays], ["bucket", *columns])
 
 
-def _postings(texts: DataFrame, order, n_buckets: int, ngram: int, percent: int) -> DataFrame:
+def _postings(texts: DataFrame, order, deal: int, n_buckets: int, ngram: int, percent: int) -> DataFrame:
     """(bucket, gram, class, n, position), packed. Buckets are ranges of hashes."""
-    deal = DEAL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight_of = order.value
+        counts = order.value
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, offs in K.slices(batch.column(0), _SLICE):
@@ -210,8 +173,8 @@ def _postings(texts: DataFrame, order, n_buckets: int, ngram: int, percent: int)
                     if not len(grams) or (name := _class_of(grams)) in seen:
                         continue
                     seen.add(name)
-                    weight = weight_of(grams)
-                    first = np.lexsort((grams, weight))[: _prefix_size(len(grams), percent)]
+                    weight = counts[_cells(grams)]
+                    first = np.lexsort((grams * _TIES, weight))[: _prefix_size(len(grams), percent)]
                     found.append(grams[first])
                     weights.append(weight[first])
                     names.append(name)
@@ -234,7 +197,7 @@ def _dealt(gram, own, position, weight, names, deal: int):
     full = weight > deal
     if not full.any():
         return gram, own, position
-    blocks = -(-weight[full] // deal)
+    blocks = -(-weight[full].astype(np.int64) // deal)
     block = (K.mix(names[own[full]] + _U(77)) % blocks.astype(_U)).astype(np.int64)
     copies = np.repeat(np.flatnonzero(full), blocks)
     other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -470,15 +433,15 @@ def _links(documents: DataFrame, id_col: str, text_col: str, ngram: int, percent
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     described = stored(_described(docs, ngram, id_type), "described")
-    rows = described.where("task is null").select("doc_id", "n", "class")
+    rows = described.where("segment is null").select("doc_id", "n", "class")
     classes = stored(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), "classes")
     size = classes.agg(F.sum("n").alias("grams"), F.count("*").alias("n")).first()
     if not size["n"]:
         return rows, classes, None, None
-    order = spark.sparkContext.broadcast(_heavy_grams(described.where("task is not null").select("task", "grams", "counts")))
+    order = spark.sparkContext.broadcast(_order_table(described.where("segment is not null").select("segment", "task", "cells")))
     per_gram = 24 * (100 - percent) / 100
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size["grams"] * per_gram + 24 * size["n"]) / bucket_bytes))
-    postings = _postings(docs.select("text"), order, n_buckets, ngram, percent)
+    postings = _postings(docs.select("text"), order, DEAL + 2 * (size["grams"] >> SKETCH_BITS), n_buckets, ngram, percent)
     found = stored(_candidates(postings, percent), "candidates")
     large = _unpacked(found, {"gram": np.int64, "class": np.int64, "n": np.int32, "position": np.int32})
     pairs = stored(_possible(_unpacked(found, _PAIR), large, percent), "pairs")

@@ -61,7 +61,6 @@ def cases():
 def test_equals_brute_force(spark, monkeypatch, small, near, hot, bucket):
     monkeypatch.setattr(J, "HOT", hot)
     monkeypatch.setattr(J, "DEAL", hot)
-    monkeypatch.setattr(J, "HEAVY", max(50, hot))
     monkeypatch.setattr(J, "PARTNERS", 3)
     rows = cases()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as class", "1 as n", "2 as component_id").repartition(3)
@@ -137,18 +136,6 @@ def test_one_class_with_ten_thousand_partners(spark, monkeypatch):
     assert sum(sizes) == 10_000 and max(sizes) <= 3 * J.PARTNERS and len(sizes) >= 7
 
 
-def test_heavy_n_grams_are_never_missed():
-    rng = J.np.random.default_rng(4)
-    keys = J.np.concatenate([J.np.repeat(J.np.arange(5), 400), rng.integers(100, 90_000, 8000)]).astype(J.np.uint64)
-    rng.shuffle(keys)
-    parts = [J.heaviest(*J._summed(x), 40) for x in J.np.array_split(keys, 9)]
-    grams, counts = J.np.zeros(0, J.np.uint64), J.np.zeros(0, J.np.int64)
-    for g, c in parts:
-        grams, counts = J.heaviest(*J._summed(J.np.concatenate([grams, g]), J.np.concatenate([counts, c])), 40)
-    weight = J._Heavy(grams, counts)
-    assert len(grams) <= 40 and (weight(J.np.arange(5).astype(J.np.uint64)) >= 400 - len(keys) // 40).all() and (counts <= 400).all()
-
-
 @pytest.mark.parametrize("small,near", [(64, 6), (3, 1)])
 def test_all_links_equal_brute_force(spark, monkeypatch, small, near):
     monkeypatch.setattr(J, "SMALL", small)
