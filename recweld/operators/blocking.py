@@ -211,10 +211,11 @@ def _gaussians(h: np.ndarray, dims: int, seed: int) -> np.ndarray:
     return np.concatenate([radius * np.cos(angle), radius * np.sin(angle)], axis=1)[:, :dims].astype(np.float32)
 
 
-def projected_vectors(weights: DataFrame, dims: int, seed: int = 0) -> DataFrame:
+def projected_vectors(weights: DataFrame, dims: int, seed: int = 0, length: float | None = None) -> DataFrame:
     """(id, term, w) -> (id, vector): a Gaussian random projection whose entries are drawn from a hash of term and dimension,
     so that no matrix is kept and weighted parts of a record add up. A record's terms are summed up where they are: what is
-    shuffled are terms and weights, and one vector leaves a task for each record."""
+    shuffled are terms and weights, and one vector leaves a task for each record. length: what vectors are scaled to (those of
+    zeros stay)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +230,11 @@ def projected_vectors(weights: DataFrame, dims: int, seed: int = 0) -> DataFrame
                     low, high = ends[a], ends[min(len(sizes), a + 64)]
                     if high > low:
                         out[a : a + 64] = np.add.reduceat(normal[at[low:high]] * w[low:high, None], ends[a : min(len(sizes), a + 64)] - low, axis=0)
-                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * dims, pa.int32()), pa.array((out / np.sqrt(dims)).astype(np.float64).ravel()))
+                out = out.astype(np.float64) / np.sqrt(dims)
+                if length is not None:
+                    norm = np.linalg.norm(out, axis=1, keepdims=True)
+                    out = np.divide(out * length, norm, out=np.zeros_like(out), where=norm > 0)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * dims, pa.int32()), pa.array(out.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), vectors], ["id", "vector"])
 
     kind = weights.schema["id"].dataType.simpleString()

@@ -90,12 +90,6 @@ def part_weights(records: DataFrame) -> DataFrame:
     return w.select("id", "block", F.concat("part", F.lit(":"), "term").alias("term"), (F.col("w") * F.col("share")).alias("w"))
 
 
-def _of_length(vector: Column, length: float) -> Column:
-    """The vector scaled to a length; one of zeros stays."""
-    own = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda t, x: t + x * x))
-    return F.transform(vector, lambda x: F.when(own > 0, x * length / own).otherwise(0.0))
-
-
 def record_vectors(records: DataFrame, dims: tuple[int, int], seed: int = 1) -> DataFrame:
     """(group, id, vector): the projected name and address blocks, each of length one, under the roots of their shares. A
     blank address is a block of zeros."""
@@ -103,9 +97,9 @@ def record_vectors(records: DataFrame, dims: tuple[int, int], seed: int = 1) ->
     out = records.select(F.col("country").alias("group"), F.col("entity_id").alias("id"))
     scaled = []
     for (block, share), n in zip(BLOCKS.items(), dims, strict=True):
-        v = B.projected_vectors(w.where(F.col("block") == block), n, seed).withColumnRenamed("vector", block)
+        v = B.projected_vectors(w.where(F.col("block") == block), n, seed, share**0.5).withColumnRenamed("vector", block)
         out = out.join(v, "id", "left")
-        scaled.append(F.coalesce(_of_length(F.col(block), share**0.5), F.array_repeat(F.lit(0.0), n)))
+        scaled.append(F.coalesce(F.col(block), F.array_repeat(F.lit(0.0), n)))
     return out.select("group", "id", F.concat(*scaled).alias("vector"))
 
 
