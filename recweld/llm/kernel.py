@@ -85,7 +85,7 @@ def utf8_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system: idle workers would else keep the most that any task has needed."""
     pa.default_memory_pool().release_unused()
     try:
@@ -103,7 +103,7 @@ def slices(array: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         j = min(n, max(i + 1, j))
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
-    _give_back()
+    give_back()
 
 
 def words(data: np.ndarray, offs: np.ndarray, delimiters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

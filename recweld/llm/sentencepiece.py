@@ -42,14 +42,14 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
 _NORMAL, _BYTE = 1, 6
 _UNIGRAM, _BPE = 1, 2
-_CELLS = 1 << 18
+_CELLS = 1 << 17
 #: Words of more characters than these two are cut into chunks, each with an overlap after it.
 CHUNK, OVERLAP = 1260, 260
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Pieces decoded at once.
 DECODE_PIECES = 1 << 18
 #: Bounds of what a worker remembers between slices: segmented words (of at most 64 bytes) and pairs of pieces.
-WORD_MEMO, PAIR_MEMO = 1 << 20, 1 << 22
+WORD_MEMO, PAIR_MEMO = 1 << 19, 1 << 20
 _NONE = -1
 
 
@@ -426,6 +426,7 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 kept = batch.slice(i, j - i).columns[1:]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(at), pa.int64()), lists, pa.array(same, pa.bool_())], names)
+                K.give_back()
 
     docs = documents.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"), *carry)
     names = ["doc_id", *carry, "n_pieces", "ids", "round_trip"]
