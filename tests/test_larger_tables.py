@@ -1,6 +1,9 @@
 """Cases that only larger tables bring about: ties, keys over the cap, large groups, nothing to learn from."""
 
+import pytest
+
 from recweld.operators import decisions as D
+from recweld.registry import queries
 
 
 def test_expected_f_takes_the_least_of_equal_prefixes(spark):
@@ -8,3 +11,25 @@ def test_expected_f_takes_the_least_of_equal_prefixes(spark):
     q = [(n, n - i, 0.9) for n in range(6, 66, 6) for i in range(n)] + [(n, 1000 - i, 0.6) for n in range(6, 66, 6) for i in range(11 * n // 6)]
     got = D.expected_f_rule(spark.createDataFrame(q, "s1 long, s23 long, q double")).groupBy("s1").count().collect()
     assert sorted(tuple(r) for r in got) == [(n, n) for n in range(6, 66, 6)]
+
+
+def parts(spark, folder, rows):
+    """A folder of the table part alone: (p_partkey, p_name, p_brand, p_type, p_size) rows."""
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+MODELS = ["ablation"]
+
+
+@pytest.mark.parametrize("name", MODELS)
+def test_models_learn_where_all_keys_are_over_the_cap(spark, tmp_path, name):
+    # 60 left-hand and 120 right-hand records, all of one key
+    out = queries()[name](spark, parts(spark, tmp_path, [(k, "hot ring", "Brand#1", ("SMALL", "LARGE")[k // 3 % 2], k // 3) for k in range(180)])).collect()
+    assert len(out) == {"ablation": 5, "feature_importance": 4, "hyper_parameters": 4}.get(name, 60 * 120) and all(r[-1] is not None for r in out)
+
+
+@pytest.mark.parametrize("name", MODELS)
+def test_models_without_anything_to_learn_from(spark, tmp_path, name):
+    out = queries()[name](spark, parts(spark, tmp_path, [])).collect()
+    assert len(out) == {"ablation": 5, "feature_importance": 4, "hyper_parameters": 4}.get(name, 0) and all(r[-1] is None for r in out)
