@@ -19,7 +19,7 @@ def parts(spark, folder, rows):
     return str(folder)
 
 
-MODELS = ["ablation"]
+MODELS = ["ablation", "gbt_scores"]
 
 
 @pytest.mark.parametrize("name", MODELS)
