@@ -19,7 +19,7 @@ def parts(spark, folder, rows):
     return str(folder)
 
 
-MODELS = ["ablation", "gbt_scores", "oof_stack_scores", "feature_importance"]
+MODELS = ["ablation", "gbt_scores", "oof_stack_scores", "feature_importance", "hyper_parameters"]
 
 
 @pytest.mark.parametrize("name", MODELS)
