@@ -3,7 +3,7 @@
 import pytest
 
 from recweld.operators import decisions as D
-from recweld.registry import queries
+from recweld.registry import oracle_sql, queries
 
 
 def test_expected_f_takes_the_least_of_equal_prefixes(spark):
@@ -19,6 +19,26 @@ def parts(spark, folder, rows):
     return str(folder)
 
 
+def sql(folder, name):
+    """The rows of the SQL, as sorted texts, which tell NaN and NULL apart."""
+    con = pytest.importorskip("duckdb").connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet/*.parquet'")
+    found = con.execute(oracle_sql()[name])
+    return [d[0] for d in found.description], sorted(map(str, found.fetchall()))
+
+
+def equals_sql(spark, folder, name):
+    columns, want = sql(folder, name)
+    return sorted(str(tuple(r)) for r in queries()[name](spark, folder).select(columns).collect()) == want
+
+
+@pytest.mark.parametrize("rows", [180, 2, 0])
+def test_f05_macro_without_predictions(spark, tmp_path, rows):
+    # all pairs share one key that is over the cap; only left-hand records; nothing at all
+    folder = parts(spark, tmp_path, [(k * (3 if rows == 2 else 1), "hot ring", "Brand#1", "SMALL", k // 3) for k in range(rows)])
+    assert equals_sql(spark, folder, "f05_macro")
+
+
 MODELS = ["ablation", "gbt_scores", "oof_stack_scores", "feature_importance", "hyper_parameters"]
 
 
