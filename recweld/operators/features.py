@@ -43,6 +43,11 @@ def idf_overlap(pairs: DataFrame, left: DataFrame, right: DataFrame, weights: Da
 
 def house_numbers(h1: str, h2: str, nums1: str, nums2: str) -> dict[str, Column]:
     """Equality, prefix, containment and distance of house numbers; NULL unless both are there."""
+    return house_numbers_of_words(h1, h2, words(nums1), words(nums2))
+
+
+def house_numbers_of_words(h1: str, h2: str, nums1: str | Column, nums2: str | Column) -> dict[str, Column]:
+    """As house_numbers(), from arrays of all numbers: where a record has many pairs, they are made once per record."""
     a, b = F.col(h1), F.col(h2)
     both = (a != "") & (b != "")
     number = lambda c: F.expr(f"try_cast(substr({c}, 1, 9) as double)")
@@ -51,7 +56,7 @@ def house_numbers(h1: str, h2: str, nums1: str, nums2: str) -> dict[str, Column]
         "h_both": both.cast("double"),
         "h_eq": flag(a == b),
         "h_prefix": flag(F.startswith(a, b) | F.startswith(b, a)),
-        "h_contains": flag(F.array_contains(words(nums1), b) | F.array_contains(words(nums2), a)),
+        "h_contains": flag(F.array_contains(nums1, b) | F.array_contains(nums2, a)),
         "h_logdiff": F.when(both, F.log1p(F.abs(number(h1) - number(h2)))),
     }
 

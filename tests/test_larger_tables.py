@@ -1,6 +1,7 @@
 """Cases that only larger tables bring about: ties, keys over the cap, large groups, nothing to learn from."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from recweld.operators import decisions as D
 from recweld.registry import oracle_sql, queries
@@ -14,8 +15,8 @@ def test_expected_f_takes_the_least_of_equal_prefixes(spark):
 
 
 def parts(spark, folder, rows):
-    """A folder of the table part alone: (p_partkey, p_name, p_brand, p_type, p_size) rows."""
-    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    """A folder of the table part alone, as one file: (p_partkey, p_name, p_brand, p_type, p_size) rows."""
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{folder}/part.parquet")
     return str(folder)
 
 
@@ -39,6 +40,14 @@ def test_f05_macro_without_predictions(spark, tmp_path, rows):
     assert equals_sql(spark, folder, "f05_macro")
 
 
+def test_house_number_pairs_are_made_on_all_cores(spark, tmp_path):
+    # a table of one small file, whose pairs are many
+    folder = parts(spark, tmp_path, [(k, f"{'hot cold'.split()[k % 2]} ring", f"Brand#{k % 9}", "SMALL", k // 9) for k in range(900)])
+    out = queries()["house_number_match"](spark, folder)
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    assert equals_sql(spark, folder, "house_number_match")
+
+
 MODELS = ["ablation", "gbt_scores", "oof_stack_scores", "feature_importance", "hyper_parameters"]
 
 
