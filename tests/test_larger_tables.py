@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recweld.operators import decisions as D
+from recweld.operators import learning as L
 from recweld.registry import oracle_sql, queries
 
 
@@ -48,6 +49,26 @@ def test_house_number_pairs_are_made_on_all_cores(spark, tmp_path):
     assert equals_sql(spark, folder, "house_number_match")
 
 
+def test_ordered_pairs_are_counted_as_they_would_be_joined(spark):
+    # groups of 1 to 70 rows, keys repeated, out of order and NULL, groups of NULL
+    r = [(g % 9 if g < 12 else None, k * 7919 % 53 if k % 11 else None, "abcdefgh"[(k * k + g) % 8]) for g in range(14) for k in range(g * g % 71 + 1)]
+    t = spark.createDataFrame(r, "g int, k int, v string")
+    want = {}
+    for g, k, v in r:
+        for h, m, w in r:
+            if g is not None and g == h and k is not None and m is not None and k < m:
+                want[v, w] = want.get((v, w), 0) + 1
+    assert {(x["a"], x["b"]): x["n"] for x in L.ordered_pair_counts(t, ["g"], "k", "v").collect()} == want
+
+
+def test_alias_mining_makes_no_pairs_of_records(spark, tmp_path, monkeypatch):
+    # 1600 records of one brand and size and four names: some 1.3 million pairs, 16 kinds of pairs
+    folder = parts(spark, tmp_path, [(k * 37 % 1601, ("hot ring", "cold ring", "hot bolt", "big old bolt")[k * k % 7 % 4], "Brand#1", "SMALL", 1) for k in range(1600)])
+    made, mine = [], L.mine_aliases
+    monkeypatch.setattr(L, "mine_aliases", lambda pairs, *a, **k: made.append(pairs.count()) or mine(pairs, *a, **k))
+    assert equals_sql(spark, folder, "alias_mining") and made[0] <= 16
+
+
 MODELS = ["ablation", "gbt_scores", "oof_stack_scores", "feature_importance", "hyper_parameters"]
 
 
