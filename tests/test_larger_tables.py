@@ -34,6 +34,17 @@ def equals_sql(spark, folder, name):
     return sorted(str(tuple(r)) for r in queries()[name](spark, folder).select(columns).collect()) == want
 
 
+def test_expected_f_decides_ties_as_the_sql_does(spark, tmp_path):
+    # 60 brands, each a record with n candidates of 0.9 and 11 n / 6 of 0.6 (names of 10 letters, 1 and 4 of them changed)
+    rows = []
+    for b in range(60):
+        n = (6, 12)[b % 5 % 2]
+        names = [(0, "cdef")] + [(1, "cdex")] * n + [(1, "wxyz")] * (11 * n // 6)
+        rows += [(3 * (100 * b + i) + src, "a b", f"Brand#{b}", kind, 1) for i, (src, kind) in enumerate(names)]
+    folder = parts(spark, tmp_path, rows)
+    assert queries()["expected_f_rule"](spark, folder).count() > 0 and equals_sql(spark, folder, "expected_f_rule")
+
+
 @pytest.mark.parametrize("rows", [180, 2, 0])
 def test_f05_macro_without_predictions(spark, tmp_path, rows):
     # all pairs share one key that is over the cap; only left-hand records; nothing at all
