@@ -80,6 +80,26 @@ def test_alias_mining_makes_no_pairs_of_records(spark, tmp_path, monkeypatch):
     assert equals_sql(spark, folder, "alias_mining") and made[0] <= 16
 
 
+def test_counted_rows_are_learned_as_the_rows_they_count(spark):
+    # 48 kinds of rows that count 1 to 188 times, the label no function of the feature
+    kinds = spark.createDataFrame([(float(i % 16), float(i * i % 7 > i % 3), float(1 + 37 * i % 188)) for i in range(48)], "f double, y double, n double")
+    rows = kinds.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("i", "n")
+    settings = [{"rounds": 1, "depth": 2, "subsamplingRate": 1.0}, {"rounds": 3, "depth": 3, "subsamplingRate": 1.0}]
+    counted, made = (dict(map(tuple, x.collect())) for x in (L.sweep(kinds, kinds, ["f"], settings, weight="n"), L.sweep(rows, rows, ["f"], settings)))
+    assert counted == pytest.approx(made) and len(set(made.values())) == 2
+    dealt = L.dealt(kinds, "n").groupBy("f", "y").agg(F.count("*").alias("k"), F.sum("n").alias("n")).join(kinds.groupBy("f", "y").agg(F.sum("n").alias("m")), ["f", "y"]).collect()
+    assert all(r["n"] == pytest.approx(r["m"]) and r["k"] <= 3 * L.PARTS for r in dealt)
+
+
+def test_hyper_parameters_count_pairs_by_their_features(spark, tmp_path, monkeypatch):
+    # 7200 pairs of 60 left-hand and 120 right-hand records
+    folder = parts(spark, tmp_path, [(k, "hot ring", "Brand#1", ("SMALL", "LARGE")[k // 3 % 2], k // 3) for k in range(180)])
+    made, sweep = [], L.sweep
+    monkeypatch.setattr(L, "sweep", lambda train, test, *a, **k: made.append(train.unionByName(test)) or sweep(train, test, *a, **k))
+    assert queries()["hyper_parameters"](spark, folder).count() == 4
+    assert made[0].count() < 100 and made[0].agg(F.sum("n")).first()[0] == 7200
+
+
 MODELS = ["ablation", "gbt_scores", "oof_stack_scores", "feature_importance", "hyper_parameters"]
 
 
