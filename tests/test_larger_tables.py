@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from recweld.functions import expressions as E
 from recweld.operators import decisions as D
 from recweld.operators import learning as L
 from recweld.registry import oracle_sql, queries
@@ -100,6 +101,22 @@ def test_hyper_parameters_count_pairs_by_their_features(spark, tmp_path, monkeyp
     assert made[0].count() < 100 and made[0].agg(F.sum("n")).first()[0] == 7200
 
 
+def learned(monkeypatch):
+    """(trees, rows) of every model that is fitted."""
+    out, fitted = [], L.fitted
+    monkeypatch.setattr(L, "fitted", lambda model, rows: out.append((fitted(model, rows), rows)) or out[-1][0])
+    return out
+
+
+def test_ablation_learns_all_rounds_from_all_records(spark, tmp_path, monkeypatch):
+    folder = parts(spark, tmp_path, [(k, "hot ring", "Brand#1", ("SMALL", "LARGE")[k // 3 % 2], k // 3) for k in range(180)])
+    held_out = {r["s1"] for r in queries()["gbt_scores"](spark, folder).select("s1").where(E.crc_split("s1")).distinct().collect()}
+    models = learned(monkeypatch)
+    assert queries()["ablation"](spark, folder).count() == 5 and 0 < len(held_out) < 60
+    assert [(m.stages[-1].getNumTrees, m.stages[-1].getMaxDepth()) for m, _ in models] == [(40, 6)] * 5
+    assert models[0][1].agg(F.sum("n")).first()[0] == pytest.approx(120 * (60 - len(held_out)))
+
+
 MODELS = ["ablation", "gbt_scores", "oof_stack_scores", "feature_importance", "hyper_parameters"]
 
 
