@@ -117,6 +117,18 @@ def test_ablation_learns_all_rounds_from_all_records(spark, tmp_path, monkeypatc
     assert models[0][1].agg(F.sum("n")).first()[0] == pytest.approx(120 * (60 - len(held_out)))
 
 
+@pytest.mark.parametrize("kinds", [("SMALL", "LARGE"), ("SMALL", "SMALL")])
+def test_feature_importance_learns_all_rounds_from_all_pairs(spark, tmp_path, monkeypatch, kinds):
+    # both classes, or true pairs only
+    folder = parts(spark, tmp_path, [(k, "hot ring", "Brand#1", kinds[k // 3 % 2], k // 3) for k in range(180)])
+    models = learned(monkeypatch)
+    assert all(r["gain"] is not None for r in queries()["feature_importance"](spark, folder).collect())
+    [(model, rows)] = models
+    assert (model.stages[-1].getNumTrees, model.stages[-1].getMaxDepth(), model.stages[-1].getWeightCol()) == (40, 6, "n")
+    # in the first case half of the pairs are true ones: balanced weights stay
+    assert rows.agg(F.sum("n")).first()[0] == pytest.approx(7200)
+
+
 MODELS = ["ablation", "gbt_scores", "oof_stack_scores", "feature_importance", "hyper_parameters"]
 
 
